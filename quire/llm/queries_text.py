@@ -4,10 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import truncation
+from quire.llm import leakage, packing, truncation
+from quire.session import settle
 from quire.sources.tables import table
 
 
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in containers of each capacity."""
+    return packing.pack(*_sizes(spark, sf_dir))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used for each capacity, against the least possible."""
+    sizes, key, capacities = _sizes(spark, sf_dir)
+    return packing.fill_report(packing.pack(sizes, key, capacities), capacities)
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, dict[str, int]]:
+    capacities = {r["size_name"]: r["capacity_tokens"] for r in table(spark, sf_dir, "pack_sizes").collect()}
+    return settle(packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")), "doc_id", capacities
+
+
+def _leaks(spark: SparkSession, sf_dir: str, fields: dict[str, bool]) -> DataFrame:
+    return leakage.leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", fields)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a passage of a held-out item."""
+    return _leaks(spark, sf_dir, {"text": False}).select("doc_id", "item_id").distinct()
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where passages, whole questions and passages of answers stand in the documents."""
+    return _leaks(spark, sf_dir, {"text": False, "question": True, "answer": False})
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document whose text was cut inside a sentence or word."""
     _, cut = truncation.measured(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
@@ -26,5 +57,5 @@ def p10_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.length_limits(ends)
 
 
-QUERIES = {"p10_found": p10_found, "p10_sources": p10_sources, "p10_limits": p10_limits}
+QUERIES = {"p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_sources": p10_sources, "p10_limits": p10_limits}
 ORACLE: dict[str, str] = {}
