@@ -42,38 +42,38 @@ _ELLIPSIS = r"(…|\.\.\.|\[…\]|\[\.\.\.\])$"
 _COMPLETE = r"[.!?。]['\"”’»)\]]*$"
 
 
-def ending(text: Column) -> Column:
-    """'complete', 'closing', 'open' or 'doubtful'; null for null and blank texts."""
-    tidy = F.regexp_replace(F.regexp_replace(text, r"\s+\z", ""), r"\r\n?", "\n")
-    para = F.substring_index(tidy, "\n\n", -1)
-    line = F.substring_index(para, "\n", -1)
+def ending(line: Column, para: Column) -> Column:
+    """'complete', 'closing', 'open' or 'doubtful', by the last line and the last paragraph of a text."""
     caps = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"(?<![\p{L}'’-])(\p{Lu})"), 1))
     small = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"(?<![\p{L}'’-])(\p{Ll})"), 1))
     sentences = para.rlike(r"(\p{Ll}{2}|[)\]\d])[.!?]\s")
     lines = F.split(para, "\n")
     address = (F.size(lines) > 1) & ~sentences & F.forall(lines, lambda x: x.rlike(r"^\p{Lu}") & (caps(x) >= small(x)))
     bare = ~sentences & (F.size(lines) == 1) & (small(para) == 0) & (caps(para) > 3)
+    tip = F.right(line, F.lit(12))
     return (
-        F.when(F.length(tidy) == 0, None)
-        .when(tidy.rlike(_MARK), "open")
-        .when(tidy.rlike(_ELLIPSIS), F.when(tidy.rlike(r"\[(…|\.\.\.)\]$"), "open").otherwise("doubtful"))
+        F.when(tip.rlike(_MARK), "open")
+        .when(tip.rlike(_ELLIPSIS), F.when(tip.rlike(r"\[(…|\.\.\.)\]$"), "open").otherwise("doubtful"))
         .when(line.rlike(_CLOSING_LINE), "closing")
-        .when(tidy.rlike(_COMPLETE), "complete")
+        .when(tip.rlike(_COMPLETE), "complete")
         .when(address, "closing")
         .when(bare, "doubtful")
-        .when(text.isNotNull(), "open")
+        .otherwise("open")
     )
 
 
 def endings(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(id, source, ending, chars, bytes) of every text that is not blank; narrow, so cheap to keep."""
-    return df.select(
+    blank = F.lit(" \n\t\r\f\v\u00a0\u2028\u2029")
+    cut = df.select(
         F.col(id_col),
         F.coalesce(F.col(source_col), F.lit("")).alias("source"),
-        ending(F.col(text_col)).alias("ending"),
         F.char_length(text_col).alias("chars"),
         F.octet_length(text_col).alias("bytes"),
-    ).where(F.col("ending").isNotNull())
+        F.rtrim(F.substring_index(F.rtrim(F.replace(F.col(text_col), F.lit("\r"), F.lit("")), blank), "\n\n", -1), blank).alias("para"),
+    ).where(F.length("para") > 0)
+    cut = cut.withColumn("line", F.substring_index("para", "\n", -1))
+    return cut.select(id_col, "source", ending(F.col("line"), F.col("para")).alias("ending"), "chars", "bytes")
 
 
 @F.pandas_udf(DoubleType())
