@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from quire.llm import survivor
+from quire.llm import encoding, lookalike, survivor
 from quire.sources.tables import table
 
 
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metadata = table(spark, sf_dir, "metadata_results").select(F.lit("metadata").alias("record_kind"), F.col("result_id").alias("record_id"), "title")
+    return metadata.unionAll(table(spark, sf_dir, "search_results").select(F.lit("search"), "search_id", "title"))
+
+
+def p3_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title in one consistent form."""
+    titles = _titles(spark, sf_dir)
+    return lookalike.consistent(titles, "title", lookalike.string_counts(titles, "title"))
+
+
+@F.pandas_udf(BooleanType())
+def _garbled(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: bool(x) and encoding.repair(x)[0]).astype(bool)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title that is rewritten, and was not decoded wrongly."""
+    titles = _titles(spark, sf_dir)
+    odd = titles.where(F.col("title").rlike(r"[^\x00-\x7F]"))
+    changed = lookalike.consistent(odd, "title", lookalike.string_counts(titles, "title")).where("plain <> title")
+    return changed.where(~_garbled("title")).select("record_kind", "record_id").distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving row of every request, and the row that has its best abstract."""
     return survivor.survivors(table(spark, sf_dir, "metadata_results"), table(spark, sf_dir, "source_trust"))
@@ -18,5 +45,15 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.merged_records(table(spark, sf_dir, "metadata_results"), table(spark, sf_dir, "source_trust"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_records": p4_records}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title and list of authors with a wrongly decoded value."""
+    return p5_restored(spark, sf_dir).select("result_id", "field_name").distinct()
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every wrongly decoded value with what it was, as far as it can be restored."""
+    return encoding.repaired(table(spark, sf_dir, "metadata_results"), ["result_id"], encoding.title_and_authors())
+
+
+QUERIES = {"p3_found": p3_found, "p3_titles": p3_titles, "p5_found": p5_found, "p5_restored": p5_restored, "p4_found": p4_found, "p4_records": p4_records}
 ORACLE: dict[str, str] = {}
