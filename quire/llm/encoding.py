@@ -41,6 +41,8 @@ def _back(codec: str) -> dict[int, int]:
             table[b] = b
         if codec == "cp1252":
             table.setdefault(b, b)  # Latin-1 has control characters there
+    if table.get(0xA0, 0) >= 0xC2:
+        del table[0xA0]  # a space begins no letter
     return table
 
 
@@ -60,7 +62,7 @@ def _plausible(text: str) -> bool:
         kind = unicodedata.category(c)
         if kind[0] == "M" and text == c or kind in ("Cn", "Co", "Cs"):
             return False
-        if not (n < 0x600 or 0x1E00 <= n < 0x2C00 or 0x3000 <= n < 0xA000 or 0xAC00 <= n < 0xD7B0 or 0xFB00 <= n or n >= 0x1D400):
+        if not (n < 0x180 or 0x386 <= n < 0x3D0 or 0x400 <= n < 0x600 or 0x1E00 <= n < 0x2C00 or 0x3000 <= n < 0xA000 or 0xAC00 <= n < 0xD7B0 or 0xFB00 <= n or n >= 0x1D400):
             return False
     return True
 

@@ -3,12 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import leakage, packing, truncation
+from quire.llm import language, leakage, packing, truncation
 from quire.session import settle
 from quire.sources.tables import table
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_kind, record_id, doc_id, label, lang, confidence, passages) of documents and long abstracts."""
+    documents, metadata = table(spark, sf_dir, "documents"), table(spark, sf_dir, "metadata_results")
+    model = language.fit(documents, "doc_id", "text", "lang")
+    texts = documents.select(F.lit("document").alias("record_kind"), F.col("doc_id").alias("record_id"), language.canonical(F.col("lang")).alias("label"), "text")
+    abstracts = metadata.where(F.char_length("abstract") >= 100).select(F.lit("metadata"), "result_id", language.canonical(F.col("language")), "abstract")
+    return language.languages(texts.unionAll(abstracts), ["record_kind", "record_id", "label"], "text", model)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose label is missing, empty or wrong, and documents of two languages."""
+    second = language.second_language(F.col("passages"), F.col("lang"))
+    judged = settle(_judged(spark, sf_dir).select("record_kind", "record_id", "label", "lang", second.alias("second")))
+    wrong = F.col("label").isNull() | (F.col("label") != F.col("lang"))
+    mixed = (F.col("record_kind") == "document") & F.col("second").isNotNull()
+    own = judged.where(wrong | mixed).select("record_kind", "record_id", F.explode(F.when(mixed, F.array("lang", "second")).otherwise(F.array("lang"))).alias("lang"))
+    documents = judged.where("record_kind = 'document'").select(F.col("record_id").alias("doc_id"), "lang")
+    requests = table(spark, sf_dir, "paper_identifiers").select("request_id", "doc_id", language.canonical(F.col("language")).alias("label"))
+    scans = requests.join(documents, "doc_id").where(wrong).select(F.lit("identifiers"), "request_id", "lang")
+    return own.unionAll(scans).distinct()
+
+
+def p7_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every text."""
+    return _judged(spark, sf_dir).select("record_kind", "record_id", "lang", "confidence")
+
+
+def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every passage of the documents."""
+    found = _judged(spark, sf_dir).where("record_kind = 'document'")
+    return found.select(F.col("record_id").alias("doc_id"), F.posexplode("passages").alias("passage_no", "p")).select("doc_id", "passage_no", "p.*")
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in containers of each capacity."""
     return packing.pack(*_sizes(spark, sf_dir))
@@ -57,5 +91,5 @@ def p10_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.length_limits(ends)
 
 
-QUERIES = {"p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_sources": p10_sources, "p10_limits": p10_limits}
+QUERIES = {"p7_found": p7_found, "p7_labels": p7_labels, "p7_passages": p7_passages, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_sources": p10_sources, "p10_limits": p10_limits}
 ORACLE: dict[str, str] = {}
