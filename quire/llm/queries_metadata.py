@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from quire.llm import encoding, lookalike, survivor
+from quire.llm import encoding, lookalike, names, survivor
 from quire.sources.tables import table
 
 
@@ -55,5 +55,15 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.repaired(table(spark, sf_dir, "metadata_results"), ["result_id"], encoding.title_and_authors())
 
 
-QUERIES = {"p3_found": p3_found, "p3_titles": p3_titles, "p5_found": p5_found, "p5_restored": p5_restored, "p4_found": p4_found, "p4_records": p4_records}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every author that means a catalogue entry under another spelling."""
+    mentions = None
+    for kind, name, key in (("metadata", "metadata_results", "result_id"), ("search", "search_results", "search_id"), ("identifiers", "paper_identifiers", "request_id")):
+        each = table(spark, sf_dir, name).select(F.lit(kind).alias("record_kind"), F.col(key).alias("record_id"), F.posexplode("authors").alias("pos", "name"))
+        each = each.where(F.col("name").isNotNull()).select("record_kind", "record_id", (F.col("pos") + 1).alias("author_no"), "name")
+        mentions = each if mentions is None else mentions.unionAll(each)
+    return names.linked(mentions, table(spark, sf_dir, "author_catalogue")).select("record_kind", "record_id", "author_no", "author_id").distinct()
+
+
+QUERIES = {"p6_found": p6_found, "p3_found": p3_found, "p3_titles": p3_titles, "p5_found": p5_found, "p5_restored": p5_restored, "p4_found": p4_found, "p4_records": p4_records}
 ORACLE: dict[str, str] = {}
