@@ -29,12 +29,12 @@ EDITS, LEAST_LETTERS, BLOCK = 1, 4, 100_000
 
 # Given names and their short forms.
 _NICK = {
-    "albert": "al bert", "alexander": "alex sascha", "antonia": "toni tonia", "barbara": "barb babs barbie", "charles": "charlie chuck chas carl",
+    "albert": "al bert bertie", "aleksander": "alex sasha sascha aleks", "alexander": "alex sascha", "antonia": "toni tonia", "barbara": "barb babs barbie", "charles": "charlie chuck chas carl",
     "christina": "chris tina", "dolores": "lola dolly", "eleanor": "nell ellie nora ellen", "elisabeth": "lisa beth betty liz elsa lisbeth eliza", "elizabeth": "lisa beth betty liz eliza",
-    "francisco": "paco pancho frank cisco", "fredrik": "fred freddie rik", "frederick": "fred freddie", "gabriel": "gabe", "helene": "lena nell helen", "henrietta": "etta hetty hettie",
-    "ingrid": "inga inger", "james": "jim jimmy", "johannes": "hans jo johan", "john": "jack johnny", "jorg": "jorgen", "josefina": "fina josie pepa josy", "katherine": "kate kathy katie kat", "kristina": "kris tina stina kirsti",
+    "francisco": "paco pancho frank cisco", "fredrik": "fred freddie rik fritz", "frederick": "fred freddie", "gabriel": "gabe", "helene": "lena nell helen", "henrietta": "etta hetty hettie",
+    "ingrid": "inga inger", "james": "jim jimmy", "johannes": "hans hannes jo johan", "john": "jack johnny", "jorg": "jorgen", "josefina": "fina josie pepa josy", "katherine": "kate kathy katie kat", "kristina": "kris tina stina kirsti",
     "ludovic": "ludo", "margaret": "peggy maggie meg greta", "maximilian": "max", "michael": "mike mick mikey", "nikolaus": "klaus niko nick nico", "oskar": "ossi", "quentin": "quent",
-    "richard": "dick rick richie rich", "robert": "bob rob bobby bert", "rut": "ruth", "susanna": "sanna sue susie suse", "theodore": "ted theo teddy", "thomas": "tom tommy", "ulla": "ulrika",
+    "richard": "dick rick richie rich", "robert": "bob rob bobby bert bertie", "rut": "ruth", "susanna": "sanna sue susie suse", "theodore": "ted theo teddy", "thomas": "tom tommy", "ulla": "ulrika",
     "victoria": "vicky vicki tori", "viggo": "vig", "wilhelmina": "mina minna willa wilma", "william": "bill will willy billy liam", "xavier": "xavi", "inaki": "ignacio",
 }
 _LONG: dict[str, set[str]] = {}
@@ -45,11 +45,11 @@ for _full, _all in _NICK.items():
 _FOLD = str.maketrans({"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "đ": "d", "ł": "l", "ð": "d", "þ": "th", "ı": "i"})
 _ROLE = re.compile(
     r"(?:^|(?<=[\s,;(]))(?:prof(?:essor)?\.?|dr\.?(?:\s*(?:phil|med|h\.\s?c)\.)?|fil\.\s*dr\.?|ph\.?\s?d\.?|m\.\s?d\.?|jr\.?|sr\.?|sir|mr\.?|mrs\.?|ms\.?|dipl\.?|hrsg\.?|\(?eds?\.?\)?|\(?red\.?\)?"
-    r"|\(?publ\.?\)?|\(?author\)?|\(?utg\.?\)?|\(?hg\.?\)?|\d{4}\s*[-–]\s*(?:\d{4})?)(?=$|[\s,;)])\)?",
+    r"|e\.\s?v\.?|\(?publ\.?\)?|\(?author\)?|\(?utg\.?\)?|\(?hg\.?\)?|\d{4}\s*[-–]\s*(?:\d{4})?)(?=$|[\s,;)])\)?",
     re.I,
 )
-_SMALL = {"the", "of", "on", "in", "and", "for", "a", "an", "at"}
-_ABBREVIATED = {"univ": "university", "inst": "institute", "dept": "department", "dep": "department", "assoc": "association", "soc": "society", "res": "research", "ctr": "centre", "center": "centre", "natl": "national", "comm": "committee", "coll": "college"}
+_SMALL = {"the", "of", "on", "in", "and", "for", "f", "a", "an", "at"}
+_ABBREVIATED = {"univ": "university", "inst": "institute", "dept": "department", "dep": "department", "assoc": "association", "soc": "society", "res": "research", "ctr": "centre", "center": "centre", "natl": "national", "nat": "national", "comm": "committee", "coll": "college", "pr": "press", "stud": "studies", "her": "heritage", "roy": "royal", "ass": "association"}
 
 
 def fold(text: str) -> str:
@@ -60,6 +60,15 @@ def fold(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
 
 
+_SPELT = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ø": "oe", "å": "aa"})
+
+
+def spellings(text: str) -> list[str]:
+    """The folded forms of a name, with its umlauts as plain letters and as two."""
+    low = unicodedata.normalize("NFC", text.casefold())
+    return list(dict.fromkeys((fold(low), fold(low.translate(_SPELT)))))
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Edit distance with swapped neighbours as one; ``most`` + 1 if it is more."""
     if a == b:
@@ -179,23 +188,47 @@ class Catalogue:
 
     def __init__(self, entries: list[tuple]) -> None:
         self.people: dict[str, list[tuple]] = {}
-        self.bodies: dict[str, list] = {}
+        self.bodies: dict[str, set] = {}
         for key, name, last, first in entries:
             if first:
-                self.people.setdefault(self.surname(fold(last or "")), []).append((key, parts(fold(first))))
+                for surname in {self.surname(x) for x in spellings(last or "")}:
+                    self.people.setdefault(surname, []).extend((key, parts(x)) for x in spellings(first))
             elif name:
-                self.bodies.setdefault(self.body(name), []).append(key)
+                for form in self.forms(name):
+                    self.bodies.setdefault(form, set()).add(key)
         self.shards = [Trie(k for k in self.people if len(k) % 4 == r) for r in range(4)]
-        self.body_trie = Trie(iter(self.bodies))
+        self.body_trie = Trie(k for k in self.bodies if "|" not in k)
+        self.remembered: dict[str, list] = {}
 
     @staticmethod
     def surname(folded: str) -> str:
         return re.sub(r"[^\w]", "", folded)
 
     @staticmethod
-    def body(name: str) -> str:
-        words = [_ABBREVIATED.get(w, w) for w in re.findall(r"\w+", fold(name))]
-        return "".join(w for w in words if w not in _SMALL)
+    def words(name: str) -> list[str]:
+        return [_ABBREVIATED.get(w, w) for w in re.findall(r"\w+", fold(name))]
+
+    @classmethod
+    def body(cls, name: str) -> str:
+        """An organisation's words in their order, without the small ones."""
+        return "".join(w for w in cls.words(name) if w not in _SMALL)
+
+    @classmethod
+    def forms(cls, name: str) -> set[str]:
+        """Keys of an organisation: its words in order, in any order, and its initials with one of its words."""
+        every = cls.words(name)
+        words = [w for w in every if w not in _SMALL]
+        out = {"".join(words), "|".join(sorted(words))}
+        for short in {"".join(w[0] for w in words), "".join(w[0] for w in every)}:
+            out |= {f"{short}|{w}" for w in words if len(w) > 4}
+        return out
+
+    def near(self, surname: str) -> list[tuple[int, str]]:
+        """Surnames within the bound, from the shards of the lengths that can hold them."""
+        if surname not in self.remembered:
+            lengths = {(len(surname) + d) % 4 for d in range(-EDITS, EDITS + 1)}
+            self.remembered[surname] = [x for r in lengths for x in self.shards[r].near(surname, EDITS)]
+        return self.remembered[surname]
 
     def _splits(self, text: str) -> list[tuple[str, list[str], str]]:
         """(surname, given tokens, given as written) in every order that the tokens allow."""
@@ -223,21 +256,20 @@ class Catalogue:
         text = _ROLE.sub(" ", unicodedata.normalize("NFKC", name)).strip(" ,;()")
         if not text:
             return None
-        body = self.body(text)
-        if body in self.bodies:
-            return self._only([(0, k) for k in self.bodies[body]])
+        words = [w for w in self.words(text) if w not in _SMALL]
+        body = "".join(words)
+        for form in (body, "|".join(sorted(words)), "|".join(words) if len(words) == 2 else ""):
+            if form in self.bodies:
+                return self._only([(0, k) for k in self.bodies[form]])
         splits = [x for x in self._splits(text) if x[0] and x[1]]
         found = [(g, key) for last, given, block in splits for key, entry in self.people.get(last, ()) if (g := given_cost(given, entry, block)) is not None]
         if not found:
             for last, given, block in splits:
-                if len(last) < LEAST_LETTERS:
-                    continue
-                for r in range(4):
-                    if any((len(last) + d) % 4 == r for d in range(-EDITS, EDITS + 1)):
-                        for d, near in self.shards[r].near(last, EDITS):
-                            found += [(d + g, key) for key, entry in self.people[near] if (g := given_cost(given, entry, block)) is not None and d + g <= EDITS]
+                if len(last) >= LEAST_LETTERS:
+                    for d, near in self.near(last):
+                        found += [(d + g, key) for key, entry in self.people[near] if (g := given_cost(given, entry, block)) is not None and d + g <= EDITS]
         if not found and len(body) >= 15:
-            found = [(d, k) for d, near in self.body_trie.near(body, EDITS + 1) for k in self.bodies[near]]
+            found = [(d, k) for d, near in self.body_trie.near(body, EDITS) for k in self.bodies[near]]
         return self._only(found)
 
     @staticmethod
