@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 #: Successive words that make a leak, and the bound on the reduced letters of the items in one automaton.
 WORDS, BLOCK_CHARS = 12, 4_000_000
 
-# Greek and Cyrillic letters that look like Latin ones, each above its likeness.
+# Greek and Cyrillic letters whose small or capital form looks like a Latin letter, each above that.
 _LOOKS = str.maketrans(
-    "аеорсухіјѕԁһӏԛԝαορνικτυх",
-    "aeopcyxijsdhlqwaopviktux",
-)
+    "аеорсухіјѕԁһӏԛԝвкмнтαορνικτυχβεζημϲ",
+    "aeopcyxijsdhlqwbkmhtaopviktuxbezhmc",
+)
 _NOT_WORD = re.compile(r"[\W_]+")
 
 

@@ -7,10 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from quire.llm import encoding, lookalike, names, survivor
+from quire.llm import encoding, linkage, lookalike, names, survivor
 from quire.sources.tables import table
 
 
+def p1_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs of library items and source answers, with the confidence that they are about one work."""
+    items = table(spark, sf_dir, "search_results").select(F.col("search_id").alias("id"), "title", "authors", F.col("year").alias("date"))
+    answers = table(spark, sf_dir, "metadata_results").select(F.col("result_id").alias("id"), "title", "authors", F.col("publication_date").alias("date"))
+    return linkage.matched(items, answers).withColumnsRenamed({"a_id": "search_id", "b_id": "result_id"})
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Library items and source answers about the same work."""
+    return p1_confidence(spark, sf_dir).where("confidence >= 0.5").select("search_id", "result_id").distinct()
+
+
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     metadata = table(spark, sf_dir, "metadata_results").select(F.lit("metadata").alias("record_kind"), F.col("result_id").alias("record_id"), "title")
     return metadata.unionAll(table(spark, sf_dir, "search_results").select(F.lit("search"), "search_id", "title"))
@@ -65,5 +77,5 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.linked(mentions, table(spark, sf_dir, "author_catalogue")).select("record_kind", "record_id", "author_no", "author_id").distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p3_found": p3_found, "p3_titles": p3_titles, "p5_found": p5_found, "p5_restored": p5_restored, "p4_found": p4_found, "p4_records": p4_records}
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p6_found": p6_found, "p3_found": p3_found, "p3_titles": p3_titles, "p5_found": p5_found, "p5_restored": p5_restored, "p4_found": p4_found, "p4_records": p4_records}
 ORACLE: dict[str, str] = {}
