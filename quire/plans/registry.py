@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import nested
+from quire.plans import identifiers, nested, store
 
-MODULES = [nested]
+MODULES = [nested, store, identifiers]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
