@@ -106,9 +106,9 @@ def extract_dois(text: Column) -> Column:
 
 def extract_issns(text: Column) -> Column:
     """Distinct ISSNs, those marked as online within twenty characters first."""
-    pairs = F.regexp_extract_all(text, F.lit(r"(?is)\b(ISSN[:\s]*\d{4}-\d{3}[0-9X]\b.{0,20})"), 1)
+    pairs = F.regexp_extract_all(text, F.lit(r"(?is)\bISSN[:\s]*(?=(\d{4}-\d{3}[0-9X]\b.{0,20}))"), 1)
     number = lambda x: F.upper(F.regexp_extract(x, r"(?i)(\d{4}-\d{3}[0-9X])", 1))
-    online = lambda x: x.rlike(r"(?i)online|electronic|e-?issn") & ~x.rlike(r"(?i)^[^a-z]*issn[:\s]*[\d-]+x?\W*(print|p-?issn)")
+    online = lambda x: x.rlike(r"(?i)^[\d-]+x?\W*(online|electronic|e-?issn)") | x.rlike(r"(?i)online|electronic|e-?issn") & ~x.rlike(r"(?i)^[\d-]+x?\W*(print|p-?issn)")
     return F.array_distinct(F.concat(F.transform(F.filter(pairs, online), number), F.transform(F.filter(pairs, lambda x: ~online(x)), number)))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import identifiers, nested, store
+from quire.plans import identifiers, linking, nested, store
 
-MODULES = [nested, store, identifiers]
+MODULES = [nested, store, identifiers, linking]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

@@ -150,8 +150,8 @@ def path_match(spark, sf):
     return df.select("item_id", "attachment_key", "base", match.alias("path_matches"))
 
 
-@book.add(WITH + """, v AS (SELECT DISTINCT original_filename AS f, unnest([original_filename, replace(original_filename, '_scanned', ''), regexp_replace(replace(original_filename, 'scan_', ''), '_\d+\.pdf$', '.pdf')]) AS variant,
-  unnest([0, 1, 2]) AS priority FROM scan_log), names AS (SELECT attachment_key, regexp_extract(path, '([^/\\\\]+)$', 1) AS base FROM attachments)
+@book.add(WITH + r""", v AS (SELECT DISTINCT original_filename AS f, unnest([original_filename, replace(original_filename, '_scanned', ''), regexp_replace(replace(original_filename, 'scan_', ''), '_\d+\.pdf$', '.pdf')]) AS variant,
+  unnest([0, 1, 2]) AS priority FROM scan_log), names AS (SELECT attachment_key, regexp_extract(path, '([^/\\]+)$', 1) AS base FROM attachments)
  SELECT f AS original_filename, attachment_key FROM (SELECT f, attachment_key, row_number() OVER (PARTITION BY f ORDER BY priority, attachment_key) AS k FROM v JOIN names ON lower(base) = lower(variant)) WHERE k = 1""")
 def path_variants(spark, sf):
     """The attachment of each logged file by the first variant of its name that a stored file has."""
