@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import identifiers, linking, logs, nested, store, texts
+from quire.plans import identifiers, linking, logs, nested, runs, store, texts
 
-MODULES = [nested, store, identifiers, linking, logs, texts]
+MODULES = [nested, store, identifiers, linking, logs, texts, runs]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
