@@ -62,7 +62,7 @@ def _plausible(text: str) -> bool:
         kind = unicodedata.category(c)
         if kind[0] == "M" and text == c or kind in ("Cn", "Co", "Cs"):
             return False
-        if not (n < 0x180 or 0x386 <= n < 0x3D0 or 0x400 <= n < 0x600 or 0x1E00 <= n < 0x2C00 or 0x3000 <= n < 0xA000 or 0xAC00 <= n < 0xD7B0 or 0xFB00 <= n or n >= 0x1D400):
+        if not (n < 0x180 or 0x386 <= n < 0x3D0 or 0x401 <= n < 0x460 or 0x1E00 <= n < 0x2C00 or 0x3000 <= n < 0xA000 or 0xAC00 <= n < 0xD7B0 or 0xFB00 <= n or n >= 0x1D400):
             return False
     return True
 
@@ -80,8 +80,8 @@ def spans(text: str, codec: str) -> list[tuple[int, int, str]]:
     found = []
     for m in _SPAN.finditer(_mapped(text, codec)):
         decoded = m.group().encode("latin-1").decode("utf-8")
-        if codec == "cp1251" and len(decoded) == 1 and 0x400 <= ord(decoded) < 0x530:
-            continue  # two look-alike Cyrillic letters, not one garbled
+        if len(decoded) == 1 and 0x400 <= ord(decoded) < 0x530:
+            continue  # look-alike letters or a dash before an accent, not one garbled letter
         if len(decoded) == 1 and text[m.end() - 1] in "\xa0\xad" and text[m.start()] not in "ÃÂГВ":
             continue  # a capital letter before a special space or a soft hyphen
         if _plausible(decoded):
@@ -106,6 +106,8 @@ def _unpaired(text: str) -> bool:
         if c in "„‚" and m.group(2):
             if not re.search("[“”‘’\"]", text[at + 1 :]):
                 return True
+        elif c in "„‚":
+            return True  # low quotation marks open words, they don't end them
         elif c in "”›" and m.group(1):
             if not any(o in text[:at] for o in _OPENS[c]):
                 return True

@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 LANGS = ("en", "de", "no", "sv", "fr", "es", "fi")
 #: Labelled texts per language that the model is fitted on (the bound of the sample), and letters taken of them all.
 SAMPLE_ROWS, SAMPLE_CHARS = 200, 300_000
-#: Least running words and margin (bits per letter) of a sentence with a language; sentences of a passage.
-LEAST_WORDS, MARGIN, PASSAGE = 5, 0.25, 3
+#: Least words, and running ones (not capitalised) among them, and least margin (bits per letter) of a sentence with a
+#: language; sentences of a passage.
+LEAST_WORDS, LEAST_RUNNING, MARGIN, PASSAGE = 5, 3, 0.25, 3
 REMEMBERED = 300_000
 
 # Codes and names of the languages.
@@ -182,7 +183,7 @@ class Parser:
         if not len(owner):
             return []
         two = np.partition(costs, 1, axis=1)
-        clear = (running >= LEAST_WORDS) & (running * 2 >= words) & ((two[:, 1] - two[:, 0]) >= MARGIN * letters)
+        clear = (words >= LEAST_WORDS) & (running >= LEAST_RUNNING) & (running * 2 >= words) & ((two[:, 1] - two[:, 0]) >= MARGIN * letters)
         best = np.argmin(costs, axis=1)
         out, edges = [], np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
         for a, b in zip(edges[:-1], edges[1:]):
@@ -191,7 +192,7 @@ class Parser:
             runs: list[list] = []
             for i in range(a, b):
                 if not clear[i]:
-                    if runs and runs[-1][0] == best[i] and running[i] >= LEAST_WORDS - 2:
+                    if runs and runs[-1][0] == best[i] and running[i] >= LEAST_RUNNING:
                         runs[-1][1] += 1  # an unclear sentence amid its like
                     continue
                 shares[best[i]] += letters[i]

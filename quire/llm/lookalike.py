@@ -61,6 +61,10 @@ def plain_form(c: str) -> str | None:
     return form
 
 
+#: What the compatibility letters of several letters stand for, such as the ligatures.
+_JOINED = sorted({f for c in map(chr, (*range(0x100, 0x2200), *range(0xFB00, 0xFB07))) if (f := plain_form(c)) and len(f) > 1 and f.isascii()})
+
+
 class Classes:
     """Union-find over strings."""
 
@@ -145,13 +149,14 @@ class Rewriter:
 
 
 def string_counts(df: DataFrame, text_col: str) -> dict[str, int]:
-    """How often each character and each accented cluster stands in the texts."""
+    """How often each character, accented cluster and pair of letters that has a ligature stands in the texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = "\n".join(x for x in batch.column(0).to_pylist() if x)
             seen = Counter(text)
             seen.update(_MARKED.findall(text))
+            seen.update({f: n for f in _JOINED if (n := text.count(f))})
             yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["s", "n"])
 
     counted = df.select(F.col(text_col).cast("string")).mapInArrow(count, "s string, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
