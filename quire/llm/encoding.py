@@ -62,7 +62,7 @@ def _plausible(text: str) -> bool:
         kind = unicodedata.category(c)
         if kind[0] == "M" and text == c or kind in ("Cn", "Co", "Cs"):
             return False
-        if not (n < 0x180 or 0x386 <= n < 0x3D0 or 0x401 <= n < 0x460 or 0x1E00 <= n < 0x2C00 or 0x3000 <= n < 0xA000 or 0xAC00 <= n < 0xD7B0 or 0xFB00 <= n or n >= 0x1D400):
+        if n not in (0x192, 0x2C6, 0x2DC) and not (n < 0x180 or 0x386 <= n < 0x3D0 or 0x401 <= n < 0x460 or 0x1E00 <= n < 0x2C00 or 0x3000 <= n < 0xA000 or 0xAC00 <= n < 0xD7B0 or 0xFB00 <= n or n >= 0x1D400):
             return False
     return True
 
@@ -82,6 +82,8 @@ def spans(text: str, codec: str) -> list[tuple[int, int, str]]:
         decoded = m.group().encode("latin-1").decode("utf-8")
         if len(decoded) == 1 and 0x400 <= ord(decoded) < 0x530:
             continue  # look-alike letters or a dash before an accent, not one garbled letter
+        if codec == "cp1251" and len(decoded) == 1 and not decoded.isalpha() and text[m.start() : m.end()].isalpha():
+            continue  # two letters of which a sign would come
         if len(decoded) == 1 and text[m.end() - 1] in "\xa0\xad" and text[m.start()] not in "ÃÂГВ":
             continue  # a capital letter before a special space or a soft hyphen
         if _plausible(decoded):
@@ -89,12 +91,14 @@ def spans(text: str, codec: str) -> list[tuple[int, int, str]]:
     return found
 
 
-_SYMBOLS = {chr(k): bytes([b]).decode(DOS) for k, b in _TABLES["cp1252"].items() if b <= 0xA5}
-_LETTERS = {k: v for k, v in _SYMBOLS.items() if v.isalpha()}
-_ODD = "".join(re.escape(k) for k in _LETTERS if not k.isalpha() and k not in "‘’“”–—…\xa0" and k >= "\xa1")
-_INSIDE = re.compile(rf"[^\W\d_][{_ODD}“”]+[^\W\d_]")
+_SYMBOLS = {chr(k): bytes([b]).decode(DOS) for k, b in _TABLES["cp1252"].items()}
+#: Symbols for letters of either case; and small letters for capital ones, which show inside capitals only.
+_LETTERS = {chr(k): _SYMBOLS[chr(k)] for k, b in _TABLES["cp1252"].items() if (b <= 0xA5 or b in (0xB5, 0xB7)) and _SYMBOLS[chr(k)].isalpha()}
+_CAPITALS = {k: v for k, v in _SYMBOLS.items() if k.islower() and v.isupper() and k not in _LETTERS}
+_ODD = "ˆƒ" + "".join(re.escape(k) for k in _LETTERS if not k.isalpha() and k not in "‘’“”–—…·\xa0" and k >= "\xa1")
+_INSIDE = re.compile(rf"[^\W\d_ˆƒ][{_ODD}“”]+[^\W\d_]")
 _CONTROL = re.compile("[\x80-\x9f]")
-_CASE = re.compile("[a-zà-ÿ][ŠŽŒŸ][a-zà-ÿ]|[A-ZÀ-Þ][šžœ][A-ZÀ-Þ]")
+_CASE = re.compile(r"[a-zà-ÿ][ŠŽŒŸ][a-zà-ÿ]|[A-ZÀ-Þ][šžœ][A-ZÀ-Þ]|[A-ZÀ-Þ]{2}[à-ÿµ][A-ZÀ-Þ]|(?<!\w)[šžœµ][A-ZÀ-Þ]{2}")
 _EDGE = re.compile(rf"[^\W\d_]([{_ODD}”]+)(?![\w“”])|(?<!\w)([{_ODD}”]+)[^\W\d_]")
 _OPENS = {"”": "“„”\"", "›": "‹", "»": "«", "‹": "›", "„": "", "‚": ""}
 
@@ -114,7 +118,7 @@ def _unpaired(text: str) -> bool:
         elif c in "”" and m.group(2):
             if "”" not in text[at + 1 :]:
                 return True
-        elif c in "†‡ˆ‰˜•" and m.group(1) or c in "ˆ‰˜":
+        elif c in "†‡ˆ‰˜•" and m.group(1) or c in "ˆ‰˜" or c in "¥¤™" and m.group(2):
             return True
     return False
 
@@ -131,10 +135,12 @@ def dos_restored(text: str) -> str:
     """``text`` with the symbols of its words decoded; quotation marks in pairs and free-standing dashes stay."""
     out = list(text)
     for i, c in enumerate(text):
+        if c in _CAPITALS and text[i - 1 : i].isupper() and (text[i + 1 : i + 2].isupper() or not text[i + 1 : i + 2].isalpha()):
+            out[i] = _CAPITALS[c]
         if c not in _LETTERS:
             continue
         left, right = text[i - 1 : i].isalpha() or text[i - 1 : i] in _LETTERS, text[i + 1 : i + 2].isalpha() or text[i + 1 : i + 2] in _LETTERS
-        if "\x80" <= c <= "\x9f" or left and right or (left or right) and c not in "‘’“\xa0…–—" or c == "…" and text[i - 1 : i + 2] == " … ":
+        if "\x80" <= c <= "\x9f" or left and right or (left or right) and c not in "‘’“\xa0…–—" or c in "…·" and text[i - 1 : i + 2] == f" {c} ":
             out[i] = _LETTERS[c]
     return "".join(out)
 
