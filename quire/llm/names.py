@@ -43,10 +43,11 @@ for _full, _all in _NICK.items():
         _LONG.setdefault(_s, set()).add(_full)
 
 _FOLD = str.maketrans({"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "đ": "d", "ł": "l", "ð": "d", "þ": "th", "ı": "i"})
+#: Titles, roles and years beside a name. Two capitals without a stop behind a surname are initials, not a role.
 _ROLE = re.compile(
-    r"(?:^|(?<=[\s,;(]))(?:prof(?:essor)?\.?|dr\.?(?:\s*(?:phil|med|h\.\s?c)\.)?|fil\.\s*dr\.?|ph\.?\s?d\.?|m\.\s?d\.?|jr\.?|sr\.?|sir|mr\.?|mrs\.?|ms\.?|dipl\.?|hrsg\.?|\(?eds?\.?\)?|\(?red\.?\)?"
-    r"|e\.\s?v\.?|\(?publ\.?\)?|\(?author\)?|\(?utg\.?\)?|\(?hg\.?\)?|\d{4}\s*[-–]\s*(?:\d{4})?)(?=$|[\s,;)])\)?",
-    re.I,
+    r"^(?:(?i:prof(?:essor)?|dr|fil|sir|mr|mrs|ms|dipl)\.?\s+(?:(?i:dr|phil|med)\.?\s+)*)+"
+    r"|(?:^|(?<=[\s,;(]))(?:[Pp]rof(?:essor)?\.?|[Dd]r\.|Dr|[Ff]il\.\s*dr\.?|[Pp]h\.?\s?[Dd]\.?|[Jj]r\.?|[Ss]r\.?|Dipl\.|[Hh]rsg\.?|\(?[Ee]ds?\.\)?|\([Ee]ds?\)|\(?[Rr]ed\.\)?|e\.\s?[Vv]\.?"
+    r"|\(?[Pp]ubl\.?\)?|\(author\)|\(?[Uu]tg\.\)?|\(?[Hh]g\.\)?|\d{4}\s*[-–]\s*(?:\d{4})?)(?=$|[\s,;)])\)?"
 )
 _SMALL = {"the", "of", "on", "in", "and", "for", "f", "a", "an", "at"}
 _ABBREVIATED = {"univ": "university", "inst": "institute", "dept": "department", "dep": "department", "assoc": "association", "soc": "society", "res": "research", "ctr": "centre", "center": "centre", "natl": "national", "nat": "national", "comm": "committee", "coll": "college", "pr": "press", "stud": "studies", "her": "heritage", "roy": "royal", "ass": "association"}
