@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 WORDS, BLOCK_CHARS = 12, 4_000_000
 
 # Greek and Cyrillic letters whose small or capital form looks like a Latin letter, each above that.
-_LOOKS = str.maketrans(
+LOOKS = str.maketrans(
     "аеорсухіјѕԁһӏԛԝвкмнтαορνικτυχβεζημϲ",
     "aeopcyxijsdhlqwbkmhtaopviktuxbezhmc",
 )
@@ -46,7 +46,7 @@ def reduce_text(text: str) -> str:
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text.casefold()))
         if _OTHER.search(text):
-            text = text.translate(_LOOKS)
+            text = text.translate(LOOKS)
         return _NOT_WORD.sub("", text)
     return _NOT_WORD.sub("", text.lower())
 

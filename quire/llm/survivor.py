@@ -20,6 +20,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.leakage import LOOKS
+
 #: A step must have been seen so often, and so many times as often as its reverse, to be a precedence; and the most
 #: values of an attribute that the order is learned for (the most frequent ones; values beyond it have no order).
 LEAST_STEPS, ODDS, MOST_VALUES = 5, 3.0, 500
@@ -27,6 +29,11 @@ LEAST_STEPS, ODDS, MOST_VALUES = 5, 3.0, 500
 LEAST_WORDS, TITLE_SHARE = 8, 0.6
 
 
+# full-width letters, look-alikes of Latin ones and special spaces, and what they stand for
+_FROM = "".join(map(chr, range(0xFF41, 0xFF5B))) + "".join(map(chr, LOOKS)) + "\u3000\u00a0\u2009\u202f\u2007"
+_TO = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, LOOKS.values())) + " " * 5
+
+
 def common_confidence(c: Column) -> Column:
     """Confidence on the scale of 0-100; null if unknown."""
     known = c.isNotNull() & ~F.isnan(c) & (c >= 0) & (c <= 100)
@@ -42,7 +49,7 @@ def full_abstract(abstract: Column, title: Column) -> Column:
     """Whether the text is the work's own abstract to its end: running sentences, closed, other than the title."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(abstract, r"<[^<>]{1,60}>", " "), r"\s+", " "))
     plain = F.regexp_replace(plain, r"^\p{Lu}\p{L}+: ?", "")
-    words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z\s]", ""), r"\s+"), lambda x: F.length(x) > 0))
+    words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.translate(F.lower(c), _FROM, _TO), r"[^a-z\s]", ""), r"\s+"), lambda x: F.length(x) > 0))
     own = words(plain)
     again = F.size(F.array_intersect(own, words(F.coalesce(F.regexp_replace(title, "<[^<>]{1,60}>", " "), F.lit(""))))) >= F.size(own) * TITLE_SHARE
     ended = plain.rlike(r"[.!?。]['\"”’»)\]]*$") & ~plain.rlike(r"(\.\.\.|…)[\])]*$")
