@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.operators import ordered
 from quire.plans.book import Book
 from quire.sources.tables import table
 
 book = Book()
+#: Width of a bucket of event time, in microseconds.
+DAY = 86_400_000_000
 c = F.col
 
 _STATUS = "regexp_replace(lower(trim(status)), '[^a-z]+', '_', 'g')"
@@ -95,8 +98,7 @@ def collision_suffix(spark, sf):
     """Target names with a number where several files would have the same."""
     base = F.regexp_replace("original_filename", r"(_\d+)?\.pdf$", "")
     df = table(spark, sf, "paper_identifiers").select(c("original_filename").alias("file_key"), base.alias("base"))
-    k = F.row_number().over(W.partitionBy("base").orderBy("file_key"))
-    return df.withColumn("k", k).select("file_key", F.concat("base", F.when(c("k") == 1, "").otherwise(F.concat(F.lit("_"), c("k").cast("string"))), F.lit(".pdf")).alias("target"))
+    return ordered.numbered(df, "base", ["file_key"], "k").select("file_key", F.concat("base", F.when(c("k") == 1, "").otherwise(F.concat(F.lit("_"), c("k").cast("string"))), F.lit(".pdf")).alias("target"))
 
 
 @book.add("SELECT strftime(date_trunc('month', scanned_ts), '%Y-%m') AS month, count(*) AS runs, count(DISTINCT original_filename) AS files, round(avg(epoch_us(logged_at) - epoch_us(scanned_ts)) / 1e6, 3) AS mean_delay_s FROM scan_log WHERE scanned_ts IS NOT NULL AND logged_at IS NOT NULL GROUP BY 1")
@@ -129,22 +131,18 @@ def tumbling_counts(spark, sf):
 
 @book.add("SELECT user_id, count(*) AS sessions, CAST(max(n) AS BIGINT) AS longest FROM (SELECT user_id, sess, count(*) AS n FROM (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sess FROM (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 21600000000 THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY 1, 2) GROUP BY 1")
 def sessions(spark, sf):
-    """Sessions of each user, parted by six hours without an event."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    us = F.unix_micros(c("ts").cast("timestamp"))
-    gap = us - F.lag(us).over(w)
-    marked = table(spark, sf, "events").withColumn("fresh", F.when(gap.isNull() | (gap > 21_600_000_000), 1).otherwise(0))
-    numbered = marked.withColumn("sess", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy("user_id", "sess").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+    """Sessions of each user, parted by six hours without an event; found per day, then joined over the days."""
+    events = table(spark, sf, "events").withColumn("us", F.unix_micros(c("ts").cast("timestamp")))
+    found = ordered.sessions(events, "user_id", "us", 21_600_000_000, DAY)
+    return found.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 
 @book.add("SELECT e.event_id, p.event_id AS previous_view FROM events e ASOF JOIN (SELECT * FROM events WHERE event_type = 'view') p ON e.user_id = p.user_id AND e.ts > p.ts WHERE e.event_type <> 'view'")
 def previous_view(spark, sf):
-    """The last view of the same user before each other event: an as-of join as one ordered pass."""
+    """The last view of the same user before each other event: an as-of join per day, with what the day before left."""
     e = table(spark, sf, "events").withColumn("us", F.unix_micros(c("ts").cast("timestamp")))
-    w = W.partitionBy("user_id").orderBy("us").rangeBetween(W.unboundedPreceding, -1)
-    seen = F.max(F.when(c("event_type") == "view", F.struct("us", "event_id"))).over(w)
-    return e.withColumn("v", seen).where("event_type <> 'view' AND v IS NOT NULL").select("event_id", c("v.event_id").alias("previous_view"))
+    seen = ordered.last_before(e, "user_id", "us", c("event_type") == "view", "event_id", DAY, "previous_view")
+    return seen.where("event_type <> 'view' AND previous_view IS NOT NULL").select("event_id", "previous_view")
 
 
 QUERIES, ORACLE = book.queries, book.oracle

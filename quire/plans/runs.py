@@ -52,7 +52,7 @@ def sessionized_lines(spark, sf):
     """Lines of a text log, where 'Moved to' lines belong to the last 'New scan' line before them."""
     log = table(spark, sf, "scan_log").where("original_filename IS NOT NULL").withColumn("run", F.monotonically_increasing_id())
     moved = F.when(c("final_filename").isNotNull(), F.concat(F.lit("Moved to "), c("final_filename")))
-    lines = log.select("run", F.posexplode(F.array_compact(F.array(F.concat(F.lit("New scan: "), c("original_filename")), moved))).alias("no", "line"), F.pmod(F.hash("original_filename"), F.lit(16)).alias("file"))
+    lines = log.select("run", F.posexplode(F.array_compact(F.array(F.concat(F.lit("New scan: "), c("original_filename")), moved))).alias("no", "line"), F.pmod(F.hash("original_filename"), F.lit(8192)).alias("file"))
     scan = F.regexp_extract("line", "^New scan: (.*)$", 1)
     seen = F.last(F.when(scan != "", scan), ignorenulls=True).over(W.partitionBy("file").orderBy("run", "no").rowsBetween(W.unboundedPreceding, 0))
     return lines.withColumn("scan", seen).where("line LIKE 'Moved to %'").groupBy("scan", F.substring("line", 10, 10_000).alias("target")).agg(F.count("*").alias("n"))
