@@ -78,4 +78,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p6_found": p6_found, "p3_found": p3_found, "p3_titles": p3_titles, "p5_found": p5_found, "p5_restored": p5_restored, "p4_found": p4_found, "p4_records": p4_records}
-ORACLE: dict[str, str] = {}
+_W = "list_distinct(list_filter(string_split_regex(regexp_replace(translate(lower({0}), '" + survivor._FROM + "', '" + survivor._TO + r"'), '[^a-z\s]', '', 'g'), '\s+'), lambda w: w <> ''))"
+_PLAIN = r"regexp_replace(trim(regexp_replace(regexp_replace(abstract, '<[^<>]{1,60}>', ' ', 'g'), '\s+', ' ', 'g')), '^\p{Lu}\p{L}+: ?', '')"
+_TITLE = "coalesce(regexp_replace(title, '<[^<>]{1,60}>', ' ', 'g'), '')"
+_FULL = rf"""coalesce(regexp_matches({_PLAIN}, '[.!?。][''"”’»)\]]*$') AND NOT regexp_matches({_PLAIN}, '(\.\.\.|…)[\])]*$') AND len(string_split({_PLAIN}, ' ')) >= {survivor.LEAST_WORDS}
+ AND len(regexp_extract_all(abstract, '<[a-zA-Z][\w:]*[^<>/]*>')) = len(regexp_extract_all(abstract, '</[\w:]+>')) AND len(list_intersect({_W.format(_PLAIN)}, {_W.format(_TITLE)})) < {survivor.TITLE_SHARE} * len({_W.format(_PLAIN)}), false)"""
+_NAME = r"regexp_replace(lower(trim({0})), '[\s_-]*api$', '')"
+
+ORACLE: dict[str, str] = {
+    "p4_found": f"""WITH t AS (SELECT {_NAME.format('source')} AS s, min(trust_rank) AS r FROM source_trust GROUP BY 1),
+ m AS (SELECT request_id, result_id, CASE WHEN confidence >= 0 AND confidence <= 100 THEN round(CASE WHEN confidence <= 1 THEN confidence * 100 ELSE confidence END, 6) END AS c, coalesce(t.r, 2147483647) AS r, fetched_at, {_FULL} AS whole
+  FROM metadata_results LEFT JOIN t ON {_NAME.format('source')} = t.s WHERE request_id IS NOT NULL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY c DESC NULLS LAST, r, fetched_at DESC NULLS LAST, result_id) AS k, count(*) OVER (PARTITION BY request_id) AS n FROM m)
+ SELECT request_id, 'record' AS field_name, result_id FROM k WHERE k = 1 AND n > 1 UNION ALL SELECT request_id, 'abstract', arg_min(result_id, k) FROM k WHERE whole AND n > 1 GROUP BY 1""",
+}
