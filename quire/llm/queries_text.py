@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language, leakage, packing, truncation
+from quire.llm import language, leakage, packing, survivor, truncation
 from quire.session import settle
 from quire.sources.tables import table
 
@@ -92,4 +92,14 @@ def p10_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_labels": p7_labels, "p7_passages": p7_passages, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_sources": p10_sources, "p10_limits": p10_limits}
-ORACLE: dict[str, str] = {}
+# every twelve successive words, reduced, of documents and items, joined as they are: brute force
+_FORM = r"regexp_replace(translate(strip_accents(lower(replace(replace(x, 'ﬁ', 'fi'), 'ﬂ', 'fl'))), 'FROM', 'TO'), '[^\p{L}\p{N}]', '', 'g')".replace("FROM", survivor._FROM.rstrip()).replace("TO", survivor._TO.rstrip())
+_VISIBLE = r"regexp_replace(regexp_replace(text, '[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{00AD}]', '', 'g'), '([\p{L}\p{N}])[-‐]\s*\n\s*([\p{L}\p{N}])', '\1\2', 'g')"
+_WORDS = rf"list_filter(list_transform(string_split_regex({_VISIBLE}, '[\s\x{{00A0}}\x{{3000}}\x{{2000}}-\x{{200A}}\x{{202F}}]+'), lambda x: {_FORM}), lambda x: x <> '')"
+
+
+def _grams(key: str, name: str) -> str:
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, {_WORDS} AS w FROM {name} WHERE text IS NOT NULL))"
+
+
+ORACLE: dict[str, str] = {"p9_found": f"WITH d AS ({_grams('doc_id', 'documents')}), i AS ({_grams('item_id', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)"}
