@@ -249,4 +249,41 @@ def create_responses(spark, sf):
     return table(spark, sf, "part").select(k.alias("k"), text.alias("t")).select("k", keys.alias("keys")).where("keys IS NOT NULL").select("k", F.size("keys").alias("created"), F.get("keys", F.lit(0)).alias("first_key"))
 
 
+# --- markup ----------------------------------------------------------------------------------------------------------
+
+
+def _texts(path: str, sep: str = "; "):
+    """The texts at a path of the XML column x."""
+    return F.array_join(F.xpath("x", F.lit(f"{path}/text()")), sep)
+
+
+@book.add("SELECT c_custkey, c_name AS title, 'Doe ' || c_custkey || '; Roe ' || c_nationkey AS authors, CASE c_nationkey % 3 WHEN 0 THEN 'journal_article' WHEN 1 THEN 'book_chapter' ELSE 'unknown' END AS kind FROM customer")
+def tei_records(spark, sf):
+    """Header fields of TEI documents: authors of the header alone, not those of its bibliography; kind by the first sign of one."""
+    x = F.format_string(
+        "<TEI><teiHeader><title>%s</title><sourceDesc><author>Doe %d</author><author>Roe %d</author><monogr level='%s'/></sourceDesc></teiHeader><text><listBibl><author>Ghost</author></listBibl></text></TEI>",
+        "c_name", "c_custkey", "c_nationkey", F.when(c("c_nationkey") % 3 == 0, "j").when(c("c_nationkey") % 3 == 1, "m").otherwise("x"),
+    )
+    level = F.xpath_string("x", F.lit("TEI/teiHeader/sourceDesc/monogr/@level"))
+    kind = F.when(level == "j", "journal_article").when(level == "m", "book_chapter").otherwise("unknown")
+    return table(spark, sf, "customer").select("c_custkey", x.alias("x")).select("c_custkey", F.xpath_string("x", F.lit("TEI/teiHeader/title")).alias("title"), _texts("TEI/teiHeader/sourceDesc/author").alias("authors"), kind.alias("kind"))
+
+
+@book.add("SELECT c_custkey, printf('2301.%05d', c_custkey) AS arxiv_id, c_name AS title, 'A ' || c_custkey || '; B' AS authors, '2023' AS year FROM customer")
+def atom_records(spark, sf):
+    """Entries of an Atom feed: number, title, authors, year."""
+    x = F.format_string("<feed><entry><id>http://arxiv.org/abs/2301.%05dv2</id><title>%s</title><published>2023-01-05T00:00:00Z</published><author><name>A %d</name></author><author><name>B</name></author></entry></feed>", "c_custkey", "c_name", "c_custkey")
+    at = lambda p: F.xpath_string("x", F.lit(f"feed/entry/{p}"))
+    df = table(spark, sf, "customer").select("c_custkey", x.alias("x"))
+    return df.select("c_custkey", F.regexp_extract(at("id"), r"abs/([^v]+)", 1).alias("arxiv_id"), at("title").alias("title"), _texts("feed/entry/author/name").alias("authors"), F.substring(at("published"), 1, 4).alias("year"))
+
+
+@book.add("SELECT s_suppkey, 'Aim ' || s_suppkey || ' Result ' || s_nationkey AS abstract, 'M1; M2' AS mesh, 'journal_article' AS kind FROM supplier")
+def citation_records(spark, sf):
+    """Records with an abstract in parts, headings and publication types."""
+    x = F.format_string("<r><Abstract><t>Aim %d</t><t>Result %d</t></Abstract><Mesh><d>M1</d><d>M2</d></Mesh><Type>Journal Article</Type></r>", "s_suppkey", "s_nationkey")
+    kind = F.replace(F.lower(F.xpath_string("x", F.lit("r/Type"))), F.lit(" "), F.lit("_"))
+    return table(spark, sf, "supplier").select("s_suppkey", x.alias("x")).select("s_suppkey", _texts("r/Abstract/t", " ").alias("abstract"), _texts("r/Mesh/d").alias("mesh"), kind.alias("kind"))
+
+
 QUERIES, ORACLE = book.queries, book.oracle
