@@ -238,7 +238,7 @@ def separator_neighbours(spark, sf):
     return pages.withColumn("near", near).where("near = 1").select("l_orderkey", c("l_linenumber").alias("page"))
 
 
-@book.add("SELECT k, CASE WHEN k % 3 = 0 THEN 2 WHEN k % 3 = 1 THEN 1 ELSE 0 END AS created, 'K' || k AS first_key FROM (SELECT p_partkey AS k FROM part) WHERE k % 3 < 2")
+@book.add("SELECT k, CASE WHEN k % 3 = 0 THEN 2 WHEN k % 3 = 1 THEN 1 ELSE 0 END AS created, CASE WHEN k % 3 < 2 THEN 'K' || k END AS first_key FROM (SELECT p_partkey AS k FROM part)")
 def create_responses(spark, sf):
     """Keys created, from answers that hold them as a map or as a list."""
     k = c("p_partkey")
@@ -246,7 +246,7 @@ def create_responses(spark, sf):
     v = F.try_parse_json("t")
     as_map, as_list = F.try_variant_get(v, "$.successful", "map<string,struct<key:string>>"), F.try_variant_get(v, "$.successful", "array<struct<key:string>>")
     keys = F.coalesce(F.transform(F.array_sort(F.map_entries(as_map)), lambda e: e.value.key), F.transform(as_list, lambda e: e.key))
-    return table(spark, sf, "part").select(k.alias("k"), text.alias("t")).select("k", keys.alias("keys")).where("keys IS NOT NULL").select("k", F.size("keys").alias("created"), F.get("keys", F.lit(0)).alias("first_key"))
+    return table(spark, sf, "part").select(k.alias("k"), text.alias("t")).select("k", keys.alias("keys")).select("k", F.coalesce(F.size("keys"), F.lit(0)).alias("created"), F.get("keys", F.lit(0)).alias("first_key"))
 
 
 # --- markup ----------------------------------------------------------------------------------------------------------
