@@ -170,4 +170,18 @@ def json_in_prose(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", text.alias("t")).select("o_orderkey", F.try_variant_get(v, "$.status", "string").alias("status"), F.try_variant_get(v, "$.n", "bigint").alias("n"))
 
 
+@book.add("""SELECT k, CASE WHEN a IN ('0', '999') THEN a ELSE array_to_string(list_filter(string_split(a, ''), lambda x: x BETWEEN '1' AND '9'), ',') END AS actions, CASE WHEN try_cast(o AS INT) >= 1 THEN try_cast(o AS INT) - 1 END AS page_offset, length(t) <= 200 AND len(string_split_regex(trim(t), '\\s+')) <= 50 AND contains(upper(t), 'STEEL') AS separator
+ FROM (SELECT p_partkey AS k, CASE p_partkey % 7 WHEN 0 THEN '0' WHEN 1 THEN '999' ELSE CAST(p_partkey % 1000 AS VARCHAR) END AS a, CASE WHEN p_size % 5 = 0 THEN 'x' || p_size ELSE CAST(p_size - 3 AS VARCHAR) END AS o, p_type AS t FROM part)""")
+def small_parsers(spark, sf):
+    """Choices typed as digits, page numbers as offsets, and whether a page's text is that of a separator."""
+    k = c("p_partkey")
+    a = F.when(k % 7 == 0, "0").when(k % 7 == 1, "999").otherwise((k % 1000).cast("string"))
+    o = F.when(c("p_size") % 5 == 0, F.concat(F.lit("x"), c("p_size").cast("string"))).otherwise((c("p_size") - 3).cast("string"))
+    digits = F.array_join(F.filter(F.split("a", ""), lambda x: x.between("1", "9")), ",")
+    offset = F.when(c("o").try_cast("int") >= 1, c("o").try_cast("int") - 1)
+    separator = (F.char_length("t") <= 200) & (F.size(F.split(F.trim("t"), r"\s+")) <= 50) & F.contains(F.upper("t"), F.lit("STEEL"))
+    df = table(spark, sf, "part").select(k.alias("k"), a.alias("a"), o.alias("o"), c("p_type").alias("t"))
+    return df.select("k", F.when(c("a").isin("0", "999"), c("a")).otherwise(digits).alias("actions"), offset.alias("page_offset"), separator.alias("separator"))
+
+
 QUERIES, ORACLE = book.queries, book.oracle
