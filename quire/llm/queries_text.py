@@ -102,4 +102,24 @@ def _grams(key: str, name: str) -> str:
     return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, {_WORDS} AS w FROM {name} WHERE text IS NOT NULL))"
 
 
-ORACLE: dict[str, str] = {"p9_found": f"WITH d AS ({_grams('doc_id', 'documents')}), i AS ({_grams('item_id', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)"}
+_T = truncation
+_QUOTED = lambda x: x.replace("'", "''")
+_STARTS = lambda kind, x: rf"len(regexp_extract_all({x}, '(?:^|[^\p{{L}}''’-])(\p{{{kind}}})', 1))"
+_ENDING = rf"""CASE WHEN regexp_matches(tip, '{_QUOTED(_T._MARK)}') THEN 'open' WHEN regexp_matches(tip, '{_QUOTED(_T._ELLIPSIS)}') THEN CASE WHEN regexp_matches(tip, '\[(…|\.\.\.)\]$') THEN 'open' ELSE 'doubtful' END
+ WHEN regexp_matches(line, '{_QUOTED(_T._CLOSING_LINE)}') THEN 'closing' WHEN regexp_matches(tip, '{_QUOTED(_T._COMPLETE)}') THEN 'complete'
+ WHEN NOT running AND len(lines) > 1 AND len(list_filter(lines, lambda x: NOT (regexp_matches(x, '^\p{{Lu}}') AND {_STARTS('Lu', 'x')} >= {_STARTS('Ll', 'x')}))) = 0 THEN 'closing'
+ WHEN NOT running AND len(lines) = 1 AND {_STARTS('Ll', 'para')} = 0 AND {_STARTS('Lu', 'para')} > 3 THEN 'doubtful' ELSE 'open' END"""
+_BLANK = "' ' || chr(10) || chr(9) || chr(13) || chr(12) || chr(11) || chr(160) || chr(8232) || chr(8233)"
+_TAIL = "CASE WHEN texts <= expected THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(texts, texts + 300), lambda i: exp(i * ln(expected) - expected - lgamma(i + 1))))) END"
+
+ORACLE: dict[str, str] = {
+    "p9_found": f"WITH d AS ({_grams('doc_id', 'documents')}), i AS ({_grams('item_id', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
+    "p10_found": rf"""WITH a AS (SELECT doc_id, coalesce(source, '') AS source, length(text) AS chars, strlen(text) AS bytes, rtrim(string_split(rtrim(replace(text, chr(13), ''), {_BLANK}), chr(10) || chr(10))[-1], {_BLANK}) AS para FROM documents WHERE text IS NOT NULL),
+ b AS (SELECT *, string_split(para, chr(10)) AS lines, string_split(para, chr(10))[-1] AS line, right(string_split(para, chr(10))[-1], 12) AS tip, regexp_matches(para, '(\p{{Ll}}{{2}}|[)\]\d])[.!?]\s') AS running FROM a WHERE para <> ''),
+ e AS (SELECT doc_id, source, chars, bytes, {_ENDING} AS ending FROM b),
+ n AS (SELECT source, unit, len, count(*) AS texts FROM (SELECT source, unnest(['chars', 'bytes']) AS unit, unnest([chars, bytes]) AS len FROM e) GROUP BY ALL),
+ x AS (SELECT *, (sum(texts) OVER (PARTITION BY source, unit ORDER BY len RANGE BETWEEN {_T.NEIGHBOURS} PRECEDING AND {_T.NEIGHBOURS} FOLLOWING) - texts + 0.5) / {2 * _T.NEIGHBOURS} AS expected FROM n),
+ p AS (SELECT *, {_TAIL} AS p_value FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY source, unit ORDER BY p_value, len) AS k, count(*) OVER (PARTITION BY source, unit) AS tests FROM p),
+ l AS (SELECT source, unit, len FROM r QUALIFY k <= max(CASE WHEN p_value * tests <= k * {_T.FDR} THEN k END) OVER (PARTITION BY source, unit) AND texts >= {_T.LEAST})
+ SELECT DISTINCT doc_id FROM e WHERE ending = 'open' OR ending = 'doubtful' AND EXISTS (SELECT 1 FROM l WHERE l.source = e.source AND (l.unit = 'chars' AND l.len = e.chars OR l.unit = 'bytes' AND l.len = e.bytes))""",
+}
