@@ -32,6 +32,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 200, 300_000
 #: Least words, and running ones (not capitalised) among them, and least margin (bits per letter) of a sentence with a
 #: language; sentences of a passage.
 LEAST_WORDS, LEAST_RUNNING, MARGIN, PASSAGE = 5, 3, 0.25, 3
+#: What a capitalised word counts, which is often a name of no language.
+NAMES = 0.25
 REMEMBERED = 300_000
 
 # Codes and names of the languages.
@@ -170,8 +172,9 @@ class Parser:
             return zero, zero, zero, zero, np.zeros((0, len(LANGS))), zero, zero
         where, first = np.asarray(ids), np.asarray(starts)
         sizes = np.asarray(self.sizes)[where]
-        costs = np.add.reduceat(np.asarray(self.costs)[where], first, axis=0)
-        letters = np.add.reduceat(np.abs(sizes), first)
+        weight = np.where(sizes > 0, 1.0, NAMES)
+        costs = np.add.reduceat(np.asarray(self.costs)[where] * weight[:, None], first, axis=0)
+        letters = np.add.reduceat(np.abs(sizes) * weight, first)
         running = np.add.reduceat((sizes > 0).astype(np.int64), first)
         counts = np.diff(np.r_[first, len(where)])
         return np.asarray(owner), letters, running, counts, costs, np.asarray(begin), np.asarray(end)
@@ -207,13 +210,13 @@ class Parser:
             main = int(np.argmax(shares)) if known else int(np.argmin(total))
             basis = sum((costs[i] for i in known if best[i] == main), np.zeros(len(LANGS))) if known else total
             size = sum(letters[i] for i in known if best[i] == main) if known else letters[a:b].sum()
-            out.append({"n": int(owner[a]), "lang": main, "confidence": confidence(basis, size, main), "runs": [(int(r[0]), r[1], int(r[2]), int(r[3]), int(r[4]), confidence(r[5], r[2], int(r[0]))) for r in runs]})
+            out.append({"n": int(owner[a]), "lang": main, "confidence": confidence(basis, size, main), "runs": [(int(r[0]), r[1], round(r[2]), int(r[3]), int(r[4]), confidence(r[5], r[2], int(r[0]))) for r in runs]})
         return out
 
 
-def confidence(costs: np.ndarray, letters: int, lang: int) -> float:
+def confidence(costs: np.ndarray, letters: float, lang: int) -> float:
     """Share of the language among all, by their costs; sharper the longer the text, up to some sentences."""
-    per = (costs - costs.min()) / max(1, letters) * min(int(letters), 200) / 8
+    per = (costs - costs.min()) / max(1, letters) * min(letters, 200.0) / 8
     weights = np.exp2(-per)
     return round(float(weights[lang] / weights.sum()), 6)
 
