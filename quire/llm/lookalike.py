@@ -164,8 +164,9 @@ def string_counts(df: DataFrame, text_col: str) -> dict[str, int]:
 
 
 def consistent(df: DataFrame, text_col: str, counts: dict[str, int], out_col: str = "plain") -> DataFrame:
-    """``df`` with the one form of its texts as another column."""
+    """``df`` with the one form of its texts as another column, in place of one of that name."""
     forms = representatives(counts)
+    df = df.drop(out_col) if out_col != text_col else df
     names = [f.name for f in df.schema.fields]
     at = names.index(text_col)
 

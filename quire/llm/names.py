@@ -320,7 +320,10 @@ def resolved(names: DataFrame, catalogue: DataFrame, block: int = BLOCK) -> Data
 
 
 def linked(mentions: DataFrame, catalogue: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``mentions`` (any columns, name) with author_id, of those that mean an entry but are not its name to the letter."""
+    """``mentions`` (any columns, name) with author_id, of those that mean an entry but are not its name to the letter.
+
+    A column author_id that is there already is replaced."""
+    mentions = mentions.drop("author_id")
     own = catalogue.select(F.col("name")).where(F.col("name").isNotNull()).distinct()
     variants = mentions.join(own, "name", "left_anti")
     return variants.join(resolved(variants.select("name"), catalogue, block), "name")

@@ -128,7 +128,8 @@ def merged_records(df: DataFrame, trust: DataFrame, id_col: str = "result_id", g
         "language": ~F.lower(F.trim("language")).isin("", "und", "unknown", "xx", "??", "n/a"),
         "authors": F.size("authors") > 0,
     }
-    keyed = ordering(df, trust, id_col, group, time, ["language"]).where(F.col(group).isNotNull())
+    narrow = df.select(id_col, group, "source", "confidence", time, *good)
+    keyed = ordering(narrow, trust, id_col, group, time, ["language"]).where(F.col(group).isNotNull())
     return keyed.groupBy(group).agg(
         F.count("*").alias("rows"), F.min_by(id_col, "key").alias(id_col),
         *(F.min_by(F.when(ok, F.col(n)), F.when(ok, F.col("key"))).alias(n) for n, ok in good.items()),

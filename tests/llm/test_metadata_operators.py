@@ -77,7 +77,7 @@ def test_classes_are_transitive():
 
 def test_titles_of_any_kind(spark):
     rows = [(1, "раrish", "clash"), (1, "раrish", "clash"), (2, None, None), (3, "", ""), (4, "x​" * 5000, "long")]
-    df = spark.createDataFrame(rows, "id long, title string, plain_x string")
+    df = spark.createDataFrame(rows, "id long, title string, plain string")
     got = {(r.id, r.plain) for r in lookalike.consistent(df, "title", lookalike.string_counts(df.unionAll(spark.createDataFrame([(9, "parish " * 99, "")], df.schema)), "title")).collect()}
     assert got == {(1, "parish"), (2, None), (3, ""), (4, "x" * 5000)}
     assert lookalike.string_counts(df.limit(0), "title") == {}
@@ -103,7 +103,8 @@ def test_survivors_follow_the_order(spark):
     df = spark.createDataFrame(rows, META)
     got = {(r.request_id, r.field_name): r.result_id for r in survivor.survivors(df, trust).collect()}
     assert got == {(1, "record"): 2, (2, "record"): 4, (2, "abstract"): 5, (4, "record"): 9, (5, "record"): 10, (6, "record"): 13, (6, "abstract"): 14}
-    merged = {r.request_id: r for r in survivor.merged_records(df, trust).collect()}
+    clash = df.withColumn("trust", F.lit(1)).withColumn("currency", F.lit("x")).withColumn("source_name", F.lit("a"))
+    merged = {r.request_id: r for r in survivor.merged_records(clash, trust).collect()}
     assert merged[6].abstract.endswith("</p>") and merged[6].result_id == 13
     assert survivor.survivors(df.limit(0), trust).count() == 0
 
@@ -140,7 +141,7 @@ MENTIONS = {
 def test_mentions(spark):
     cat = spark.createDataFrame([(*c, 5) for c in CATALOGUE], "author_id long, name string, last_name string, first_name string, paper_count long")
     rows = [(i, 1, m) for i, m in enumerate(MENTIONS)] + [(900, 1, "Åse Loñeholt"), (901, 1, "Loñeholt, Å."), (902, 2, "x" * 20000)]
-    df = spark.createDataFrame(rows, "record_id long, author_no int, name string")
+    df = spark.createDataFrame(rows, "record_id long, author_no int, name string").withColumn("author_id", F.lit("clash"))
     for block in (100, 2):
         got = {r.record_id: r.author_id for r in names.linked(df, cat, block).collect()}
         assert {m: got.get(i) for i, m in enumerate(MENTIONS)} == MENTIONS
