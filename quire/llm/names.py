@@ -74,6 +74,8 @@ def edits(a: str, b: str, most: int) -> int:
     """Edit distance with swapped neighbours as one; ``most`` + 1 if it is more."""
     if a == b:
         return 0
+    if most == 1:
+        return 1 if within_one(a, b) else 2
     if abs(len(a) - len(b)) > most:
         return most + 1
     two, one = None, list(range(len(b) + 1))
@@ -90,6 +92,21 @@ def edits(a: str, b: str, most: int) -> int:
     return min(one[-1], most + 1)
 
 
+def within_one(a: str, b: str) -> bool:
+    """Whether two strings are at most one edit apart, a swap of neighbours being one."""
+    if a == b:
+        return True
+    n, m = len(a), len(b)
+    if not -2 < n - m < 2:
+        return False
+    i, least = 0, min(n, m)
+    while i < least and a[i] == b[i]:
+        i += 1
+    if n == m:
+        return a[i + 1 :] == b[i + 1 :] or a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]
+    return a[i + 1 :] == b[i:] if n > m else a[i:] == b[i + 1 :]
+
+
 class Trie:
     """Keys with a walk that enumerates those within some edits."""
 
