@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +31,33 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
 
 
+_TIDIED: set[str] = set()
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, removed when the driver's Python ends in good order."""
+    path = f"{shared_folder(spark)}/quire-{spark.sparkContext.applicationId}"
+    if path not in _TIDIED:
+        _TIDIED.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    except Exception:  # the session is gone already
+        pass
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage and survives the loss of executors, compressed and columnar, which checkpoint() is not.
-    The folder belongs to this application and may be removed once its results are written.
+    The folder belongs to this application and is not read by any other.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quire-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import shared_folder
+from quire.session import own_folder
 
 SCAN_LOG = "timestamp string, original_filename string, status string, final_filename string, split string, borders string, trim string, zotero_item_code string"
 
 
 def place(spark: SparkSession, name: str) -> str:
     """A new path of this application in the folder that all executors share."""
-    return f"{shared_folder(spark)}/quire-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_scan_log(df: DataFrame, path: str, mode: str = "append") -> None:
