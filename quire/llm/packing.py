@@ -25,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
 #: Folder of the public tokenizers' files, and the vocabulary that sizes are counted in.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: Distinct pre-tokens that a worker remembers before it starts afresh; of no effect on the counts.
