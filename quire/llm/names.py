@@ -263,7 +263,7 @@ class Catalogue:
         out = []
         for i in range(1, len(words)):
             for last, given in ((words[i:], words[:i]), (words[:i], words[i:])):
-                if any(len(w.strip(".")) < 2 and not w.islower() for w in last):
+                if any(len(w.strip(".")) < 2 and (w.endswith(".") or not w.islower()) for w in last):
                     continue  # an initial is no part of a surname
                 g = " ".join(given)
                 out.append((self.surname(fold("".join(last))), parts(fold(g)), g))

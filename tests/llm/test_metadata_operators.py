@@ -134,7 +134,7 @@ CATALOGUE = [
 MENTIONS = {
     "Loñeholt, Å.": 1, "LOÑEHOLT A": 1, "Prof. Dr. Åse Loñeholt": 1, "Loneholt, Åse, 1951-": 1, "Åse D. Loñeholt": 1, "Åse Loñehotl": 1, " åse  loñeholt ": 1, "Kahasky UM": 2, "U. Kahasky": 2, "Kahasky, Vaeinoe": 3, "V. Kahasky": 3, "I.-A. Koskiinen": 4,
     "Jörg van Gruloard": 5, "van Gruloard, J.": 5, "Nat. Comm. on Statistics in Bertal": 6, "Bertal (National Committee on Statistics in)": 6, "The National Committee on Statistics in Bertal, Publ.": 6, "Feveetti, Bill": 7, "SIAS (Senpal)": 8, "Hannes Röulsky": 9,
-    "Theodore Kahasky": None, "M. Kahasky": None, "Ulla K. Kahasky": None, "Margaret-Luc Feveetti": None, "Åse": None, "et al.": None, "": None, None: None, "LoÃ±eholt, Åse": None, "B. Loñeholt": None,
+    "Theodore Kahasky": None, "M. Kahasky": None, "Ulla K. Kahasky": None, "ulla k. kahasky": None, "Jörg C. va Gruloard": 5, "Margaret-Luc Feveetti": None, "Åse": None, "et al.": None, "": None, None: None, "LoÃ±eholt, Åse": None, "B. Loñeholt": None,
 }
 
 
