@@ -4,12 +4,13 @@ Preparing: titles are repaired, brought to one form and cut into tokens, main ti
 read from their many formats. Rows that then say the same become one representative, so copies cost nothing later.
 
 Candidates: every token is led to its most frequent neighbour within one edit (by shared deletions, so without
-comparing all tokens); a title's rarest such tokens are its keys. Two representatives are candidates if the rarest
-token of one is among the three rarest of the other, or if both have a token among theirs that few titles have.
-The rarest token of a title is seldom shared, so blocks stay small at any size, and none is cut.
+comparing all tokens). Two representatives are candidates if the rarest such token of one is among the three rarest
+of the other, or if each holds more than half of its tokens in common with the other, with or without subtitles. Those
+that share so many must share three of the rarer ones (two or one in short titles), so all of them meet in the blocks
+of such combinations; no block is bounded or cut. Pairs that part or years rule out are not made in these.
 
-Label model: eight matching functions vote yes, no or nothing on each candidate. The counts of the vote patterns (at
-most 3 to the 8) go to the driver, where expectation maximisation fits a generative model of the votes: a prior and,
+Label model: nine matching functions vote yes, no or nothing on each candidate. The counts of the vote patterns (at
+most 3 to the 9) go to the driver, where expectation maximisation fits a generative model of the votes: a prior and,
 for each function, its accuracy given the truth and, along the tree of the strongest conditional correlations, given
 the vote of another function. The posterior of a pattern is the confidence of its candidates.
 
@@ -37,8 +38,8 @@ from quire.session import settle
 
 #: Keys per title; letters from which on a token is led to any more frequent neighbour, and the times that a shorter
 #: one's neighbour must be as frequent (short names have neighbours by chance); years that one work's records may
-#: differ by; rounds of the model's fitting; titles that a token may have to be a key beside the rarest.
-KEYS, LONG, OFTEN, YEARS, ROUNDS, FEW = 3, 9, 3, 2, 60, 20
+#: differ by; rounds of the model's fitting; tokens up to which a title's combinations are listed, above that its single ones.
+KEYS, LONG, OFTEN, YEARS, ROUNDS, LISTED = 3, 9, 3, 2, 60, 16
 
 _UNSEEN = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufff9-\ufffb]+")
 _TAG, _NOTE = re.compile(r"<[^<>]*>"), re.compile(r"\[[^\]]*\]")
@@ -126,8 +127,9 @@ def canonical_tokens(counts: DataFrame) -> DataFrame:
     return up
 
 
-def keys(reps: DataFrame) -> DataFrame:
-    """(side, rep, rank, token, n): the rarest canonical tokens of every representative.
+def ranked(reps: DataFrame) -> DataFrame:
+    """(side, rep, part, year, whole, r): the canonical tokens of every representative, the rarest first, for the whole
+    title and for what stands before each subtitle.
 
     Frequencies are summed over the vocabulary, so the titles' tokens are joined once, by the token that they have."""
     words = reps.select("side", "rep", F.explode(F.array_distinct("tokens")).alias("token"))
@@ -135,22 +137,66 @@ def keys(reps: DataFrame) -> DataFrame:
     named = counts.join(canonical_tokens(counts), "token", "left").withColumn("canonical", F.coalesce("canonical", "token"))
     totals = named.groupBy("canonical").agg(F.sum("n").alias("total"))
     looked = named.join(totals, "canonical").select("token", F.struct(F.col("total").alias("n"), F.col("canonical").alias("token")).alias("key"))
-    ranked = words.join(looked, "token").groupBy("side", "rep").agg(F.slice(F.array_sort(F.collect_set("key")), 1, KEYS).alias("rarest"))
-    return ranked.select("side", "rep", F.posexplode("rarest").alias("rank", "key")).select("side", "rep", "rank", "key.token", "key.n")
+    cuts = reps.withColumn("cut", F.explode(F.array_distinct(F.concat(F.array(F.size("tokens")), F.filter("ends", lambda e: e > 0)))))
+    each = cuts.select("side", "rep", "part", "year", "cut", (F.col("cut") == F.size("tokens")).alias("whole"), F.explode(F.array_distinct(F.slice("tokens", F.lit(1), F.col("cut")))).alias("token"))
+    found = each.join(looked, "token").groupBy("side", "rep", "part", "year", "cut", "whole").agg(F.array_sort(F.collect_set("key")).alias("r"))
+    return found.drop("cut")
+
+
+#: Hashes of all combinations of one, two and three tokens of p, which is in one order for all titles; parts stay apart.
+_COMBINED = {
+    1: "transform(p, x -> xxhash64(part, x.token))",
+    2: "flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), y -> xxhash64(part, x.token, y.token))))",
+    3: "flatten(flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), (y, j) -> transform(slice(p, i + j + 3, size(p)), z -> xxhash64(part, x.token, y.token, z.token))))))",
+}
+
+
+def blocks(titles: DataFrame) -> DataFrame:
+    """(side, rep, year, size, family, block): where titles meet that each share more than half of their tokens.
+
+    Of n tokens, k = n // 2 + 1 shared ones leave n - k unshared, so w of them are among the n - k + w rarest. Titles of
+    up to three tokens need two of them (one has one), longer ones three; single ones serve titles of over ``LISTED``."""
+    n = F.size("r")
+
+    def family(w: int, name: int, where: str) -> DataFrame:
+        rarest = F.slice("r", F.lit(1), (n - F.floor(n / 2) - 1 + w).cast("int"))
+        of = titles.withColumn("size", n).where(where).withColumn("p", rarest)
+        return of.select("side", "rep", "year", "size", F.lit(name).alias("family"), F.explode(F.expr(_COMBINED[w])).alias("block"))
+
+    least = LISTED // 2 + 1  # the tokens that titles of over LISTED share with another
+    listed = [family(1, 1, "size = 1"), family(2, 2, "size IN (2, 3)"), family(3, 3, f"size BETWEEN 3 AND {LISTED}")]
+    return listed[0].unionAll(listed[1]).unionAll(listed[2]).unionAll(family(1, 4, f"size >= {least}"))
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b): pairs of representatives of the two sides, where the rarest token of one is a key of the other; or, for
-    titles whose rarest token is damaged on both sides, where both have a key that few titles have at all."""
-    keyed = settle(keys(reps))
-    a, b = (keyed.where(F.col("side") == s).select(F.col("rep").alias(s), F.col("rank").alias(f"{s}_rank"), "token", F.col("n").alias(f"{s}_n")) for s in "ab")
+    """(a, b, rare): pairs of representatives of the two sides, where the rarest token of one is a key of the other (1),
+    or where each shares more than half of its tokens with the other and the rest looks damaged (0) or not (-1);
+    ``reps`` is (side, rep, tokens, ends, part, year)."""
+    titles = settle(ranked(reps))
+    whole = titles.where("whole")
+    keyed = whole.select("side", "rep", F.posexplode(F.slice("r", 1, KEYS)).alias("rank", "key")).select("side", "rep", "rank", "key.token")
+    a, b = (keyed.where(F.col("side") == s).select(F.col("rep").alias(s), F.col("rank").alias(f"{s}_rank"), "token") for s in "ab")
     first = a.where("a_rank = 0").join(b, "token").select("a", "b")
     other = a.where("a_rank > 0").join(b.where("b_rank = 0"), "token").select("a", "b")
-    few = a.where(f"a_rank > 0 AND a_n <= {FEW}").join(b.where(f"b_rank > 0 AND b_n <= {FEW}"), "token").select("a", "b")
-    return first.unionAll(other).unionAll(few).distinct()
-
-
-FUNCTIONS = ("main", "tokens", "letters", "year", "names", "part", "end", "words")
+    met = settle(blocks(titles))
+    x, y = (met.where(F.col("side") == s).select(F.col("rep").alias(s), F.col("year").alias(f"{s}_year"), F.col("size").alias(f"{s}_size"), "family", "block") for s in "ab")
+    near = F.coalesce(F.abs(F.col("a_year") - F.col("b_year")) <= YEARS, F.lit(True))
+    sharing = x.where("family < 4").join(y.where("family < 4"), ["family", "block"]).where(near)
+    for p, q in ((">", ""), ("<=", f"AND b_size > {LISTED}")):
+        sharing = sharing.unionAll(x.where(f"family = 4 AND a_size {p} {LISTED}").join(y.where(f"family = 4 {q}"), ["family", "block"]).where(near))
+    # what two whole titles share is no less than what they share without subtitles
+    sharing = sharing.groupBy("a", "b").agg(F.min(F.floor(F.greatest("a_size", "b_size") / 2)).alias("half"))
+    held = {s: whole.where(F.col("side") == s).select(F.col("rep").alias(s), F.expr("r.token").alias(f"r_{s}")) for s in "ab"}
+    sharing = sharing.join(held["a"], "a").join(held["b"], "b").where(F.size(F.array_intersect("r_a", "r_b")) > F.col("half"))
+    p, q = F.array_except("r_a", "r_b"), F.array_except("r_b", "r_a")
+    like = lambda u, v: F.levenshtein(u, v) * 3 <= F.greatest(F.length(u), F.length(v))
+    damaged = lambda few, many: F.forall(few, lambda u: F.exists(many, lambda v: like(u, v)))
+    rest = F.when(F.when(F.size(p) <= F.size(q), damaged(p, q)).otherwise(damaged(q, p)), 0).otherwise(-1)
+    met = first.unionAll(other).withColumn("rare", F.lit(1)).unionAll(sharing.select("a", "b", rest))
+    return met.groupBy("a", "b").agg(F.max("rare").alias("rare"))
+
+
+FUNCTIONS = ("main", "tokens", "letters", "year", "names", "part", "end", "words", "rare")
 
 
 def _same(x: str, y: str) -> bool:
@@ -178,8 +224,8 @@ def _grams(text: str) -> set[str]:
     return {text[i : i + 3] for i in range(max(1, len(text) - 2))}
 
 
-def votes(a: dict, b: dict) -> list[int]:
-    """1, -1 or 0 of each of FUNCTIONS for two representatives."""
+def votes(a: dict, b: dict, rare: int) -> list[int]:
+    """1, -1 or 0 of each of FUNCTIONS for two representatives; ``rare`` as of ``candidates``."""
     x, y = a["tokens"], b["tokens"]
     bare = len(x) < len(y) and len(x) in b["ends"] or len(y) < len(x) and len(y) in a["ends"]  # one has no subtitle
     least = min(len(x), len(y))
@@ -209,7 +255,7 @@ def votes(a: dict, b: dict) -> list[int]:
     longest = lambda w: max(w, key=lambda z: (len(z), z))
     la, lb = longest(mx or x), longest(my or y)
     out.append(1 if any(_same(la, w) for w in y) and any(_same(lb, w) for w in x) else -1)
-    return out
+    return [*out, rare]
 
 
 class LabelModel:
@@ -281,7 +327,7 @@ def matched(a: DataFrame, b: DataFrame) -> DataFrame:
     rows = {s: settle(prepared(df)) for s, df in (("a", a), ("b", b))}
     content = ["tokens", "ends", "part", "year", "names"]
     one = {s: df.groupBy("rep").agg(*(F.any_value(c).alias(c) for c in content)) for s, df in rows.items()}
-    reps = one["a"].select(F.lit("a").alias("side"), "rep", "tokens").unionAll(one["b"].select(F.lit("b"), "rep", "tokens"))
+    reps = one["a"].select(F.lit("a").alias("side"), "rep", "tokens", "ends", "part", "year").unionAll(one["b"].select(F.lit("b"), "rep", "tokens", "ends", "part", "year"))
     side = {s: df.select(F.col("rep").alias(s), F.struct(*content).alias(f"x_{s}")) for s, df in one.items()}
     pairs = candidates(reps).join(side["a"], "a").join(side["b"], "b")
     far = F.abs(F.col("x_a.year") - F.col("x_b.year")) > YEARS
@@ -289,11 +335,11 @@ def matched(a: DataFrame, b: DataFrame) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [votes(x, y) for x, y in zip(batch.column("x_a").to_pylist(), batch.column("x_b").to_pylist())]
+            found = [votes(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("x_a", "x_b", "rare")))]
             code = [sum((v + 1) * 3**j for j, v in enumerate(x)) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("other"), pa.array(code, pa.int32())], names=["a", "b", "other", "pattern"])
 
-    voted = settle(pairs.withColumn("other", other).select("a", "b", "x_a", "x_b", "other").mapInArrow(judge, "a bigint, b bigint, other boolean, pattern int"))
+    voted = settle(pairs.withColumn("other", other).select("a", "b", "x_a", "x_b", "rare", "other").mapInArrow(judge, "a bigint, b bigint, other boolean, pattern int"))
     counts = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()
     schema = "pattern int, confidence double"
     if not counts:
@@ -301,6 +347,6 @@ def matched(a: DataFrame, b: DataFrame) -> DataFrame:
     grid = np.array([[r["pattern"] // 3**j % 3 - 1 for j in range(len(FUNCTIONS))] for r in counts])
     model = LabelModel(grid, np.array([r["n"] for r in counts]))
     known = spark.createDataFrame(pd.DataFrame({"pattern": np.array([r["pattern"] for r in counts], np.int32), "confidence": model.post}), schema)
-    linked = voted.where(~F.col("other")).join(F.broadcast(known), "pattern")  # at most 3 ** 8 patterns
+    linked = voted.where(~F.col("other")).join(F.broadcast(known), "pattern")  # at most 3 ** 9 patterns
     ids = {s: df.select(F.col("rep").alias(s), F.col("id").alias(f"{s}_id")) for s, df in rows.items()}
     return linked.join(ids["a"], "a").join(ids["b"], "b").select("a_id", "b_id", F.round("confidence", 6).alias("confidence"))

@@ -211,6 +211,32 @@ def test_matches_of_a_fixture(spark):
     assert linkage.matched(empty, spark.createDataFrame(b, schema)).count() == 0
 
 
+def test_a_title_damaged_on_one_side_meets_its_work(spark):
+    """All tokens but the damaged one are held by more titles than any bound on blocks would allow."""
+    random.seed(9)
+    places = ["".join(random.choice("bcdfghklmnprst") + random.choice("aeiou") for _ in range(6)) for _ in range(80)]
+    title = "Early printing in {} valley with remarks about letters"
+    a = [(i, title.format(x), ["Doe, Jane"], "1950") for i, x in enumerate(places)]
+    x = places[0]
+    b = [(i, title.format(p), ["Doe, Jane"], "1950") for i, p in enumerate(places[40:], 40)]
+    b += [(200, title.format(x[:3] + "zzz" + x[6:]), ["Doe, Jane"], "1950"), (201, title.format(x[:3] + "zzz" + x[6:]) + ": " + "more words of " * 30, ["Doe, Jane"], "1951"), (202, title.format(x[:3] + "qqq" + x[6:]), ["Doe, Jane"], "1990")]
+    schema = "id long, title string, authors array<string>, date string"
+    met = {(r.a_id, r.b_id) for r in linkage.matched(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()}
+    assert {(0, 200), (0, 201)} <= met and (0, 202) not in met
+
+
+def test_titles_that_share_most_tokens_meet_whatever_their_length(spark):
+    random.seed(10)
+    words = ["".join(random.choice("bcdfghklmnprst") + random.choice("aeiou") for _ in range(4)) for _ in range(400)]
+    kept = {1: 1, 2: 2, 3: 2, 4: 3, 9: 5, 16: 9, 17: 9, 40: 21}
+    own = {n: random.sample(words, n) for n in kept}
+    a = [("a", i, own[n]) for i, n in enumerate(kept)]
+    b = [("b", i, own[n][n - kept[n] :] + [f"other{i}{j}" for j in range(n - kept[n])]) for i, n in enumerate(kept)]
+    reps = spark.createDataFrame([(*x, [], "", None) for x in a + b], "side string, rep long, tokens array<string>, ends array<int>, part string, year int")
+    met = {(r.a, r.b) for r in linkage.candidates(reps).collect()}
+    assert {(i, i) for i in range(len(kept))} <= met
+
+
 def test_every_query_runs(spark, sf):
     for name, query in llm.QUERIES.items():
         assert query(spark, sf).count() > (-1 if name == "p10_limits" else 0), name  # limits need many texts
