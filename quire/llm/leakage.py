@@ -94,11 +94,12 @@ class Items:
         if not text or not self.any:
             return []
         plain, at = reduce_text(text), None
-        found: dict[tuple, tuple] = {}
+        found: list[tuple] = []
+        last: dict[tuple, int] = {}  # where the last stretch of an item on an alignment ends, in reduced letters
         for end, (length, where) in self.automaton.iter(plain):
             first = end + 1 - length
             for n, offset in where:
-                if (n, first - offset) in found:
+                if end < last.get((n, first - offset), 0):
                     continue  # the same stretch, met at another of its blocks
                 item, starts, (key, field, whole) = self.texts[n], self.ends[n], self.keys[n]
                 least = len(starts) - 1 if whole else self.words
@@ -121,8 +122,9 @@ class Items:
                 if starts[right] == j and b < len(at) and at[b] == at[b - 1] + 1:
                     right -= 1
                 if right - left >= least:
-                    found[(n, first - offset)] = (key, field, right - left, at[a + starts[left] - i], at[a + starts[right] - i - 1] + 1)
-        return list(found.values())
+                    last[(n, first - offset)] = b
+                    found.append((key, field, right - left, at[a + starts[left] - i], at[a + starts[right] - i - 1] + 1))
+        return found
 
 
 def _blocks(items: DataFrame, key: str, fields: dict[str, bool], block_chars: int) -> Iterator[list[tuple]]:

@@ -104,6 +104,15 @@ def test_leaks_ignore_the_form(change):
     assert text[found[0][3] : found[0][4]] == change(item)
 
 
+def test_every_stretch_of_one_alignment_is_given():
+    words = [f"{x}{y}word" for x in "abcdefgh" for y in "abcde"]
+    item = " ".join(words)
+    text = "so " + " ".join([*words[:18], "zzword", *words[19:]]) + " end"  # a difference of equal length in the middle
+    found = leakage.Items([(1, "text", item, False)], 12).spans(text)
+    assert [(x[2], text[x[3] : x[4]]) for x in found] == [(18, " ".join(words[:18])), (21, " ".join(words[19:]))]
+    assert len(leakage.Items([(1, "text", item, False)], 12).spans(item)) == 1
+
+
 def test_eleven_words_do_not_leak():
     items = leakage.Items([(1, "text", " ".join(WORDS), False)], 12)
     assert not items.spans("x " + " ".join(WORDS[:11]) + "y z") and items.spans("x " + " ".join(WORDS[2:14]) + " y")
