@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import identifiers as ids
+from quire.functions import years
 from quire.plans.book import Book
 from quire.sources.tables import table
 
@@ -124,7 +125,8 @@ def extract_years(spark, sf):
 @book.add(r"""WITH y AS (SELECT doc_id, unnest([10, 9, 8]) AS weight, unnest([regexp_extract(text, '\((\d{4})\)', 1), regexp_extract(text, '©\s*(\d{4})', 1), regexp_extract(text, ',\s+(\d{4})\b', 1)]) AS year FROM documents WHERE text IS NOT NULL),
  s AS (SELECT doc_id, year, weight + CASE WHEN year = max(year) OVER (PARTITION BY doc_id) THEN 10 ELSE 0 END AS score FROM y WHERE year <> '' AND CAST(year AS INT) BETWEEN 1900 AND 2100) SELECT doc_id, year AS best_year, CAST(score AS BIGINT) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, year DESC) = 1""")
 def best_year(spark, sf):
-    """The likeliest year of publication: weight of its form, and ten more for the most recent one."""
+    """The likeliest of the first year in each of three forms: its weight, and ten more for the most recent one; over all
+    years of the text: ``best_year_in_text``."""
     forms = [(r"\((\d{4})\)", 10), (r"©\s*(\d{4})", 9), (r",\s+(\d{4})\b", 8)]
     each = F.explode(F.array(*(F.struct(F.lit(w).alias("weight"), F.regexp_extract("text", p, 1).alias("year")) for p, w in forms)))
     y = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", each.alias("e")).select("doc_id", "e.*").where(F.col("year").try_cast("int").between(1900, 2100))
@@ -132,6 +134,13 @@ def best_year(spark, sf):
     return y.withColumn("score", score.cast("long")).groupBy("doc_id").agg(F.max(F.struct("score", "year")).alias("m")).select("doc_id", c("m.year").alias("best_year"), "m.score")
 
 
+@book.add()
+def best_year_in_text(spark, sf):
+    """The likeliest year of publication among all years of each document, by form, place, words nearby and recency."""
+    df = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", years.best_year(c("text")).alias("b"))
+    return df.select("doc_id", "b.*").where("best_year IS NOT NULL")
+
+
 @book.add("SELECT original_filename, nullif(regexp_extract(upper(original_filename), '^(NO|EN|DE|FI|SV)_', 1), '') AS lang FROM paper_identifiers")
 def filename_language(spark, sf):
     return table(spark, sf, "paper_identifiers").select("original_filename", ids.filename_language(c("original_filename")).alias("lang"))

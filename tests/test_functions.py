@@ -7,6 +7,7 @@ from quire.functions import identifiers as ids
 from quire.functions import scoring as sc
 from quire.functions.authors import labelled_authors
 from quire.functions.ratio import matching_ratio
+from quire.functions.years import best_year_of
 from quire.sources import logs
 
 
@@ -63,3 +64,16 @@ def test_upsert_keeps_the_last_of_both(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x")], "k string, t int, v string")
     new = spark.createDataFrame([("b", 2, "y"), ("c", 1, "z")], "k string, t int, v string")
     assert sorted(tuple(r) for r in logs.upsert(old, new, "k", "t").collect()) == [("a", 1, "x"), ("b", 2, "y"), ("c", 1, "z")]
+
+
+def test_all_years_of_a_text_compete(spark):
+    from quire.plans import registry
+
+    assert best_year_of("Old (1950), new (1999)")[0] == "1999"  # the second match of one form
+    assert best_year_of(None) is best_year_of("") is best_year_of("no year (1234)") is None
+    assert best_year_of("x" * 60 + " Accessed: 3 May (2020), " + "x" * 40 + ", 1987")[0] == "1987"
+    body = "\n".join(["The survey of the valley was made in (2005) by them"] * 6)
+    assert best_year_of(f"Journal (1971)\n{body}\n" + "end\n" * 40)[0] == "1971"
+    df = spark.createDataFrame([(1, "Old (1950), new (1999)"), (2, None), (3, "none")], "doc_id long, text string")
+    df.write.mode("overwrite").parquet("/tmp/quire-years/documents.parquet")
+    assert [(r.doc_id, r.best_year) for r in registry.QUERIES["best_year_in_text"](spark, "/tmp/quire-years").collect()] == [(1, "1999")]
