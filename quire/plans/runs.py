@@ -87,13 +87,21 @@ def stream_windows(spark, sf):
 @book.add(r"""SELECT request_id, array_to_string(CASE WHEN len(g) > 0 THEN g ELSE names END, '; ') AS authors FROM (SELECT *, list_filter(names, lambda x: regexp_matches(x, '^(\p{Lu}[\p{Ll}''’-]+(-\p{Lu}\p{Ll}+)?|\p{Lu}{2,}|\p{Lu}\.)(\s+(\p{Lu}[\p{Ll}''’-]+(-\p{Lu}\p{Ll}+)?|\p{Lu}{2,}|\p{Lu}\.)){1,3}$')) AS g FROM (
  SELECT request_id, list_filter(list_transform(string_split_regex(array_to_string(authors, '; '), '\s*(?:;|,|\sand\s|&)\s*'), lambda x: trim(x)), lambda x: x <> '') AS names FROM paper_identifiers WHERE authors IS NOT NULL AND len(authors) = len(list_distinct(list_transform(authors, lambda x: lower(x)))) AND NOT list_bool_or(list_transform(authors, lambda x: contains(x, ',') OR contains(x, ' and ')))))""".replace("list_bool_or(list_transform(authors, lambda x: contains(x, ',') OR contains(x, ' and ')))", "contains(array_to_string(authors, '|'), ',') AND NOT contains(array_to_string(authors, '|'), ' and ')"))
 def labelled_authors(spark, sf):
-    """Names after an author label, those in the shape of a name where there are any."""
+    """Names after an author label, those in the shape of a name where there are any; only rows without repeated names,
+    commas and 'and' in names, as its SQL has them. All rows: ``labelled_authors_of_all``."""
     clean = (F.size("authors") == F.size(F.array_distinct(F.transform("authors", F.lower)))) & ~F.array_join("authors", "|").contains(",") & ~F.array_join("authors", "|").contains(" and ")
     p = table(spark, sf, "paper_identifiers").where(c("authors").isNotNull() & clean)
     text = F.concat(F.lit("Title\nAuthor(s): "), F.array_join("authors", "; "), F.lit("\nBody"))
     return p.select("request_id", F.array_join(au.shaped(au.labelled_authors(text)), "; ").alias("authors"))
 
 
+@book.add()
+def labelled_authors_of_all(spark, sf):
+    """Names after an author label of every row with authors, split at commas and 'and', each once."""
+    text = F.concat(F.lit("Title\nAuthor(s): "), F.array_join("authors", "; "), F.lit("\nBody"))
+    return table(spark, sf, "paper_identifiers").where("authors IS NOT NULL").select("request_id", F.array_join(au.shaped(au.labelled_authors(text)), "; ").alias("authors"))
+
+
 @book.add()
 def title_ratio(spark, sf):
     """Ratio of matching blocks of each request's title and its candidates', of 80 and more; each distinct pair is compared once."""
