@@ -3,11 +3,13 @@
 Preparing: titles are repaired, brought to one form and cut into tokens, main title, part number; years and names are
 read from their many formats. Rows that then say the same become one representative, so copies cost nothing later.
 
-Candidates: every token is led to its most frequent neighbour within one edit (by shared deletions, so without
-comparing all tokens). Two representatives are candidates if the rarest such token of one is among the three rarest
-of the other, or if each holds more than half of its tokens in common with the other, with or without subtitles. Those
-that share so many must share three of the rarer ones (two or one in short titles), so all of them meet in the blocks
-of such combinations; no block is bounded or cut. Pairs that part or years rule out are not made in these.
+Candidates: every token, and every word of a name, is led to its most frequent neighbour within one edit (by shared
+deletions, so without comparing all of them). Two representatives are candidates if three things hold. Their titles,
+whole or before a subtitle, share a token among the rarer half of each, as all do that share more than half of their
+tokens. Where both name authors, they share a word of these. Where both have a year, they are no more than two
+apart. What is not known rules nothing out. One equi-join on (token, author word or none, years or none) finds all of
+them; no block is bounded or cut, at any size. Of one title, those without authors are one representative per year and
+those without a year one per list of authors, so a title with any number of different authors and years stays linear.
 
 Label model: nine matching functions vote yes, no or nothing on each candidate. The counts of the vote patterns (at
 most 3 to the 9) go to the driver, where expectation maximisation fits a generative model of the votes: a prior and,
@@ -28,25 +30,26 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from quire.llm.encoding import repair
 from quire.llm.leakage import reduce_text
 from quire.llm.names import spellings, within_one
 from quire.session import settle
 
-#: Keys per title; letters from which on a token is led to any more frequent neighbour, and the times that a shorter
-#: one's neighbour must be as frequent (short names have neighbours by chance); years that one work's records may
-#: differ by; rounds of the model's fitting; tokens up to which a title's combinations are listed, above that its single ones.
-KEYS, LONG, OFTEN, YEARS, ROUNDS, LISTED = 3, 9, 3, 2, 60, 16
+#: Tokens that count as a title's rarest in the vote on them; letters from which on a token is led to any more frequent
+#: neighbour, and the times that a shorter one's neighbour in titles must be as frequent (short words have neighbours by chance);
+#: years that one work's records may differ by; years of one block; rounds of the model's fitting.
+KEYS, LONG, OFTEN, YEARS, BAND, ROUNDS = 3, 9, 3, 2, 5, 60
 
 _UNSEEN = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufff9-\ufffb]+")
 _TAG, _NOTE = re.compile(r"<[^<>]*>"), re.compile(r"\[[^\]]*\]")
 _CUT = re.compile(r"\s*:\s+|\s+[-–—/]\s+|(?<=\w{3})\.\s+")
 _PART = re.compile(r"[,.(]\s*[^\W\d]{1,8}\.?\s+(\d{1,3})(?=\s*(?:[:.,;)/\-–—]|$))")
+_UMLAUT = re.compile("(a)[ae]|([ou])e")
 _YEAR = re.compile(r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)")
-_COMMON = {"the", "royal", "society", "national", "committee", "institute", "studies", "research", "centre", "university", "press", "association", "heritage", "department", "college", "prof", "hrsg", "publ"}
 
 
 #: Words and names that a worker remembers the form of; of no effect on the result.
@@ -56,9 +59,9 @@ _reduced = lru_cache(REMEMBERED)(reduce_text)
 
 @lru_cache(REMEMBERED)
 def _name_words(name: str) -> str:
-    """The distinctive words of a name, in every way of writing umlauts."""
-    words = (w for x in spellings(repair(name)[1]) for w in re.findall(r"[^\W\d_]+", x))
-    return " ".join(dict.fromkeys(w for w in words if len(w) > 2 and w not in _COMMON))
+    """The words of a name, umlauts and double letters for them as the plain letter."""
+    words = re.findall(r"[^\W\d_]+", spellings(repair(name)[1])[-1])
+    return " ".join(dict.fromkeys(_UMLAUT.sub(r"\1\2", w) for w in words if len(w) > 2))
 
 
 def read_title(title: str | None) -> tuple[list[str], list[int], str]:
@@ -88,112 +91,113 @@ def read_year(text: str | None) -> int | None:
 
 
 def read_names(authors: list[str | None] | None) -> list[str]:
-    """The distinctive words of each author, in every way of writing umlauts."""
+    """The words of each author, in one way of writing umlauts."""
     return sorted({_name_words(a) for a in authors or [] if a} - {""})
 
 
 def prepared(df: DataFrame) -> DataFrame:
-    """(id, tokens, ends, part, year, names) of a table with (id, title, authors, date); no row for empty titles."""
+    """(id, rep, tokens, ends, part, year, names) of a table with (id, title, authors, date); no row for empty titles.
+
+    ``rep`` is a 128-bit hash of the rest, by which rows that say the same are one representative."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            titles = [read_title(x) for x in batch.column("title").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"), pa.array([t[0] for t in titles], pa.list_(pa.string())), pa.array([t[1] for t in titles], pa.list_(pa.int32())), pa.array([t[2] for t in titles], pa.string()),
-                    pa.array([read_year(x) for x in batch.column("date").to_pylist()], pa.int32()), pa.array([read_names(x) for x in batch.column("authors").to_pylist()], pa.list_(pa.string())),
-                ],
-                names=["id", "tokens", "ends", "part", "year", "names"],
-            )
+            ids, rows = [], []
+            for n, (title, date, authors) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("title", "date", "authors")))):
+                tokens, ends, part = read_title(title)
+                if tokens:
+                    ids.append(n)
+                    rows.append((tokens, ends, part, read_year(date), read_names(authors)))
+            cols = list(zip(*rows)) or [[]] * 5
+            kinds = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.string(), pa.int32(), pa.list_(pa.string()))
+            reps = pa.array([xxh3_128_digest("\x1e".join(map("\x1f".join, (t, map(str, e), (p, str(y)), n)))) for t, e, p, y, n in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids, pa.int64())), reps, *map(pa.array, cols, kinds)], names=["id", "rep", "tokens", "ends", "part", "year", "names"])
 
     source = df.select("id", "title", "authors", "date").where(F.col("title").isNotNull())
-    out = source.mapInArrow(read, "id bigint, tokens array<string>, ends array<int>, part string, year int, names array<string>")
-    return out.where(F.size("tokens") > 0).withColumn("rep", F.xxhash64("tokens", "ends", "part", "year", "names"))
+    return source.mapInArrow(read, "id bigint, rep binary, tokens array<string>, ends array<int>, part string, year int, names array<string>")
 
 
 def canonical_tokens(counts: DataFrame) -> DataFrame:
-    """(token, canonical): the most frequent token within one edit, followed to its end; ``counts`` is (token, n)."""
+    """(kind, token, canonical): the most frequent token of the kind within one edit, followed to its end; ``counts`` is
+    (kind, token, n)."""
     long = counts.where(F.length("token") >= 5)
     cuts = F.concat(F.array("token"), F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.length("token")))))
-    keyed = long.select("token", "n", F.explode(F.array_distinct(cuts)).alias("cut"))
-    best = keyed.groupBy("cut").agg(F.max(F.struct("n", "token")).alias("best"), F.count("*").alias("rows")).where(F.col("rows") > 1).select("cut", "best")
+    keyed = long.select("kind", "token", "n", F.explode(F.array_distinct(cuts)).alias("cut"))
+    best = keyed.groupBy("kind", "cut").agg(F.max(F.struct("n", "token")).alias("best"), F.count("*").alias("rows")).where(F.col("rows") > 1).select("kind", "cut", "best")
     swapped = (F.length("token") == F.length("best.token")) & (F.array_sort(F.split("token", "")) == F.array_sort(F.split("best.token", "")))
-    near = ((F.levenshtein("token", "best.token") <= 1) | swapped) & ((F.length("token") >= LONG) | (F.col("best.n") >= OFTEN * F.col("n")))
-    up = keyed.join(best, "cut").where((F.col("best") > F.struct("n", "token")) & near).groupBy("token").agg(F.max("best").alias("best")).select("token", F.col("best.token").alias("canonical"))
-    up = settle(up)
+    near = ((F.levenshtein("token", "best.token") <= 1) | swapped) & ((F.col("kind") == 1) | (F.length("token") >= LONG) | (F.col("best.n") >= OFTEN * F.col("n")))
+    up = keyed.join(best, ["kind", "cut"]).where((F.col("best") > F.struct("n", "token")) & near).groupBy("kind", "token").agg(F.max("best").alias("best"))
+    up = settle(up.select("kind", "token", F.col("best.token").alias("canonical")))
     for _ in range(2):  # a neighbour's neighbour, up to four steps
-        step = up.select(F.col("token").alias("canonical"), F.col("canonical").alias("next"))
-        up = up.join(step, "canonical", "left").select("token", F.coalesce("next", "canonical").alias("canonical"))
+        step = up.select("kind", F.col("token").alias("canonical"), F.col("canonical").alias("next"))
+        up = up.join(step, ["kind", "canonical"], "left").select("kind", "token", F.coalesce("next", "canonical").alias("canonical"))
     return up
 
 
 def ranked(reps: DataFrame) -> DataFrame:
-    """(side, rep, part, year, whole, r): the canonical tokens of every representative, the rarest first, for the whole
-    title and for what stands before each subtitle.
-
-    Frequencies are summed over the vocabulary, so the titles' tokens are joined once, by the token that they have."""
-    words = reps.select("side", "rep", F.explode(F.array_distinct("tokens")).alias("token"))
-    counts = settle(words.groupBy("token").agg(F.count("*").alias("n")))
-    named = counts.join(canonical_tokens(counts), "token", "left").withColumn("canonical", F.coalesce("canonical", "token"))
-    totals = named.groupBy("canonical").agg(F.sum("n").alias("total"))
-    looked = named.join(totals, "canonical").select("token", F.struct(F.col("total").alias("n"), F.col("canonical").alias("token")).alias("key"))
-    cuts = reps.withColumn("cut", F.explode(F.array_distinct(F.concat(F.array(F.size("tokens")), F.filter("ends", lambda e: e > 0)))))
-    each = cuts.select("side", "rep", "part", "year", "cut", (F.col("cut") == F.size("tokens")).alias("whole"), F.explode(F.array_distinct(F.slice("tokens", F.lit(1), F.col("cut")))).alias("token"))
-    found = each.join(looked, "token").groupBy("side", "rep", "part", "year", "cut", "whole").agg(F.array_sort(F.collect_set("key")).alias("r"))
-    return found.drop("cut")
-
-
-#: Hashes of all combinations of one, two and three tokens of p, which is in one order for all titles; parts stay apart.
-_COMBINED = {
-    1: "transform(p, x -> xxhash64(part, x.token))",
-    2: "flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), y -> xxhash64(part, x.token, y.token))))",
-    3: "flatten(flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), (y, j) -> transform(slice(p, i + j + 3, size(p)), z -> xxhash64(part, x.token, y.token, z.token))))))",
-}
-
-
-def blocks(titles: DataFrame) -> DataFrame:
-    """(side, rep, year, size, family, block): where titles meet that each share more than half of their tokens.
-
-    Of n tokens, k = n // 2 + 1 shared ones leave n - k unshared, so w of them are among the n - k + w rarest. Titles of
-    up to three tokens need two of them (one has one), longer ones three; single ones serve titles of over ``LISTED``."""
-    n = F.size("r")
-
-    def family(w: int, name: int, where: str) -> DataFrame:
-        rarest = F.slice("r", F.lit(1), (n - F.floor(n / 2) - 1 + w).cast("int"))
-        of = titles.withColumn("size", n).where(where).withColumn("p", rarest)
-        return of.select("side", "rep", "year", "size", F.lit(name).alias("family"), F.explode(F.expr(_COMBINED[w])).alias("block"))
-
-    least = LISTED // 2 + 1  # the tokens that titles of over LISTED share with another
-    listed = [family(1, 1, "size = 1"), family(2, 2, "size IN (2, 3)"), family(3, 3, f"size BETWEEN 3 AND {LISTED}")]
-    return listed[0].unionAll(listed[1]).unionAll(listed[2]).unionAll(family(1, 4, f"size >= {least}"))
-
-
-def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b, rare): pairs of representatives of the two sides, where the rarest token of one is a key of the other (1),
-    or where each shares more than half of its tokens with the other and the rest looks damaged (0) or not (-1);
-    ``reps`` is (side, rep, tokens, ends, part, year)."""
-    titles = settle(ranked(reps))
-    whole = titles.where("whole")
-    keyed = whole.select("side", "rep", F.posexplode(F.slice("r", 1, KEYS)).alias("rank", "key")).select("side", "rep", "rank", "key.token")
-    a, b = (keyed.where(F.col("side") == s).select(F.col("rep").alias(s), F.col("rank").alias(f"{s}_rank"), "token") for s in "ab")
-    first = a.where("a_rank = 0").join(b, "token").select("a", "b")
-    other = a.where("a_rank > 0").join(b.where("b_rank = 0"), "token").select("a", "b")
-    met = settle(blocks(titles))
-    x, y = (met.where(F.col("side") == s).select(F.col("rep").alias(s), F.col("year").alias(f"{s}_year"), F.col("size").alias(f"{s}_size"), "family", "block") for s in "ab")
+    """``reps`` (side, rep, tokens, ends, part, year, names) with ``t``, the canonical tokens, and ``prefix``, the rarer
+    half of those of the whole title and of what stands before each subtitle, both the rarest first; ``n``, the canonical
+    words of each author, likewise; and a number, ``no``, that holds once the result is written.
+
+    Frequencies are summed over the vocabulary, so the words are joined once, by the word that they have."""
+    each = F.concat(
+        F.transform("tokens", lambda x, i: F.struct(F.lit(0).alias("kind"), i.alias("at"), x.alias("token"))),
+        F.flatten(F.transform("names", lambda x, i: F.transform(F.split(x, " "), lambda w: F.struct(F.lit(1).alias("kind"), i.alias("at"), w.alias("token"))))),
+    )
+    words = reps.select("rep", F.inline(each))
+    counts = settle(words.groupBy("kind", "token").agg(F.count("*").alias("n")))
+    named = counts.join(canonical_tokens(counts), ["kind", "token"], "left").withColumn("canonical", F.coalesce("canonical", "token"))
+    totals = named.groupBy("kind", "canonical").agg(F.sum("n").alias("n"))
+    looked = named.drop("n").join(totals, ["kind", "canonical"]).select("kind", "token", "n", "canonical")
+    found = words.join(looked, ["kind", "token"]).groupBy("rep").agg(F.collect_list(F.struct("n", "canonical", "kind", "at")).alias("w"))
+    out = reps.join(found, "rep")
+    rarest = lambda c: F.array_distinct(F.transform(F.array_sort(c), lambda x: x.canonical))
+    titled, named = F.filter("w", lambda x: x.kind == 0), F.filter("w", lambda x: x.kind == 1)
+    ends = F.array_distinct(F.concat(F.array(F.size("tokens")), F.filter("ends", lambda e: e > 0)))
+    out = out.withColumn("w0", titled).withColumn("w1", named).withColumn("t", rarest(F.col("w0")))
+    out = out.withColumn("cuts", F.transform(ends, lambda e: rarest(F.filter("w0", lambda x: x.at < e))))
+    prefix = F.array_distinct(F.flatten(F.transform("cuts", lambda r: F.slice(r, F.lit(1), F.ceil(F.size(r) / 2).cast("int")))))
+    authors = F.array_distinct(F.transform("w1", lambda x: x["at"]))
+    n = F.transform(authors, lambda i: rarest(F.filter("w1", lambda x: x["at"] == i)))
+    return out.select(*reps.columns, "t", prefix.alias("prefix"), n.alias("n"), F.monotonically_increasing_id().alias("no"))
+
+
+def keyed(titles: DataFrame, side: str) -> DataFrame:
+    """(side, side_year, key): the hashes by which the representatives of one side, 'a' or 'b', meet those of the other.
+
+    A key is a token with an author word and a band of years. Where one lacks authors or a year, the other side's
+    representatives meet it by the sign for that: both sides have the sign for a lack of the other side, and their own
+    where they lack it themselves."""
+    own, other = ("a", "b") if side == "a" else ("b", "a")
+    lack = lambda s, what: F.lit(f"\x1f{what}{s}")
+    nobody, undated = F.size("n") == 0, F.col("year").isNull()
+    who = F.when(nobody, F.array(lack(own, "n"), lack(other, "n")) if side == "a" else F.array(lack(own, "n"))).otherwise(F.concat(F.flatten("n"), F.array(lack(other, "n"))))
+    band = lambda d: F.floor((F.col("year") + d) / BAND).cast("string")
+    bands = F.array_distinct(F.array(band(-YEARS), band(YEARS))) if side == "a" else F.array(band(0))
+    when = F.when(undated, F.array(lack(own, "y"), lack(other, "y")) if side == "a" else F.array(lack(own, "y"))).otherwise(F.concat(bands, F.array(lack(other, "y"))))
+    of = titles.where(F.col("side") == side).select(F.col("no").alias(side), F.col("year").alias(f"{side}_year"), "prefix", who.alias("who"), when.alias("when"))
+    hashed = lambda t: F.transform("who", lambda w: F.xxhash64(t, w))
+    pairs = F.flatten(F.transform("prefix", hashed))
+    keys = F.flatten(F.transform(pairs, lambda h: F.transform("when", lambda y: F.xxhash64(h, y))))
+    return of.select(side, f"{side}_year", F.explode(F.array_distinct(keys)).alias("key"))
+
+
+def candidates(titles: DataFrame) -> DataFrame:
+    """(a, b): the pairs of representatives of the two sides that share a key and are no more than YEARS apart;
+    ``titles`` as of ``ranked``."""
     near = F.coalesce(F.abs(F.col("a_year") - F.col("b_year")) <= YEARS, F.lit(True))
-    sharing = x.where("family < 4").join(y.where("family < 4"), ["family", "block"]).where(near)
-    for p, q in ((">", ""), ("<=", f"AND b_size > {LISTED}")):
-        sharing = sharing.unionAll(x.where(f"family = 4 AND a_size {p} {LISTED}").join(y.where(f"family = 4 {q}"), ["family", "block"]).where(near))
-    # what two whole titles share is no less than what they share without subtitles
-    sharing = sharing.groupBy("a", "b").agg(F.min(F.floor(F.greatest("a_size", "b_size") / 2)).alias("half"))
-    held = {s: whole.where(F.col("side") == s).select(F.col("rep").alias(s), F.expr("r.token").alias(f"r_{s}")) for s in "ab"}
-    sharing = sharing.join(held["a"], "a").join(held["b"], "b").where(F.size(F.array_intersect("r_a", "r_b")) > F.col("half"))
-    p, q = F.array_except("r_a", "r_b"), F.array_except("r_b", "r_a")
+    return keyed(titles, "a").join(keyed(titles, "b"), "key").where(near).select("a", "b").distinct()
+
+
+def rarity(p: Column, q: Column) -> Column:
+    """1 where the rarest token of one title is among the rarest of the other, else 0 where the tokens that they do not
+    share look damaged and -1 where not."""
+    first = lambda u, v: F.array_contains(F.slice(u, 1, KEYS), F.get(v, F.lit(0)))
     like = lambda u, v: F.levenshtein(u, v) * 3 <= F.greatest(F.length(u), F.length(v))
     damaged = lambda few, many: F.forall(few, lambda u: F.exists(many, lambda v: like(u, v)))
-    rest = F.when(F.when(F.size(p) <= F.size(q), damaged(p, q)).otherwise(damaged(q, p)), 0).otherwise(-1)
-    met = first.unionAll(other).withColumn("rare", F.lit(1)).unionAll(sharing.select("a", "b", rest))
-    return met.groupBy("a", "b").agg(F.max("rare").alias("rare"))
+    r, s = F.array_except(p, q), F.array_except(q, p)
+    rest = F.when(F.size(r) <= F.size(s), damaged(r, s)).otherwise(damaged(s, r))
+    return F.when(first(p, q) | first(q, p), 1).when(rest, 0).otherwise(-1)
 
 
 FUNCTIONS = ("main", "tokens", "letters", "year", "names", "part", "end", "words", "rare")
@@ -225,7 +229,7 @@ def _grams(text: str) -> set[str]:
 
 
 def votes(a: dict, b: dict, rare: int) -> list[int]:
-    """1, -1 or 0 of each of FUNCTIONS for two representatives; ``rare`` as of ``candidates``."""
+    """1, -1 or 0 of each of FUNCTIONS for two representatives; ``rare`` as of ``rarity``."""
     x, y = a["tokens"], b["tokens"]
     bare = len(x) < len(y) and len(x) in b["ends"] or len(y) < len(x) and len(y) in a["ends"]  # one has no subtitle
     least = min(len(x), len(y))
@@ -246,8 +250,8 @@ def votes(a: dict, b: dict, rare: int) -> list[int]:
         out.append(1 if ratio >= 0.8 else -1 if ratio < 0.65 else 0)
     gap = abs(a["year"] - b["year"]) if a["year"] is not None and b["year"] is not None else None
     out.append(0 if gap is None or gap == YEARS else 1 if gap < YEARS else -1)
-    p, q = a["names"], b["names"]
-    hits = sum(any(any(_same(u, v) for u in i.split() for v in j.split() if len(u) > 3 and len(v) > 3) for j in q) for i in p)
+    p, q = a["n"], b["n"]
+    hits = sum(any(_same(u, v) for j in q for u in i[:2] for v in j[:2]) for i in p)
     out.append(0 if not p or not q else 1 if hits >= 0.5 * min(len(p), len(q)) else -1 if not hits else 0)
     out.append(-1 if a["part"] != b["part"] else 1 if a["part"] else 0)
     u, v = x[-1], y[-1]
@@ -326,10 +330,11 @@ def matched(a: DataFrame, b: DataFrame) -> DataFrame:
     spark = a.sparkSession
     rows = {s: settle(prepared(df)) for s, df in (("a", a), ("b", b))}
     content = ["tokens", "ends", "part", "year", "names"]
-    one = {s: df.groupBy("rep").agg(*(F.any_value(c).alias(c) for c in content)) for s, df in rows.items()}
-    reps = one["a"].select(F.lit("a").alias("side"), "rep", "tokens", "ends", "part", "year").unionAll(one["b"].select(F.lit("b"), "rep", "tokens", "ends", "part", "year"))
-    side = {s: df.select(F.col("rep").alias(s), F.struct(*content).alias(f"x_{s}")) for s, df in one.items()}
-    pairs = candidates(reps).join(side["a"], "a").join(side["b"], "b")
+    one = [df.groupBy("rep").agg(*(F.any_value(c).alias(c) for c in content)).withColumn("side", F.lit(s)) for s, df in rows.items()]
+    titles = settle(ranked(settle(one[0].unionByName(one[1]))))
+    side = {s: titles.where(F.col("side") == s).select(F.col("no").alias(s), F.struct("tokens", "ends", "part", "year", "n").alias(f"x_{s}"), F.col("t").alias(f"t_{s}")) for s in "ab"}
+    pairs = candidates(titles).join(side["a"], "a").join(side["b"], "b")
+    pairs = pairs.where(F.size(F.array_intersect("t_a", "t_b")) * 3 >= F.least(F.size("t_a"), F.size("t_b"))).withColumn("rare", rarity(F.col("t_a"), F.col("t_b")))
     far = F.abs(F.col("x_a.year") - F.col("x_b.year")) > YEARS
     other = F.coalesce(far, F.lit(False)) | (F.col("x_a.part") != F.col("x_b.part"))
 
@@ -348,5 +353,5 @@ def matched(a: DataFrame, b: DataFrame) -> DataFrame:
     model = LabelModel(grid, np.array([r["n"] for r in counts]))
     known = spark.createDataFrame(pd.DataFrame({"pattern": np.array([r["pattern"] for r in counts], np.int32), "confidence": model.post}), schema)
     linked = voted.where(~F.col("other")).join(F.broadcast(known), "pattern")  # at most 3 ** 9 patterns
-    ids = {s: df.select(F.col("rep").alias(s), F.col("id").alias(f"{s}_id")) for s, df in rows.items()}
+    ids = {s: df.select("rep", F.col("id").alias(f"{s}_id")).join(titles.where(F.col("side") == s).select("rep", F.col("no").alias(s)), "rep").drop("rep") for s, df in rows.items()}
     return linked.join(ids["a"], "a").join(ids["b"], "b").select("a_id", "b_id", F.round("confidence", 6).alias("confidence"))
