@@ -7,8 +7,8 @@ Candidates: every token, and every word of a name, is led to its most frequent n
 deletions, so without comparing all of them). Two representatives are candidates if their years, where both are known,
 are no more than two apart, and either
 
-- their titles, whole or before a subtitle, share one of the rare tokens that hold half of a title's information (all do
-  that share more than half of it), and where both name people, names of the two begin or end alike; or
+- the rarest token of one title, whole or before a subtitle, is among those that hold half of the other's information,
+  and where both name people, names of the two begin or end alike; or
 - their titles share more than half of their tokens, what they do not share looks damaged, and they share a word of a
   name, or both lack names.
 
@@ -47,9 +47,9 @@ from quire.session import settle
 
 #: Tokens that count as a title's rarest in the vote on them; letters from which on a token is led to any more frequent
 #: neighbour, and the times that a shorter one's neighbour in titles must be as frequent (short words have neighbours by chance);
-#: years that one work's records may differ by; years of one block; share of the records from which on a word of names
+#: years that one work's records may differ by; share of the records from which on a word of names
 #: is common; rounds of the model's fitting.
-KEYS, LONG, OFTEN, YEARS, BAND, COMMON, ROUNDS = 3, 9, 3, 2, 5, 0.01, 60
+KEYS, LONG, OFTEN, YEARS, COMMON, ROUNDS = 3, 9, 3, 2, 0.01, 60
 
 _UNSEEN = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufff9-\ufffb]+")
 _TAG, _NOTE = re.compile(r"<[^<>]*>"), re.compile(r"\[[^\]]*\]")
@@ -145,9 +145,9 @@ def ranked(reps: DataFrame) -> DataFrame:
     """``reps`` (side, rep, tokens, ends, part, year, names) with
 
     - ``t``, the canonical tokens of the title, the rarest first;
-    - ``telling``, those that hold half of the information of the whole title or of what stands before a subtitle;
-    - ``rarer``, the rarer half of those of either;
-    - ``n``, the canonical words of each author, and ``known``, all of them and the words as written that are not common;
+    - ``first``, the rarest of the whole title and of what stands before a subtitle, ``telling``, those that hold half of
+      the information of either, and ``rarer``, the rarer half of either;
+    - ``n``, the canonical words of each author, and ``known``, those of all authors that are not common;
     - ``bits``, a set of 64 that holds each token's hash; and a number, ``no``, that holds once the result is written.
 
     Frequencies are summed over the vocabulary, so the words are joined once, by the word that they have."""
@@ -160,60 +160,59 @@ def ranked(reps: DataFrame) -> DataFrame:
     counts = settle(words.groupBy("kind", "token").agg(F.count("*").alias("n")))
     named = counts.join(canonical_tokens(counts), ["kind", "token"], "left").withColumn("canonical", F.coalesce("canonical", "token"))
     totals = named.groupBy("kind", "canonical").agg(F.sum("n").alias("n"))
-    looked = named.drop("n").join(totals, ["kind", "canonical"]).select("kind", "token", "n", "canonical")
-    found = words.join(looked, ["kind", "token"]).groupBy("rep").agg(F.collect_list(F.struct("n", "canonical", "kind", "at", "token")).alias("w"))
+    weight = F.greatest(F.lit(0.0), F.log(F.lit(float(total)) / F.col("n")))  # the information of a word
+    looked = named.drop("n").join(totals, ["kind", "canonical"]).select("kind", "token", "n", weight.alias("weight"), "canonical")
+    found = words.join(looked, ["kind", "token"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "canonical", "weight", "kind", "at"))).alias("w"))
     out = reps.join(found, "rep")
-    rarest = lambda c: F.array_distinct(F.transform(F.array_sort(c), lambda x: F.struct(x.n.alias("n"), x.canonical.alias("c"))))
+    pair = lambda c: F.array_distinct(F.transform(c, lambda x: F.struct(x.canonical.alias("c"), x.weight.alias("weight"))))
     only = lambda c: F.transform(c, lambda x: x.c)
-    information = lambda r: F.aggregate(r, F.lit(0.0), lambda s, x: s + F.greatest(F.lit(0.0), F.log(F.lit(float(total)) / x.n)))
-    telling = lambda r: F.filter(r, lambda x, i: information(F.slice(r, F.lit(1), i)) * 2 <= information(r))
     ends = F.array_distinct(F.concat(F.array(F.size("tokens")), F.filter("ends", lambda e: e > 0)))
     out = out.withColumn("w0", F.filter("w", lambda x: x.kind == 0)).withColumn("w1", F.filter("w", lambda x: x.kind == 1))
-    out = out.withColumn("cuts", F.transform(ends, lambda e: rarest(F.filter("w0", lambda x: x["at"] < e))))
-    out = out.withColumn("t", only(rarest(F.col("w0")))).withColumn("telling", F.array_distinct(F.flatten(F.transform("cuts", lambda r: only(telling(r))))))
-    half = F.array_distinct(F.flatten(F.transform("cuts", lambda r: only(F.slice(r, F.lit(1), F.ceil(F.size(r) / 2).cast("int"))))))
-    authors = F.array_distinct(F.transform("w1", lambda x: x["at"]))
-    n = F.transform(authors, lambda i: only(rarest(F.filter("w1", lambda x: x["at"] == i))))
-    rare = F.filter("w1", lambda x: x.n <= COMMON * total)
-    known = F.array_distinct(F.concat(F.transform(rare, lambda x: x.canonical), F.transform(rare, lambda x: x.token)))
+    out = out.withColumn("cuts", F.transform(ends, lambda e: pair(F.filter("w0", lambda x: x["at"] < e))))
+    out = out.withColumn("halves", F.transform("cuts", lambda r: F.aggregate(r, F.lit(0.0), lambda t, x: t + x.weight) / 2))
+    nothing = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<string>").alias("out"))
+    step = lambda half: lambda t, x: F.struct((t["sum"] + x.weight).alias("sum"), F.when(t["sum"] <= half, F.concat(t["out"], F.array(x.c))).otherwise(t["out"]).alias("out"))
+    telling = F.flatten(F.transform("cuts", lambda r, i: F.aggregate(r, nothing, step(F.get("halves", i)), lambda t: t["out"])))
+    first = F.transform("cuts", lambda r: F.get(r, F.lit(0)).c)
+    half = F.flatten(F.transform("cuts", lambda r: only(F.slice(r, F.lit(1), F.ceil(F.size(r) / 2).cast("int")))))
+    out = out.withColumn("t", only(F.get("cuts", F.lit(0)))).withColumn("telling", F.array_distinct(telling)).withColumn("first", F.array_distinct(first)).withColumn("rarer", F.array_distinct(half))
+    n = F.transform(F.array_distinct(F.transform("w1", lambda x: x["at"])), lambda i: only(pair(F.filter("w1", lambda x: x["at"] == i))))
+    known = F.array_distinct(F.transform(F.filter("w1", lambda x: x.n <= COMMON * total), lambda x: x.canonical))
     bits = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
-    return out.select(*reps.columns, "t", "telling", half.alias("rarer"), n.alias("n"), known.alias("known"), bits.alias("bits"), F.monotonically_increasing_id().alias("no"))
+    return out.select(*reps.columns, "t", "first", "telling", "rarer", n.alias("n"), known.alias("known"), bits.alias("bits"), F.monotonically_increasing_id().alias("no"))
 
 
 def keyed(titles: DataFrame, side: str) -> DataFrame:
-    """(side, side_year, side_bits, side_size, near, key): the hashes by which the representatives of one side, 'a' or 'b',
-    meet those of the other, by telling tokens (``near`` false) or by most of their tokens (true).
+    """(side, side_year, side_bits, side_size, way, key): the hashes by which the representatives of one side, 'a' or 'b',
+    meet those of the other.
 
-    Where one lacks authors or a year, the other side's representatives meet it by the sign for that: both sides have the
-    sign for a lack of the other side, and their own where they lack it themselves."""
+    Where one lacks authors, the other side's representatives meet it by the sign for that: both sides have the sign for
+    a lack of the other side, and their own where they lack them themselves."""
     own, other = ("a", "b") if side == "a" else ("b", "a")
     lack = lambda s, what: F.lit(f"\x1f{what}{s}")
-    lacking = lambda what: F.array(lack(own, what), lack(other, what)) if side == "a" else F.array(lack(own, what))
-    nobody, undated = F.size("known") == 0, F.col("year").isNull()
+    nobody = F.size("known") == 0
     affixes = F.flatten(F.transform("known", lambda w: F.array(F.concat(F.lit("<"), F.substring(w, 1, 3)), F.concat(F.lit(">"), F.substring(w, -3, 3)))))
-    who = F.when(nobody, lacking("n")).otherwise(F.concat(F.array_distinct(affixes), F.array(lack(other, "n"))))
-    band = lambda d: F.floor((F.col("year") + d) / BAND).cast("string")
-    bands = F.array_distinct(F.array(band(-YEARS), band(YEARS))) if side == "a" else F.array(band(0))
-    when = F.when(undated, lacking("y")).otherwise(F.concat(bands, F.array(lack(other, "y"))))
+    lacking = F.array(lack(own, "n"), lack(other, "n")) if side == "a" else F.array(lack(own, "n"))
+    who = F.when(nobody, lacking).otherwise(F.concat(F.array_distinct(affixes), F.array(lack(other, "n"))))
     words = F.when(nobody, F.array(F.lit("\x1fn"))).otherwise(F.col("known"))
     of = titles.where(F.col("side") == side).select(
-        F.col("no").alias(side), F.col("year").alias(f"{side}_year"), F.col("bits").alias(f"{side}_bits"), F.size("t").alias(f"{side}_size"), "telling", "rarer", who.alias("who"), when.alias("when"), words.alias("words")
+        F.col("no").alias(side), F.col("year").alias(f"{side}_year"), F.col("bits").alias(f"{side}_bits"), F.size("t").alias(f"{side}_size"), "first", "telling", "rarer", who.alias("who"), words.alias("words")
     )
-    first = F.flatten(F.transform("telling", lambda t: F.transform("who", lambda w: F.xxhash64(t, w))))
-    second = F.flatten(F.transform("rarer", lambda t: F.flatten(F.transform("words", lambda w: F.transform("when", lambda y: F.xxhash64(t, w, y))))))
-    marked = lambda keys, near: F.transform(F.array_distinct(keys), lambda k: F.struct(F.lit(near).alias("near"), k.alias("key")))
-    return of.select(side, f"{side}_year", f"{side}_bits", f"{side}_size", F.inline(F.concat(marked(first, False), marked(second, True))))
+    # way 0: the rarest token of a's among b's telling ones; 1: of b's among a's, without those of way 0; 2: most tokens
+    tokens = {0: F.col("first"), 1: F.array_except("telling", "first"), 2: F.col("rarer")} if side == "a" else {0: F.col("telling"), 1: F.col("first"), 2: F.col("rarer")}
+    keys = lambda way: F.flatten(F.transform(tokens[way], lambda t: F.transform("words" if way == 2 else "who", lambda w: F.struct(F.lit(way).cast("byte").alias("way"), F.xxhash64(t, w).alias("key")))))
+    return of.select(side, f"{side}_year", f"{side}_bits", f"{side}_size", F.inline(F.array_distinct(F.concat(keys(0), keys(1), keys(2)))))
 
 
 def candidates(titles: DataFrame) -> DataFrame:
-    """(a, b, near): the pairs of representatives of the two sides that share a key and are no more than YEARS apart, without
+    """(a, b): the pairs of representatives of the two sides that share a key and are no more than YEARS apart, without
     those met by tokens of which more than half of the smaller title's are not in the other, as their bits show;
-    ``near`` if they met in that way alone; ``titles`` as of ``ranked``."""
+    ``titles`` as of ``ranked``."""
     close = F.coalesce(F.abs(F.col("a_year") - F.col("b_year")) <= YEARS, F.lit(True))
     missing = lambda p, q: F.bit_count(F.col(f"{p}_bits").bitwiseAND(F.bitwise_not(F.col(f"{q}_bits")))) * 2 < F.col(f"{p}_size")
     most = F.when(F.col("a_size") <= F.col("b_size"), missing("a", "b")).otherwise(missing("b", "a"))
-    met = keyed(titles, "a").join(keyed(titles, "b"), ["near", "key"]).where(close & (~F.col("near") | most))
-    return met.groupBy("a", "b").agg(F.bool_and("near").alias("near"))
+    met = keyed(titles, "a").join(keyed(titles, "b"), ["way", "key"]).where(close & ((F.col("way") < 2) | most))
+    return met.select("a", "b").distinct()
 
 
 def rarity(p: Column, q: Column) -> Column:
@@ -362,7 +361,7 @@ def matched(a: DataFrame, b: DataFrame) -> DataFrame:
     side = {s: titles.where(F.col("side") == s).select(F.col("no").alias(s), F.struct("tokens", "ends", "part", "year", "n").alias(f"x_{s}"), F.col("t").alias(f"t_{s}")) for s in "ab"}
     pairs = candidates(titles).join(side["a"], "a").join(side["b"], "b")
     most = F.size(F.array_intersect("t_a", "t_b")) * 2 > F.least(F.size("t_a"), F.size("t_b"))
-    pairs = pairs.withColumn("rare", rarity(F.col("t_a"), F.col("t_b"))).where((F.col("rare") > 0) | most & (~F.col("near") | (F.col("rare") == 0)))
+    pairs = pairs.withColumn("rare", rarity(F.col("t_a"), F.col("t_b"))).where((F.col("rare") > 0) | most & (F.col("rare") == 0))
     far = F.abs(F.col("x_a.year") - F.col("x_b.year")) > YEARS
     other = F.coalesce(far, F.lit(False)) | (F.col("x_a.part") != F.col("x_b.part"))
 
