@@ -50,6 +50,8 @@ from quire.session import settle
 #: years that one work's records may differ by; share of the records from which on a word of names
 #: is common; rounds of the model's fitting.
 KEYS, LONG, OFTEN, YEARS, COMMON, ROUNDS = 3, 9, 3, 2, 0.01, 60
+#: Words of the vocabulary up to which it is sent to all executors, some 20 MB; a larger one is joined by shuffling.
+BROADCAST = 200_000
 
 _UNSEEN = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufff9-\ufffb]+")
 _TAG, _NOTE = re.compile(r"<[^<>]*>"), re.compile(r"\[[^\]]*\]")
@@ -126,15 +128,19 @@ def prepared(df: DataFrame) -> DataFrame:
 
 def canonical_tokens(counts: DataFrame) -> DataFrame:
     """(kind, token, canonical): the most frequent token of the kind within one edit, followed to its end; ``counts`` is
-    (kind, token, n)."""
-    long = counts.where(F.length("token") >= 5)
+    (kind, token, n). Words meet by hashed deletions and numbers that order them, so only numbers are sorted; the words
+    themselves are then compared."""
+    code = F.call_function("shiftleft", F.col("n"), F.lit(32)).bitwiseOR(F.xxhash64("kind", "token").bitwiseAND(F.lit(2**32 - 1)))
+    known = settle(counts.where(F.length("token") >= 5).withColumn("code", code))
     cuts = F.concat(F.array("token"), F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.length("token")))))
-    keyed = long.select("kind", "token", "n", F.explode(F.array_distinct(cuts)).alias("cut"))
-    best = keyed.groupBy("kind", "cut").agg(F.max(F.struct("n", "token")).alias("best"), F.count("*").alias("rows")).where(F.col("rows") > 1).select("kind", "cut", "best")
-    swapped = (F.length("token") == F.length("best.token")) & (F.array_sort(F.split("token", "")) == F.array_sort(F.split("best.token", "")))
-    near = ((F.levenshtein("token", "best.token") <= 1) | swapped) & ((F.col("kind") == 1) | (F.length("token") >= LONG) | (F.col("best.n") >= OFTEN * F.col("n")))
-    up = keyed.join(best, ["kind", "cut"]).where((F.col("best") > F.struct("n", "token")) & near).groupBy("kind", "token").agg(F.max("best").alias("best"))
-    up = settle(up.select("kind", "token", F.col("best.token").alias("canonical")))
+    keyed = known.select("code", F.explode(F.array_distinct(F.transform(cuts, lambda x: F.xxhash64("kind", x)))).alias("cut"))
+    best = keyed.groupBy("cut").agg(F.max("code").alias("best"), F.count("*").alias("rows")).where(F.col("rows") > 1).select("cut", "best")
+    met = keyed.join(best, "cut").where(F.col("best") > F.col("code")).select("code", "best").distinct()
+    other = known.select(F.col("code").alias("best"), F.col("kind").alias("k"), F.col("token").alias("t"), F.col("n").alias("m"))
+    both = met.join(known, "code").join(other, "best").where(F.col("kind") == F.col("k"))
+    swapped = (F.length("token") == F.length("t")) & (F.array_sort(F.split("token", "")) == F.array_sort(F.split("t", "")))
+    near = ((F.levenshtein("token", "t") <= 1) | swapped) & ((F.col("kind") == 1) | (F.length("token") >= LONG) | (F.col("m") >= OFTEN * F.col("n")))
+    up = settle(both.where(near).groupBy("kind", "token").agg(F.max(F.struct("m", "t")).alias("best")).select("kind", "token", F.col("best.t").alias("canonical")))
     for _ in range(2):  # a neighbour's neighbour, up to four steps
         step = up.select("kind", F.col("token").alias("canonical"), F.col("canonical").alias("next"))
         up = up.join(step, ["kind", "canonical"], "left").select("kind", "token", F.coalesce("next", "canonical").alias("canonical"))
@@ -162,6 +168,9 @@ def ranked(reps: DataFrame) -> DataFrame:
     totals = named.groupBy("kind", "canonical").agg(F.sum("n").alias("n"))
     weight = F.greatest(F.lit(0.0), F.log(F.lit(float(total)) / F.col("n")))  # the information of a word
     looked = named.drop("n").join(totals, ["kind", "canonical"]).select("kind", "token", "n", weight.alias("weight"), "canonical")
+    looked = settle(looked)
+    if looked.count() <= BROADCAST:
+        looked = F.broadcast(looked)
     found = words.join(looked, ["kind", "token"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "canonical", "weight", "kind", "at"))).alias("w"))
     out = reps.join(found, "rep")
     pair = lambda c: F.array_distinct(F.transform(c, lambda x: F.struct(x.canonical.alias("c"), x.weight.alias("weight"))))
