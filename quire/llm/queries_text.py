@@ -86,9 +86,9 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lengths at which each source cuts, with their hazards."""
-    ends = truncation.endings(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    return truncation.length_limits(ends)
+    """The lengths at which each source cuts."""
+    ends = settle(truncation.endings(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
+    return truncation.length_limits(ends).select("source", "unit", "length", "texts")
 
 
 QUERIES = {"p7_found": p7_found, "p7_labels": p7_labels, "p7_passages": p7_passages, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_sources": p10_sources, "p10_limits": p10_limits}
@@ -112,14 +112,25 @@ _ENDING = rf"""CASE WHEN regexp_matches(tip, '{_QUOTED(_T._MARK)}') THEN 'open'
 _BLANK = "' ' || chr(10) || chr(9) || chr(13) || chr(12) || chr(11) || chr(160) || chr(8232) || chr(8233)"
 _TAIL = "CASE WHEN texts <= expected THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(texts, texts + 300), lambda i: exp(i * ln(expected) - expected - lgamma(i + 1))))) END"
 
+_N = _T.NEIGHBOURS
+_CUT = rf"""WITH a AS (SELECT doc_id, source, length(text) AS chars, strlen(text) AS bytes, rtrim(string_split(rtrim(replace(text, chr(13), ''), {_BLANK}), chr(10) || chr(10))[-1], {_BLANK}) AS para FROM documents WHERE text IS NOT NULL),
+ b AS (SELECT *, string_split(para, chr(10)) AS lines, string_split(para, chr(10))[-1] AS line, right(string_split(para, chr(10))[-1], 12) AS tip, regexp_matches(para, '(\p{{Ll}}{{2}}|[)\]\d])[.!?]\s') AS running FROM a WHERE para <> ''),
+ f AS (SELECT doc_id, source, chars, bytes, {_ENDING} AS ending FROM b),
+ n AS (SELECT source, unit, len, count(*) AS texts FROM (SELECT source, unnest(['chars', 'bytes']) AS unit, unnest([chars, bytes]) AS len FROM f) GROUP BY ALL),
+ x AS (SELECT n.*, (SELECT count(*) FROM (SELECT CASE n.unit WHEN 'chars' THEN chars ELSE bytes END AS z, source AS y FROM f) WHERE y IS NOT DISTINCT FROM n.source AND z >= n.len) AS at_risk,
+  (SELECT sum(greatest(0, least(z, n.len + {_N}) - (n.len - {_N}) + 1)) FROM (SELECT CASE n.unit WHEN 'chars' THEN chars ELSE bytes END AS z, source AS y FROM f) WHERE y IS NOT DISTINCT FROM n.source) AS exposed,
+  sum(texts) OVER (PARTITION BY source, unit ORDER BY len RANGE BETWEEN {_N} PRECEDING AND {_N} FOLLOWING) - texts AS near FROM n),
+ m AS (SELECT *, at_risk * (near + 0.5) / greatest(exposed - at_risk, 1) AS expected FROM x),
+ p AS (SELECT *, {_TAIL} AS p_value FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY source, unit ORDER BY p_value, len) AS k, count(*) OVER (PARTITION BY source, unit) AS tests FROM p),
+ g AS (SELECT *, max(CASE WHEN p_value * tests <= k * {_T.FDR} THEN k END) OVER (PARTITION BY source, unit) AS last FROM r QUALIFY k <= last AND texts >= {_T.LEAST}),
+ o AS (SELECT f.source, CASE WHEN (c.p_value, -c.texts) <= (coalesce(q.p_value, c.p_value), coalesce(-q.texts, -c.texts)) THEN 'chars' ELSE 'bytes' END AS unit, chars, bytes FROM f LEFT JOIN g c ON c.source IS NOT DISTINCT FROM f.source AND c.unit = 'chars' AND c.len = chars LEFT JOIN g q ON q.source IS NOT DISTINCT FROM f.source AND q.unit = 'bytes' AND q.len = bytes WHERE c.len IS NOT NULL OR q.len IS NOT NULL),
+ w AS (SELECT source, unit, CASE unit WHEN 'chars' THEN chars ELSE bytes END AS len, count(*) AS own FROM o GROUP BY ALL),
+ l AS (SELECT g.source, g.unit, g.len, g.texts FROM g JOIN w ON w.source IS NOT DISTINCT FROM g.source AND w.unit = g.unit AND w.len = g.len WHERE own >= {_T.LEAST} AND {_TAIL.replace('texts', 'own')} * tests <= last * {_T.FDR}),
+ e AS (SELECT f.*, EXISTS (SELECT 1 FROM l WHERE l.source IS NOT DISTINCT FROM f.source AND (l.unit = 'chars' AND l.len = f.chars OR l.unit = 'bytes' AND l.len = f.bytes)) AS at_limit FROM f)"""
+
 ORACLE: dict[str, str] = {
     "p9_found": f"WITH d AS ({_grams('doc_id', 'documents')}), i AS ({_grams('item_id', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
-    "p10_found": rf"""WITH a AS (SELECT doc_id, coalesce(source, '') AS source, length(text) AS chars, strlen(text) AS bytes, rtrim(string_split(rtrim(replace(text, chr(13), ''), {_BLANK}), chr(10) || chr(10))[-1], {_BLANK}) AS para FROM documents WHERE text IS NOT NULL),
- b AS (SELECT *, string_split(para, chr(10)) AS lines, string_split(para, chr(10))[-1] AS line, right(string_split(para, chr(10))[-1], 12) AS tip, regexp_matches(para, '(\p{{Ll}}{{2}}|[)\]\d])[.!?]\s') AS running FROM a WHERE para <> ''),
- e AS (SELECT doc_id, source, chars, bytes, {_ENDING} AS ending FROM b),
- n AS (SELECT source, unit, len, count(*) AS texts FROM (SELECT source, unnest(['chars', 'bytes']) AS unit, unnest([chars, bytes]) AS len FROM e) GROUP BY ALL),
- x AS (SELECT *, (sum(texts) OVER (PARTITION BY source, unit ORDER BY len RANGE BETWEEN {_T.NEIGHBOURS} PRECEDING AND {_T.NEIGHBOURS} FOLLOWING) - texts + 0.5) / {2 * _T.NEIGHBOURS} AS expected FROM n),
- p AS (SELECT *, {_TAIL} AS p_value FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY source, unit ORDER BY p_value, len) AS k, count(*) OVER (PARTITION BY source, unit) AS tests FROM p),
- l AS (SELECT source, unit, len FROM r QUALIFY k <= max(CASE WHEN p_value * tests <= k * {_T.FDR} THEN k END) OVER (PARTITION BY source, unit) AND texts >= {_T.LEAST})
- SELECT DISTINCT doc_id FROM e WHERE ending = 'open' OR ending = 'doubtful' AND EXISTS (SELECT 1 FROM l WHERE l.source = e.source AND (l.unit = 'chars' AND l.len = e.chars OR l.unit = 'bytes' AND l.len = e.bytes))""",
+    "p10_found": f"{_CUT} SELECT DISTINCT doc_id FROM e WHERE ending = 'open' OR ending = 'doubtful' AND at_limit",
+    "p10_sources": f"{_CUT}, c AS (SELECT *, ending = 'open' OR ending = 'doubtful' AND at_limit AS is_cut FROM e) SELECT source, count(*) AS texts, count(*) FILTER (WHERE is_cut) AS cut, count(*) FILTER (WHERE is_cut AND at_limit) AS at_limit, count(*) FILTER (WHERE is_cut) / count(*) AS cut_share FROM c GROUP BY 1",
+    "p10_limits": f"{_CUT} SELECT source, unit, len AS length, CAST(texts AS BIGINT) AS texts FROM l",
 }
