@@ -5,9 +5,10 @@ on the map side, so a group with a third of all rows moves one partial result pe
 
 Rows without a time are ordered by currency. From the rows with times, each attribute's values per group are put in
 the order they were last seen, and the steps between neighbours are counted; a step that goes one way clearly more
-often than the other is a precedence, and their transitive closure a partial order of the values. A row is current in
-an attribute if no value of its group comes after its own, and the rows current in most attributes are the latest.
-Learning works on one row per group, attribute and value, so no group is large there either.
+often than the other is a precedence, and their transitive closure, without values that come after each other, a partial
+order of the values. A row is current in an attribute if no value of its group comes after its own, and the rows current
+in most attributes are the latest. Learning works on one row per group, attribute and value, so no group is large there
+either; steps, precedences and closure are tables, of any number of values, and never reach the driver.
 
 Defined results: unknown confidence (null, NaN, negative, over 100) comes last; unknown sources come after all known
 ones; ties fall to the smallest id; rows without a group are left out; repeated rows count each.
@@ -15,16 +16,14 @@ ones; ties fall to the smallest id; rows without a group are left out; repeated
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.leakage import LOOKS
+from quire.session import settle
 
-#: A step must have been seen so often, and so many times as often as its reverse, to be a precedence; and the most
-#: values of an attribute that the order is learned for (the most frequent ones; values beyond it have no order).
-LEAST_STEPS, ODDS, MOST_VALUES = 5, 3.0, 500
+#: A step must have been seen so often, and so many times as often as its reverse, to be a precedence.
+LEAST_STEPS, ODDS = 5, 3.0
 #: Least words of an abstract, and the share of its words in the title that makes it the title again.
 LEAST_WORDS, TITLE_SHARE = 8, 0.6
 
@@ -58,37 +57,44 @@ def full_abstract(abstract: Column, title: Column) -> Column:
     return F.coalesce(ended & enough & (opened == closed) & ~again, F.lit(False))
 
 
-def learn_precedence(df: DataFrame, group: str, time: str, attributes: list[str]) -> dict[str, dict[str, list[str]]]:
-    """For each attribute: value -> all values that come after it. At most MOST_VALUES ** 2 counts reach the driver."""
-    values = F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes)))
-    seen = df.where(F.col(time).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(time).alias("t"), values.alias("v"))
-    last = seen.where("v.value is not null").groupBy("g", "v.attribute", "v.value").agg(F.max("t").alias("t"))
+def _values(df: DataFrame, group: str, attributes: list[str], *more: Column) -> DataFrame:
+    """(g, more, attribute, value) of every row with a group and a value."""
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes)))
+    out = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), *more, each.alias("v"))
+    return out.select("g", *out.columns[1:-1], "v.attribute", "v.value").where("value IS NOT NULL")
+
+
+def learn_precedence(df: DataFrame, group: str, time: str, attributes: list[str]) -> DataFrame:
+    """(attribute, value, after): every value that comes after a value, by steps seen in the rows with times."""
+    last = _values(df.where(F.col(time).isNotNull()), group, attributes, F.col(time).alias("t")).groupBy("g", "attribute", "value").agg(F.max("t").alias("t"))
     order = Window.partitionBy("g", "attribute").orderBy("t", "value")
-    steps = last.withColumn("to", F.lead("value").over(order)).where("to is not null")
-    common = Window.partitionBy("attribute").orderBy(F.desc("n"), "value", "to")
-    counted = steps.groupBy("attribute", "value", "to").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_STEPS)
-    counted = counted.withColumn("rank", F.row_number().over(common)).where(F.col("rank") <= MOST_VALUES**2)
-    counts = {(r["attribute"], r["value"], r["to"]): r["n"] for r in counted.collect()}
-    after: dict[str, dict[str, set]] = defaultdict(lambda: defaultdict(set))
-    for (a, x, y), n in sorted(counts.items(), key=lambda e: (-e[1], e[0])):  # the clearest first; none may close a circle
-        if n > ODDS * counts.get((a, y, x), 0) and x not in after[a][y] and x != y:
-            for earlier in [x, *(v for v in list(after[a]) if x in after[a][v])]:
-                after[a][earlier] |= {y} | after[a][y]
-    return {a: {x: sorted(ys) for x, ys in m.items() if ys} for a, m in after.items()}
+    steps = last.withColumn("after", F.lead("value").over(order)).where("after IS NOT NULL")
+    counted = settle(steps.groupBy("attribute", "value", "after").agg(F.count("*").alias("n")))
+    back = counted.select("attribute", F.col("value").alias("after"), F.col("after").alias("value"), F.col("n").alias("m"))
+    clear = (F.col("n") >= LEAST_STEPS) & (F.col("n") > ODDS * F.coalesce("m", F.lit(0)))
+    known = settle(counted.join(back, ["attribute", "value", "after"], "left").where(clear).select("attribute", "value", "after"))
+    size = known.count()
+    while size:  # paths of twice the length in each round
+        step = known.select("attribute", F.col("value").alias("after"), F.col("after").alias("further"))
+        known = settle(known.unionAll(known.join(step, ["attribute", "after"]).select("attribute", "value", F.col("further").alias("after"))).distinct())
+        before, size = size, known.count()
+        if size == before:
+            break
+    circles = known.select("attribute", F.col("value").alias("after"), F.col("after").alias("value"))
+    return known.join(circles, ["attribute", "value", "after"], "left_anti")
 
 
 def currency(df: DataFrame, group: str, time: str, attributes: list[str], id_col: str) -> DataFrame:
     """(id, currency) of every row without a time: the attributes in which no value of its group comes after its own."""
     after = learn_precedence(df, group, time, attributes)
     missing = df.where(F.col(time).isNull() & F.col(group).isNotNull())
-    groups = missing.select(group).distinct()
-    held = df.join(groups, group, "left_semi").groupBy(group).agg(*(F.collect_set(F.col(a).cast("string")).alias(f"all_{a}") for a in attributes))
-    total = F.lit(0)
-    for a in attributes:
-        pairs = [x for v, ys in after.get(a, {}).items() for x in (F.lit(v), F.array(*map(F.lit, ys)))]
-        later = F.coalesce(F.element_at(F.create_map(*pairs), F.col(a).cast("string")), F.array().cast("array<string>")) if pairs else F.array().cast("array<string>")
-        total = total + (F.col(a).isNotNull() & ~F.arrays_overlap(later, F.col(f"all_{a}"))).cast("int")
-    return missing.join(held, group).select(id_col, total.alias("currency"))
+    own = _values(missing, group, attributes).distinct()
+    held = _values(df, group, attributes).distinct().withColumnRenamed("value", "after")
+    outdated = own.join(after, ["attribute", "value"]).join(held, ["g", "attribute", "after"], "left_semi").select("g", "attribute", "value").distinct()
+    current = own.join(outdated, ["g", "attribute", "value"], "left_anti")
+    rows = _values(missing, group, attributes, F.col(id_col).alias("id")).join(current, ["g", "attribute", "value"])
+    count = rows.groupBy(F.col("id").alias(id_col)).agg(F.count("*").cast("int").alias("n"))
+    return missing.select(id_col).join(count, id_col, "left").select(id_col, F.coalesce("n", F.lit(0)).alias("currency"))
 
 
 def ordering(df: DataFrame, trust: DataFrame, id_col: str, group: str, time: str, attributes: list[str]) -> DataFrame:
