@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.encoding import repair
 
-#: Edits in a name altogether, least letters of a name part that may hold one, entries of one catalogue block.
+#: Edits in each part of a name (surname, given name), least letters of a part that may hold one, entries of one
+#: catalogue block.
 EDITS, LEAST_LETTERS, BLOCK = 1, 4, 100_000
 
 # Given names and their short forms.
@@ -287,7 +289,7 @@ class Catalogue:
             for last, given, block in splits:
                 if len(last) >= LEAST_LETTERS:
                     for d, near in self.near(last):
-                        found += [(d + g, key) for key, entry in self.people[near] if (g := given_cost(given, entry, block)) is not None and d + g <= EDITS]
+                        found += [(d + g, key) for key, entry in self.people[near] if (g := given_cost(given, entry, block)) is not None]
         if not found and len(body) >= 15:
             found = [(d, k) for d, near in self.body_trie.near(body, EDITS) for k in self.bodies[near]]
         return self._only(found)
@@ -312,17 +314,24 @@ def _blocks(catalogue: DataFrame, size: int) -> Iterator[list[tuple]]:
         yield block
 
 
+_BUILT: dict[str, Catalogue] = {}  # a worker builds the tries of a block once
+
+
 def resolved(names: DataFrame, catalogue: DataFrame, block: int = BLOCK) -> DataFrame:
     """(name, author_id) of every distinct spelling in ``names`` (one column, name) that means a catalogue entry and is
     not garbled. Names are taken once."""
     spark = names.sparkSession
-    distinct = names.where(F.col("name").isNotNull()).distinct()
+    # spread anew: spellings are few bytes and much work, which sizes of partitions do not show
+    distinct = names.where(F.col("name").isNotNull()).distinct().repartition(2 * spark.sparkContext.defaultParallelism)
     found = None
     for entries in _blocks(catalogue, block):
-        sent = spark.sparkContext.broadcast(entries)
+        sent, mark = spark.sparkContext.broadcast(entries), uuid.uuid4().hex
 
-        def link(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = Catalogue(sent.value)
+        def link(batches: Iterator[pa.RecordBatch], sent=sent, mark=mark) -> Iterator[pa.RecordBatch]:
+            if mark not in _BUILT:
+                _BUILT.clear()
+                _BUILT[mark] = Catalogue(sent.value)
+            own = _BUILT[mark]
             for batch in batches:
                 rows = [(x, *r) for x in batch.column(0).to_pylist() if (r := own.resolve(x)) and not repair(x)[0]]
                 cols = list(zip(*rows)) or [[]] * 3
