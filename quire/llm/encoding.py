@@ -159,7 +159,7 @@ def repair(text: str) -> tuple[bool, str, str]:
         wrong.append(best[2])
     if not wrong and "�" not in now and dos_evidence(now):
         now = dos_restored(now)
-        wrong.append(DOS)
+        wrong.append(f"{DOS} as cp1252")  # other damage than UTF-8 as the DOS page, which is named by that alone
     if "�" in now:
         wrong.append("lost")
     return bool(wrong), now, "+".join(wrong)

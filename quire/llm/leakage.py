@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -127,6 +128,9 @@ class Items:
         return found
 
 
+_BUILT: dict[str, Items] = {}  # a worker builds the automaton of a block once
+
+
 def _blocks(items: DataFrame, key: str, fields: dict[str, bool], block_chars: int) -> Iterator[list[tuple]]:
     """The items, in blocks of bounded size; one block at a time is held by the driver."""
     block, size = [], 0
@@ -150,10 +154,13 @@ def leaked(df: DataFrame, id_col: str, text_col: str, items: DataFrame, key: str
     schema = f"id {source.schema['id'].dataType.simpleString()}, key {items.schema[key].dataType.simpleString()}, field string, words int, start int, end int"
     found = None
     for block in _blocks(items, key, fields, block_chars):
-        sent = spark.sparkContext.broadcast(block)
+        sent, mark = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = Items(sent.value, words)
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent, mark=mark) -> Iterator[pa.RecordBatch]:
+            if mark not in _BUILT:
+                _BUILT.clear()
+                _BUILT[mark] = Items(sent.value, words)
+            own = _BUILT[mark]
             for batch in batches:
                 ids, rows = batch.column(0), []
                 for n, text in enumerate(batch.column(1).to_pylist()):

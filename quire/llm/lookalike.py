@@ -117,6 +117,7 @@ class Rewriter:
 
     def __init__(self, forms: dict[str, str]) -> None:
         self.forms = {k: v for k, v in forms.items() if k}
+        self.plain = all(not k.isascii() for k in self.forms)  # no ASCII letter is rewritten, as is usual
         self.automaton = ahocorasick.Automaton()
         for k, v in self.forms.items():
             cross = len(k) == 1 and len(v) == 1 and script(k) != script(v) and unicodedata.normalize("NFKC", k) != v
@@ -126,7 +127,7 @@ class Rewriter:
 
     def __call__(self, text: str | None) -> str | None:
         """The one form of ``text``."""
-        if not text or text.isascii() or not self.forms:
+        if not text or not self.forms or self.plain and text.isascii():
             return text
         out, at = [], 0
         for end, (length, form, other) in self.automaton.iter_long(text):

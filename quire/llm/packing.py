@@ -62,6 +62,11 @@ class TokenCounter:
         return total
 
 
+#: Shards that the texts of one length are numbered in (fixed, so that containers do not depend on the session), and the
+#: bound on capacities.
+SHARDS, WIDEST = 256, 1 << 20
+
+
 def token_counts(df: DataFrame, id_col: str, text_col: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, n_tokens) of every text that is not null."""
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
@@ -119,28 +124,29 @@ def pack(sizes: DataFrame, id_col: str, capacities: dict[str, int]) -> DataFrame
     """(size_name, container_id, id, piece_no, n_tokens, start_token): every piece of every text in one container of
     each capacity. ``sizes`` has (id, n_tokens) and must read the same each time, as a written table does."""
     spark = sizes.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if any(not 0 < int(x) < WIDEST for x in capacities.values()):
+        raise ValueError(f"capacities must be from 1 to {WIDEST - 1}")
     caps = F.array(*(F.struct(F.lit(n).alias("size_name"), F.lit(int(c)).cast("long").alias("capacity")) for n, c in sorted(capacities.items())))
     each = sizes.select(F.col(id_col).alias("id"), "n_tokens", F.explode(caps).alias("c")).select("id", "n_tokens", "c.*")
     last = F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")).cast("int"), F.lit(1))
     pieces = each.select("*", F.explode(F.sequence(F.lit(1), last)).alias("piece_no")).withColumn("start_token", (F.col("piece_no") - 1) * F.col("capacity"))
     pieces = pieces.withColumn("n", F.least("capacity", F.col("n_tokens") - F.col("start_token")))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece_no"), F.lit(shards)).cast("int"))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece_no"), F.lit(SHARDS)).cast("int"))
     counted = pieces.groupBy("size_name", "n", "shard").agg(F.count("*").alias("rows"))
     totals = counted.groupBy("size_name", "n").agg(F.sum("rows").alias("rows")).collect()  # at most the capacities' sum of rows
     keys, firsts, bins, times = [], [], [], []
     order = {name: i for i, name in enumerate(sorted(capacities))}
-    wide = 1 << 36  # numbers within one length; capacities stay under 1 << 20
+    wide = 1 << 36  # numbers within one length
     for name, i in order.items():
         slots, _ = plan({r["n"]: r["rows"] for r in totals if r["size_name"] == name}, int(capacities[name]))
         for length, first, container, k in slots:
-            keys.append((length + (i << 20)) * wide + first)
+            keys.append((length + i * WIDEST) * wide + first)
             firsts.append(first)
             bins.append(container)
             times.append(k)
     at = np.argsort(np.asarray(keys, np.int64), kind="stable")
     sent = spark.sparkContext.broadcast(tuple(np.asarray(x, np.int64)[at] for x in (keys, firsts, bins, times)))
-    number = {name: i << 20 for name, i in order.items()}
+    number = {name: i * WIDEST for name, i in order.items()}
     before = F.sum("rows").over(Window.partitionBy("size_name", "n").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counted.select("size_name", "n", "shard", F.coalesce(before, F.lit(0)).alias("offset"))
     inside = F.row_number().over(Window.partitionBy("size_name", "n", "shard").orderBy("id", "piece_no")) - 1

@@ -42,8 +42,10 @@ def _garbled(texts: pd.Series) -> pd.Series:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every title that is rewritten, and was not decoded wrongly."""
     titles = _titles(spark, sf_dir)
-    odd = titles.where(F.col("title").rlike(r"[^\x00-\x7F]"))
-    changed = lookalike.consistent(odd, "title", lookalike.string_counts(titles, "title")).where("plain <> title")
+    counts = lookalike.string_counts(titles, "title")
+    if all(not k.isascii() for k in lookalike.representatives(counts)):
+        titles = titles.where(F.col("title").rlike(r"[^\x00-\x7F]"))  # no other title can change
+    changed = lookalike.consistent(titles, "title", counts).where("plain <> title")
     return changed.where(~_garbled("title")).select("record_kind", "record_id").distinct()
 
 
