@@ -48,6 +48,19 @@ def language_score(a: Column, b: Column, sure: Column) -> Column:
     return F.when(b.isNull() | (F.trim(b) == "") | (sure < LANGUAGE_SURE), None).otherwise(F.when(F.lower(F.trim(a)) == F.lower(F.trim(b)), 1.0).otherwise(0.0))
 
 
+def clean_title(c: Column) -> Column:
+    """Lower case with single blanks, as titles are compared letter by letter."""
+    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+
+
+def type_score(a: Column, b: Column) -> Column:
+    """1 for the same type whatever its spelling, a little for journal article and conference paper, 0 for unknown ones."""
+    x, y = (F.regexp_replace(F.lower(F.trim(F.coalesce(t, F.lit("")))), "[^a-z0-9]", "") for t in (a, b))
+    like = F.array(F.lit("journalarticle"), F.lit("conferencepaper"))
+    near = F.array_contains(like, x) & F.array_contains(like, y)
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(near, 0.3).otherwise(0.0)
+
+
 def composite(title: Column, authors: Column, year: Column, kind: Column, language: Column) -> Column:
     """The weighted mean of the scores that are known."""
     total = WEIGHTS["title"] * title + WEIGHTS["authors"] * authors + WEIGHTS["year"] * year + WEIGHTS["type"] * kind
@@ -55,8 +68,9 @@ def composite(title: Column, authors: Column, year: Column, kind: Column, langua
     return (total + F.coalesce(WEIGHTS["language"] * language, F.lit(0.0))) / known
 
 
-def decision(match: Column, conflict: Column, score: Column) -> Column:
-    return F.when(match, "auto_accept").when(conflict, F.when(score >= ACCEPT, "manual_review").otherwise("reject")).when(score >= ACCEPT, "auto_accept").when(score >= REVIEW, "manual_review").otherwise("reject")
+def decision(match: Column, conflict: Column, score: Column, accept: float = ACCEPT, review: float = REVIEW) -> Column:
+    """What to do with a candidate, by its identifiers and else by its score."""
+    return F.when(match, "auto_accept").when(conflict, F.when(score >= accept, "manual_review").otherwise("reject")).when(score >= accept, "auto_accept").when(score >= review, "manual_review").otherwise("reject")
 
 
 def last_name(c: Column) -> Column:

@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-#: The printed forms of a year and their weights, words that speak for a publication, letters around a
-#: year in which 'accessed' makes it another date.
-FORMS = [(re.compile(p), w) for p, w in ((r"\((\d{4})\)", 10), (r"©\s+(\d{4})", 9), (r"©(\d{4})", 9), (r",\s+(\d{4})\b", 8), (r"\s+(\d{4})\b", 7))]
+#: The weights of a year in parentheses, behind a copyright sign, a comma and a blank, words that speak for
+#: a publication, letters around a year in which 'accessed' makes it another date.
+WEIGHTS = {"(": 10, "©": 9, ",": 8, " ": 7}
+_YEAR = re.compile(r"([(©,]|(?=\s))\s*(\d{4})(?!\w)(\))?")
 KEYWORDS = ("published", "publication", "copyright", "©", "vol", "issue", "journal", "article", "paper")
 ACCESSED = 20
 
@@ -38,6 +39,16 @@ def body_regions(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _weight(m: re.Match) -> int | None:
+    """The weight of what stands before a year; None if that is no sign of one."""
+    lead, spaced = m.group(1), m.group(0)[len(m.group(1)) : 1 + len(m.group(1))].isspace()
+    if lead == "(" and not (m.group(3) and not spaced):
+        return WEIGHTS[" "] if spaced else None  # a parenthesis that holds more
+    if lead == "," and not spaced:
+        return None
+    return WEIGHTS[lead or " "]
+
+
 def place_bonus(share: float) -> float:
     return 8 * (1 - share / 0.15) if share <= 0.15 else 4 * (1 - (share - 0.15) / 0.15) if share <= 0.3 else 2 * (1 - (share - 0.3) / 0.2) if share <= 0.5 else 0.0
 
@@ -45,7 +56,7 @@ def place_bonus(share: float) -> float:
 def best_year_of(text: str | None) -> tuple[str, float] | None:
     """(year, score): of all years of 1900 to 2100 in any form, by form, place, words nearby, and ten for the latest year;
     those in body text and dates of access don't count."""
-    found = [(m.start(), m.group(1), w) for p, w in FORMS for m in p.finditer(text or "") if 1900 <= int(m.group(1)) <= 2100]
+    found = [(m.start(), m.group(2), w) for m in _YEAR.finditer(text or "") if 1900 <= int(m.group(2)) <= 2100 and (w := _weight(m))]
     regions = body_regions(text) if found else []
     scored = []
     for at, year, weight in found:

@@ -16,6 +16,7 @@ are; rows with repeated ids are shredded each on their own.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -156,14 +157,43 @@ def read_json(text: str | None):
     if not text:
         return None
     try:
-        value = json.loads(text, parse_constant=_reject)
-        if isinstance(value, str):
-            value = json.loads(value, parse_constant=_reject)
-        return value
-    except (ValueError, RecursionError):
+        value = _load(text)
+        return _load(value) if isinstance(value, str) else value
+    except ValueError:
         return None
 
 
+def _load(text: str):
+    try:
+        return json.loads(text, parse_constant=_reject)
+    except RecursionError:  # far deeper than any path that is read
+        return json.loads(_shallow(text), parse_constant=_reject)
+
+
+#: Levels that a value too deep for the parser is read down to; no path of a schema reaches so far.
+DEEPEST = 500
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.S)
+
+
+def _shallow(text: str) -> str:
+    """JSON text with null for what lies more than DEEPEST levels down; of that only the brackets are looked at."""
+    out, open_, at = [], [], 0
+    for m in _TOKEN.finditer(text):
+        c = m.group()
+        if c in "[{":
+            open_.append(c)
+            if len(open_) == DEEPEST + 1:
+                out += text[at : m.start()], "null"
+        elif c in "]}":
+            if not open_ or open_.pop() + c not in ("[]", "{}"):
+                raise ValueError(c)
+            if len(open_) == DEEPEST:
+                at = m.end()
+    if open_:
+        raise ValueError("unclosed")
+    return "".join(out) + text[at:]
+
+
 def assemble(striper: Striper, kinds: list[str]) -> dict[str, dict]:
     """Tables of the repeated ancestors of each kind, from the level sequences of their presence columns.
 

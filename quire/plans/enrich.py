@@ -11,20 +11,31 @@ from quire.sources.tables import table
 book = Book()
 c = F.col
 
-_VALID = "SELECT result_id, CAST(raw_data AS JSON) AS j FROM metadata_results WHERE json_valid(raw_data) AND json_type(raw_data) = 'OBJECT'"
+_OPENED = "SELECT result_id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN CAST(j ->> '$' AS JSON) END ELSE j END AS j FROM (SELECT result_id, CASE WHEN json_valid(raw_data) THEN CAST(raw_data AS JSON) END AS j FROM metadata_results)"
+_VALID = f"SELECT result_id, j FROM ({_OPENED}) WHERE json_type(j) = 'OBJECT'"
 
-#: Where each shape of answer keeps its title, year and language: a configuration, compiled to Columns.
+#: Where each shape of answer keeps its title, year, language and identifiers: a configuration, compiled to Columns.
 SHAPES = {
-    "message": {"title": "$.message.title[0]", "year": "$.message.published['date-parts'][0][0]", "language": "$.message.language"},
-    "work": {"title": "$.display_name", "year": "$.publication_year", "language": "$.language"},
-    "items": {"title": "$._embedded.items[0].metadata.title", "year": "$._embedded.items[0].metadata.originInfo.issued", "language": "$._embedded.items[0].metadata.languages[0].code"},
-    "instance": {"title": "$.hasTitle[0].mainTitle", "year": "$.publication[0].year", "language": "$.instanceOf.language[0].code"},
+    "message": {"title": "$.message.title[0]", "year": "$.message.published['date-parts'][0][0]", "language": "$.message.language", "identifiers": "$.message['alternative-id']"},
+    "work": {"title": "$.display_name", "year": "$.publication_year", "language": "$.language", "identifiers": "$.ids"},
+    "items": {"title": "$._embedded.items[0].metadata.title", "year": "$._embedded.items[0].metadata.originInfo.issued", "language": "$._embedded.items[0].metadata.languages[0].code", "identifiers": "$._embedded.items[0].metadata.identifiers"},
+    "instance": {"title": "$.hasTitle[0].mainTitle", "year": "$.publication[0].year", "language": "$.instanceOf.language[0].code", "identifiers": "$.identifiedBy"},
 }
 
 
+def opened(raw):
+    """A payload as a variant; a JSON string that itself holds JSON is opened once."""
+    v = F.try_parse_json(raw)
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
+
+
+def answers(spark, sf, kept=("result_id",)):
+    """Answers with ``v``, their payload; null where it can't be read."""
+    return table(spark, sf, "metadata_results").select(*kept, opened(c("raw_data")).alias("v"))
+
+
 def _answers(spark, sf):
-    v = F.try_parse_json("raw_data")
-    return table(spark, sf, "metadata_results").select("result_id", v.alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
+    return answers(spark, sf).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
 
 
 def projected(v, field: str, kind: str = "string"):
@@ -41,12 +52,26 @@ def configured_projection(spark, sf):
     return _answers(spark, sf).select("result_id", projected("v", "title").alias("title"), projected("v", "language").alias("language"))
 
 
-@book.add(f"""SELECT result_id, array_to_string(list_transform(list_filter(CAST(json_extract(j, '$.authorships[*].author.display_name') AS JSON[]), lambda x: x IS NOT NULL)[1:10], lambda x: x ->> '$'), '; ') AS authors FROM ({_VALID}) WHERE json_type(j, '$.authorships') = 'ARRAY'""")
+#: Where each shape keeps its authors, and where these keep their names.
+AUTHORS = {"$.message.author": ["$.name"], "$.authorships": ["$.author.display_name"], "$._embedded.items[0].metadata.creators": ["$.name"], "$.instanceOf.contribution": ["$.agent.label", "$.agent"]}
+_LIST = "CASE WHEN coalesce(json_type(j, '{0}'), 'NULL') = 'NULL' THEN NULL WHEN json_type(j, '{0}') = 'ARRAY' THEN CAST(json_extract(j, '{0}') AS JSON[]) ELSE [json_extract(j, '{0}')] END"
+_TEXT = "CASE WHEN json_type(x, '{0}') = 'VARCHAR' THEN x ->> '{0}' END"
+_NAMED = "list_filter(list_transform(" + _LIST + ", lambda x: CASE WHEN json_type(x) = 'VARCHAR' THEN x ->> '$' ELSE coalesce({1}, nullif(trim(concat_ws(' ', x ->> '$.given', x ->> '$.family')), '')) END), lambda n: trim(n) <> '')"
+
+
+@book.add("SELECT result_id, array_to_string(authors, '; ') AS authors FROM (SELECT result_id, coalesce(" + ", ".join(_NAMED.format(k, ", ".join(_TEXT.format(n) for n in ns)) for k, ns in AUTHORS.items()) + f") AS authors FROM ({_VALID})) WHERE authors IS NOT NULL")
 def coerced_authors(spark, sf):
-    """Names of the first ten authors of answers in the shape of works."""
-    a = F.try_variant_get("v", "$.authorships", "array<struct<author struct<display_name string>>>")
-    names = F.slice(F.filter(F.transform(a, lambda x: x.author.display_name), lambda x: x.isNotNull()), 1, 10)
-    return _answers(spark, sf).where(a.isNotNull()).select("result_id", F.array_join(names, "; ").alias("authors"))
+    """Names of all authors of answers of every shape, from objects of any of the shapes and from plain strings; a lone
+    author counts as a list of one."""
+    text = lambda x, p: F.when(F.schema_of_variant(F.try_variant_get(x, p, "variant")) == "STRING", F.try_variant_get(x, p, "string"))
+    whole = lambda x: F.nullif(F.trim(F.concat_ws(" ", text(x, "$.given"), text(x, "$.family"))), F.lit(""))
+
+    def names(path, places):
+        one = F.try_variant_get("v", path, "variant")
+        each = F.when(F.schema_of_variant(one).startswith("ARRAY"), F.try_variant_get("v", path, "array<variant>")).when(F.schema_of_variant(one) != "VOID", F.array(one))
+        return F.filter(F.transform(each, lambda x: F.coalesce(text(x, "$"), *(text(x, p) for p in places), whole(x))), lambda n: F.trim(n) != "")
+
+    return _answers(spark, sf).select("result_id", F.coalesce(*(names(k, ns) for k, ns in AUTHORS.items())).alias("a")).where("a IS NOT NULL").select("result_id", F.array_join("a", "; ").alias("authors"))
 
 
 @book.add(f"""SELECT result_id, kind, count(*) AS n FROM (SELECT result_id, json_extract_string(x, '$.type') AS kind FROM (SELECT result_id, unnest(CAST(json_extract(j, '$.ids[*]') AS JSON[])) AS x FROM ({_VALID}) WHERE json_type(j, '$.ids') = 'ARRAY')) WHERE kind IS NOT NULL GROUP BY 1, 2""")

@@ -76,19 +76,19 @@ def issn_validate(spark, sf):
     return table(spark, sf, "metadata_results").select("result_id", issn.alias("issn")).withColumn("valid", ids.valid_issn(c("issn")))
 
 
-@book.add(r"""SELECT url, CASE WHEN trim(url) = '' THEN true ELSE regexp_matches(trim(url), '^https?://[^/\s?#]+') END AS valid_url, CASE WHEN trim(ax) = '' THEN true ELSE regexp_matches(x, '^\d{4}\.\d{4,5}(v\d+)?$') OR regexp_matches(x, '^[a-z-]+(\.[A-Z]{2})?/\d{7}(v\d+)?$') END AS valid_arxiv
- FROM (SELECT *, trim(regexp_replace(trim(ax), '(arXiv|arxiv):', '', 'g')) AS x FROM (SELECT DISTINCT CASE k % 4 WHEN 0 THEN 'https://a.org/' || k WHEN 1 THEN 'ftp://a.org' WHEN 2 THEN 'http://' ELSE ' ' END AS url, CASE k % 5 WHEN 0 THEN 'arXiv:2301.' || lpad(CAST(k AS VARCHAR), 5, '0') WHEN 1 THEN 'cs.AI/0001001' WHEN 2 THEN '23.1' WHEN 3 THEN '' ELSE '2301.12345v2' END AS ax FROM (SELECT p_partkey % 97 AS k FROM part)))""")
+@book.add(r"""SELECT token, bool_or(regexp_matches(token, '^https?://[^/\s?#]+')) AS valid_url, bool_or(regexp_matches(x, '^\d{4}\.\d{4,5}(v\d+)?$') OR regexp_matches(x, '^[a-z-]+(\.[A-Z]{2})?/\d{7}(v\d+)?$')) AS valid_arxiv, count(*) AS n
+ FROM (SELECT *, trim(regexp_replace(token, '(arXiv|arxiv):', '', 'g')) AS x FROM (SELECT unnest(regexp_extract_all(text, '([^\s()<>]*(?:://|[Aa]r[Xx]iv:|www\.)[^\s()<>]*)', 1)) AS token FROM documents)) GROUP BY 1""")
 def url_arxiv_validate(spark, sf):
-    k = F.pmod(c("p_partkey"), F.lit(97))
-    url = F.when(k % 4 == 0, F.concat(F.lit("https://a.org/"), k.cast("string"))).when(k % 4 == 1, "ftp://a.org").when(k % 4 == 2, "http://").otherwise(" ")
-    ax = F.when(k % 5 == 0, F.concat(F.lit("arXiv:2301."), F.lpad(k.cast("string"), 5, "0"))).when(k % 5 == 1, "cs.AI/0001001").when(k % 5 == 2, "23.1").when(k % 5 == 3, "").otherwise("2301.12345v2")
-    df = table(spark, sf, "part").select(url.alias("url"), ax.alias("ax")).distinct()
-    return df.select("url", ids.valid_url(c("url")).alias("valid_url"), ids.valid_arxiv(c("ax")).alias("valid_arxiv"))
+    """What looks like a link or an arXiv number in the documents, whether it is a valid one, and how often it stands there."""
+    found = F.regexp_extract_all("text", F.lit(r"([^\s()<>]*(?:://|[Aa]r[Xx]iv:|www\.)[^\s()<>]*)"), 1)
+    n = table(spark, sf, "documents").select(F.explode(found).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return n.select("token", ids.valid_url(c("token")).alias("valid_url"), ids.valid_arxiv(c("token")).alias("valid_arxiv"), "n")
 
 
-@book.add(r"""SELECT doc_id, array_to_string(list_distinct_ordered, ' ') AS dois FROM (SELECT doc_id, list_transform(list_filter(range(1, len(d) + 1), lambda i: list_position(d, d[i]) = i), lambda i: d[i]) AS list_distinct_ordered FROM (
- SELECT doc_id, list_transform(list_concat(regexp_extract_all(text, '(?i)https?://doi\.org/(10\.\d{4,}/[^\s\)]+)', 1), regexp_extract_all(text, '(?i)https?://dx\.doi\.org/(10\.\d{4,}/[^\s\)]+)', 1), regexp_extract_all(text, '(?i)doi:\s*(10\.\d{4,}/[^\s\)]+)', 1), regexp_extract_all(text, '(?i)DO[!1lI]:\s*(10\.\d{4,}/[^\s\)]+)', 1), regexp_extract_all(text, '(?i)\b(10\.\d{4,}/[^\s\)]+)', 1), regexp_extract_all(text, '(?i)doi:\s*(10\.\d{4,}\)[^\s\)]+)', 1), regexp_extract_all(text, '(?i)\b(10\.\d{4,}\)[^\s\)]+)', 1)),
- lambda x: regexp_replace(regexp_replace(x, '^(10\.\d{4,})\)', '\1/'), '[.,;:\s]+$', '')) AS d FROM documents WHERE text IS NOT NULL)) WHERE len(list_distinct_ordered) > 0""")
+_PRINTED = r"list_transform(regexp_extract_all(text, '\b(10\.\d{4,}[/)][^\s)]+)', 1), lambda x: regexp_replace(regexp_replace(x, '^(10\.\d{4,})\)', '\1/'), '[.,;:\s]+$', ''))"
+
+
+@book.add(f"SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(d) + 1), lambda i: list_position(d, d[i]) = i), lambda i: d[i]), ' ') AS dois FROM (SELECT doc_id, {_PRINTED} AS d FROM documents WHERE text IS NOT NULL) WHERE len(d) > 0")
 def extract_dois(spark, sf):
     """All DOIs printed in each document."""
     df = table(spark, sf, "documents").select("doc_id", ids.extract_dois(c("text")).alias("d"))
@@ -116,26 +116,14 @@ def extract_bundle(spark, sf):
     return _printed(spark, sf).select("o_orderkey", join(ids.extract_issns(t)).alias("issns"), join(ids.extract_jstor_ids(t)).alias("jstor"), join(ids.extract_urls(t)).alias("urls"), join(ids.extract_arxiv_ids(t)).alias("arxiv"), join(ids.extract_isbns(t)).alias("isbns"))
 
 
-@book.add(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_concat(regexp_extract_all(text, '\((\d{4})\)', 1), regexp_extract_all(text, '©\s+(\d{4})', 1), regexp_extract_all(text, '©(\d{4})', 1), regexp_extract_all(text, ',\s+(\d{4})\b', 1), regexp_extract_all(text, '\s+(\d{4})\b', 1)), lambda y: CAST(y AS INT) BETWEEN 1900 AND 2100))), ' ') AS years FROM documents WHERE text IS NOT NULL""")
+@book.add(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_concat(regexp_extract_all(text, '\((\d{4})\)', 1), regexp_extract_all(text, '[\s©](\d{4})\b', 1)), lambda y: CAST(y AS INT) BETWEEN 1900 AND 2100))), ' ') AS years FROM documents WHERE text IS NOT NULL""")
 def extract_years(spark, sf):
     """The distinct years of each document, in any of the printed forms."""
     return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(F.array_sort(ids.extract_years(c("text"))), " ").alias("years"))
 
 
-@book.add(r"""WITH y AS (SELECT doc_id, unnest([10, 9, 8]) AS weight, unnest([regexp_extract(text, '\((\d{4})\)', 1), regexp_extract(text, '©\s*(\d{4})', 1), regexp_extract(text, ',\s+(\d{4})\b', 1)]) AS year FROM documents WHERE text IS NOT NULL),
- s AS (SELECT doc_id, year, weight + CASE WHEN year = max(year) OVER (PARTITION BY doc_id) THEN 10 ELSE 0 END AS score FROM y WHERE year <> '' AND CAST(year AS INT) BETWEEN 1900 AND 2100) SELECT doc_id, year AS best_year, CAST(score AS BIGINT) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, year DESC) = 1""")
-def best_year(spark, sf):
-    """The likeliest of the first year in each of three forms: its weight, and ten more for the most recent one; over all
-    years of the text: ``best_year_in_text``."""
-    forms = [(r"\((\d{4})\)", 10), (r"©\s*(\d{4})", 9), (r",\s+(\d{4})\b", 8)]
-    each = F.explode(F.array(*(F.struct(F.lit(w).alias("weight"), F.regexp_extract("text", p, 1).alias("year")) for p, w in forms)))
-    y = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", each.alias("e")).select("doc_id", "e.*").where(F.col("year").try_cast("int").between(1900, 2100))
-    score = c("weight") + F.when(c("year") == F.max("year").over(W.partitionBy("doc_id")), 10).otherwise(0)
-    return y.withColumn("score", score.cast("long")).groupBy("doc_id").agg(F.max(F.struct("score", "year")).alias("m")).select("doc_id", c("m.year").alias("best_year"), "m.score")
-
-
 @book.add()
-def best_year_in_text(spark, sf):
+def best_year(spark, sf):
     """The likeliest year of publication among all years of each document, by form, place, words nearby and recency."""
     df = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", years.best_year(c("text")).alias("b"))
     return df.select("doc_id", "b.*").where("best_year IS NOT NULL")
@@ -163,12 +151,38 @@ def conference_score(spark, sf):
     return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", score.alias("score")).withColumn("conference", c("score") >= 4)
 
 
-@book.add(f"SELECT d.doc_id, p.request_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)doi:\\s*(10\\.\\d{{4,}}/[^\\s\\)]+)', 1)) AS printed FROM documents) d JOIN (SELECT request_id, {_NORM_DOI} AS doi FROM paper_identifiers) p ON lower(d.printed) = lower(p.doi)")
+@book.add(f"SELECT d.doc_id, p.request_id FROM (SELECT DISTINCT doc_id, unnest(list_transform({_PRINTED}, lambda x: lower(x))) AS printed FROM documents) d JOIN (SELECT request_id, {_NORM_DOI} AS doi FROM paper_identifiers) p ON d.printed = lower(p.doi)")
 def printed_doi_join(spark, sf):
-    """Requests whose DOI stands printed in a document."""
-    d = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(ids.DOI_FORMS[2]), 1)).alias("printed")).select("doc_id", F.lower("printed").alias("k"))
+    """Requests whose DOI stands printed in a document, in whatever form."""
+    d = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.transform(ids.extract_dois(c("text")), F.lower))).alias("k"))
     p = table(spark, sf, "paper_identifiers").select("request_id", F.lower(ids.normalize_doi(c("doi"))).alias("k"))
     return d.join(p, "k").select("doc_id", "request_id")
 
 
+@book.add(rf"""SELECT request_id, CASE WHEN d IS NULL THEN true ELSE NOT regexp_matches(d, '^10\.(1234|9999)/') AND regexp_matches(d, '^10\.\d{{4,}}/\S+$') END AS valid_doi, CASE WHEN regexp_matches(d, '^10\.\d{{4,}}/\S+$') AND NOT regexp_matches(d, '^10\.(1234|9999)/') THEN d END AS cleaned_doi, CASE WHEN NOT valid_doi THEN 1 ELSE 0 END AS flags FROM (SELECT request_id, {_NORM_DOI} AS d FROM paper_identifiers)""")
+def validate_records(spark, sf):
+    """All checks of the identifiers of every request in one select."""
+    p = table(spark, sf, "paper_identifiers")
+    v = ids.validated({"doi": c("doi"), "issn": F.try_element_at("extras", F.lit("issn")), "isbn": F.try_element_at("extras", F.lit("isbn"))})
+    return p.select("request_id", *(x.alias(n) for n, x in v.items())).select("request_id", "valid_doi", "cleaned_doi", F.size("confidence_flags").alias("flags"))
+
+
+_CASES = [
+    ("doi", "10.1038/s42256-025-01072-0", True, "10.1038/s42256-025-01072-0"), ("doi", "doi:10.1038/nature12345", True, "10.1038/nature12345"), ("doi", "https://doi.org/10.1038/nature12345", True, "10.1038/nature12345"), ("doi", "10.1234/fake", False, None), ("doi", "not-a-doi", False, None), ("doi", None, True, None),
+    ("issn", "0028-0836", True, "0028-0836"), ("issn", "1234-567X", True, "1234-567X"), ("issn", "1234-5678", False, None), ("issn", "12345678", False, None), ("issn", None, True, None),
+    ("isbn", "9780262033848", True, "9780262033848"), ("isbn", "0262033844", True, "0262033844"), ("isbn", "978-0-262-03384-8", True, "9780262033848"), ("isbn", "978123456789", False, None), ("isbn", "9780262033841", False, None), ("isbn", None, True, None),
+]
+_SQL = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'"
+
+
+@book.add("SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(map(_SQL, x))}, {0 if x[2] else 1})" for i, x in enumerate(_CASES)) + ") t(no, kind, raw, valid, cleaned, flags)")
+def validation_cases(spark, sf):
+    """The published cases of identifier checks, each run as a record of its own through all checks."""
+    df = spark.createDataFrame([(i, k, r) for i, (k, r, _, _) in enumerate(_CASES)], "no int, kind string, raw string")
+    v = ids.validated({k: F.when(c("kind") == k, c("raw")) for k in ("doi", "issn", "isbn")})
+    df = df.select("no", "kind", "raw", *(x.alias(n) for n, x in v.items()))
+    valid = F.expr("valid_doi AND valid_issn AND valid_isbn")
+    return df.select("no", "kind", "raw", valid.alias("valid"), F.coalesce("cleaned_doi", "cleaned_issn", "cleaned_isbn").alias("cleaned"), F.size("confidence_flags").alias("flags"))
+
+
 QUERIES, ORACLE = book.queries, book.oracle

@@ -47,39 +47,25 @@ def title_distance(spark, sf):
 
 
 _OV = "CASE WHEN len({0}) > 0 AND len({1}) > 0 THEN len(list_intersect({0}, {1})) / CAST(greatest(len({0}), len({1})) AS DOUBLE) ELSE 0.0 END"
-_SCORED = f"""scored AS (SELECT request_id, result_id, round({_OV.format('ta', 'tb')}, 6) AS title_score, round({_OV.format('na', 'nb')}, 6) AS author_score, CASE abs(ya - yb) WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS year_score,
- CASE WHEN language IS NULL OR trim(language) = '' OR sure < 0.9 THEN NULL WHEN lower(trim(p_lang)) = lower(trim(language)) THEN 1.0 ELSE 0.0 END AS language_score FROM (SELECT *, {_WORDS.format('p_title')} AS ta, {_WORDS.format('title')} AS tb,
- list_distinct(list_transform(coalesce(p_authors, []), lambda x: {_AUTHOR.format('x')})) AS na, list_distinct(list_transform(coalesce(authors, []), lambda x: {_AUTHOR.format('x')})) AS nb, {_YEAR.format('p_year')} AS ya, {_YEAR.format('publication_date')} AS yb,
- coalesce(CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END, 1.0) AS sure FROM pairs WHERE p_title IS NOT NULL AND title IS NOT NULL)),
- decided AS (SELECT *, round((0.45 * title_score + 0.30 * author_score + 0.15 * year_score + coalesce(0.05 * language_score, 0.0)) / CASE WHEN language_score IS NULL THEN 1.0 ELSE 1.05 END, 6) AS score FROM scored)"""
 
 
-def scored_pairs(spark, sf):
-    """Component scores and composite of every request and candidate, all inside the JVM."""
+@book.add(f"""WITH {_PAIRS} SELECT request_id, result_id, round({_OV.format('ta', 'tb')}, 6) AS word_overlap, round({_OV.format('na', 'nb')}, 6) AS author_score, CASE abs(ya - yb) WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS year_score,
+ CASE WHEN language IS NULL OR trim(language) = '' OR sure < 0.9 THEN NULL WHEN lower(trim(p_lang)) = lower(trim(language)) THEN 1.0 ELSE 0.0 END AS language_score FROM (SELECT *, {_WORDS.format("coalesce(p_title, '')")} AS ta, {_WORDS.format("coalesce(title, '')")} AS tb,
+ list_distinct(list_filter(list_transform(coalesce(p_authors, []), lambda x: {_AUTHOR.format('x')}), lambda x: x <> '')) AS na, list_distinct(list_filter(list_transform(coalesce(authors, []), lambda x: {_AUTHOR.format('x')}), lambda x: x <> '')) AS nb, {_YEAR.format('p_year')} AS ya, {_YEAR.format('publication_date')} AS yb,
+ coalesce(CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END, 1.0) AS sure FROM pairs)""")
+def component_scores(spark, sf):
+    """Shared words, authors, year and language of every request and answer, all inside the JVM."""
     empty = F.array().cast("array<string>")
-    norm = lambda x: F.array_distinct(F.transform(F.coalesce(x, empty), sc.normal_author))
+    norm = lambda x: F.array_distinct(F.filter(F.transform(F.coalesce(x, empty), sc.normal_author), lambda n: n != ""))
     sure = F.coalesce(F.when(c("confidence") > 1, c("confidence") / 100).otherwise(c("confidence")), F.lit(1.0))
-    pairs = _pairs(spark, sf).where("p_title IS NOT NULL AND title IS NOT NULL")
-    out = pairs.select(
+    words = lambda x: sc.words(F.coalesce(c(x), F.lit("")))
+    return _pairs(spark, sf).select(
         "request_id", "result_id",
-        F.round(sc.overlap(sc.words(c("p_title")), sc.words(c("title"))), 6).alias("title_score"),
+        F.round(sc.overlap(words("p_title"), words("title")), 6).alias("word_overlap"),
         F.round(sc.overlap(norm(c("p_authors")), norm(c("authors"))), 6).alias("author_score"),
         sc.year_score(sc.year_of(c("p_year")), sc.year_of(c("publication_date"))).alias("year_score"),
         sc.language_score(c("p_lang"), c("language"), sure).alias("language_score"),
     )
-    return out.withColumn("score", F.round(sc.composite(c("title_score"), c("author_score"), c("year_score"), F.lit(0.0), c("language_score")), 6))
-
-
-@book.add(f"WITH {_PAIRS}, {_SCORED} SELECT request_id, result_id, title_score, author_score, score FROM decided")
-def composite_score(spark, sf):
-    return scored_pairs(spark, sf).select("request_id", "result_id", "title_score", "author_score", "score")
-
-
-@book.add(f"WITH {_PAIRS}, {_SCORED} SELECT request_id, result_id, score, CASE WHEN score >= 0.85 THEN 'auto_accept' WHEN score >= 0.75 THEN 'manual_review' ELSE 'reject' END AS status FROM decided QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, result_id) = 1")
-def best_match_decision(spark, sf):
-    """The best candidate of each request and what to do with it."""
-    best = scored_pairs(spark, sf).groupBy("request_id").agg(F.max_by(F.struct("result_id", "score"), F.struct("score", -c("result_id"))).alias("b")).select("request_id", "b.*")
-    return best.withColumn("status", sc.decision(F.lit(False), F.lit(False), c("score")))
 
 
 @book.add(f"""WITH {_PAIRS}, r AS (SELECT request_id, result_id, CASE WHEN a = b AND ya = yb THEN 0 WHEN a = b THEN 1 WHEN ya = yb THEN 2 ELSE 3 END AS tier, b FROM (SELECT request_id, result_id, {_NT.format('p_title')} AS a, {_NT.format('title')} AS b, {_YEAR.format('p_year')} AS ya, {_YEAR.format('publication_date')} AS yb FROM pairs))
@@ -130,17 +116,6 @@ def author_coverage(spark, sf):
 _FOLDNAME = "regexp_replace(lower({0}), '[^a-z]', '', 'g')"
 
 
-@book.add(f"""WITH n AS (SELECT DISTINCT name, {_FOLDNAME.format(_LAST.format('name'))} AS l FROM (SELECT unnest(authors) AS name FROM search_results)), a AS (SELECT author_id, {_FOLDNAME.format('last_name')} AS l FROM author_catalogue WHERE first_name IS NOT NULL)
- SELECT name, author_id, CAST(levenshtein(n.l, a.l) AS INT) AS distance FROM n JOIN a ON substr(n.l, 1, 3) = substr(a.l, 1, 3) AND abs(length(n.l) - length(a.l)) <= 2 AND n.l <> a.l WHERE levenshtein(n.l, a.l) <= 2""")
-def surname_suggestions(spark, sf):
-    """Catalogue surnames within two edits that begin alike: an equi-join on the beginning, a band of lengths, then the distance."""
-    fold = lambda x: F.regexp_replace(F.lower(x), "[^a-z]", "")
-    n = table(spark, sf, "search_results").select(F.explode("authors").alias("name")).distinct().withColumn("l", fold(sc.last_name(c("name"))))
-    a = table(spark, sf, "author_catalogue").where("first_name IS NOT NULL").select("author_id", fold(c("last_name")).alias("r"))
-    near = (F.substring(c("l"), 1, 3) == F.substring(c("r"), 1, 3)) & (F.abs(F.length("l") - F.length("r")) <= 2) & (c("l") != c("r"))
-    return n.join(a, near).withColumn("distance", F.levenshtein("l", "r")).where("distance <= 2").select("name", "author_id", "distance")
-
-
 @book.add("""WITH j AS (SELECT lower(trim(journal)) AS k, count(*) AS papers FROM paper_identifiers WHERE journal IS NOT NULL GROUP BY 1) SELECT p.request_id, j.papers, CASE WHEN j.k IS NULL THEN 'none' ELSE 'exact' END AS match FROM paper_identifiers p LEFT JOIN j ON lower(trim(p.journal)) = j.k""")
 def journal_match(spark, sf):
     """Each item's journal in the catalogue of journals, by its normal name."""
@@ -149,29 +124,6 @@ def journal_match(spark, sf):
     return p.join(j, "k", "left").select("request_id", "papers", F.when(c("papers").isNull(), "none").otherwise("exact").alias("match"))
 
 
-@book.add(f"""WITH p AS (SELECT request_id, {_NT.format('title')} AS k FROM paper_identifiers WHERE title IS NOT NULL), s AS (SELECT min(search_id) AS search_id, {_NT.format('title')} AS k FROM search_results WHERE title IS NOT NULL GROUP BY 2) SELECT request_id, search_id FROM p JOIN s USING (k) WHERE k <> ''""")
-def title_duplicate_probe(spark, sf):
-    """The first library item with a request's title, by normal form; one row per title before the join."""
-    p = table(spark, sf, "paper_identifiers").where("title IS NOT NULL").select("request_id", sc.normal_title(c("title")).alias("k"))
-    s = table(spark, sf, "search_results").where("title IS NOT NULL").groupBy(sc.normal_title(c("title")).alias("k")).agg(F.min("search_id").alias("search_id"))
-    return p.join(s, "k").where("k <> ''").select("request_id", "search_id")
-
-
-
-@book.add("""WITH b AS (SELECT request_id, title, publication_date, language FROM metadata_results WHERE confidence > 0 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY confidence DESC, result_id) = 1)
- SELECT request_id, concat_ws(',', CASE WHEN coalesce(p.language, '') = '' AND coalesce(b.language, '') <> '' THEN 'language' END, CASE WHEN coalesce(p.year, '') = '' AND coalesce(b.publication_date, '') <> '' THEN 'year' END) AS updates,
- concat_ws(',', CASE WHEN coalesce(b.title, '') <> '' AND b.title IS DISTINCT FROM p.title THEN 'title' END, CASE WHEN coalesce(p.year, '') <> '' AND coalesce(b.publication_date, '') <> '' AND b.publication_date <> p.year THEN 'year' END) AS manual_fields FROM paper_identifiers p JOIN b USING (request_id)""")
-def enrichment_plan(spark, sf):
-    """Fields that the best answer would fill, and those that differ and need a look."""
-    m = table(spark, sf, "metadata_results").where("confidence > 0")
-    b = m.groupBy("request_id").agg(F.max_by(F.struct(c("title").alias("t"), c("publication_date").alias("d"), c("language").alias("l")), F.struct("confidence", -c("result_id"))).alias("b"))
-    has = lambda x: F.coalesce(x, F.lit("")) != ""
-    df = table(spark, sf, "paper_identifiers").join(b, "request_id")
-    updates = F.concat_ws(",", F.when(~has(c("language")) & has(c("b.l")), "language"), F.when(~has(c("year")) & has(c("b.d")), "year"))
-    manual = F.concat_ws(",", F.when(has(c("b.t")) & ~c("b.t").eqNullSafe(c("title")), "title"), F.when(has(c("year")) & has(c("b.d")) & (c("b.d") != c("year")), "year"))
-    return df.select("request_id", updates.alias("updates"), manual.alias("manual_fields"))
-
-
 @book.add("""WITH b AS (SELECT request_id, title, publication_date, language FROM metadata_results WHERE confidence > 0 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY confidence DESC, result_id) = 1),
  f AS (SELECT request_id, unnest(['title', 'year', 'language']) AS field, unnest([p.title, p.year, p.language]) AS ours, unnest([b.title, b.publication_date, b.language]) AS theirs FROM paper_identifiers p JOIN b USING (request_id))
  SELECT field, CASE WHEN ours IS NULL AND theirs IS NULL THEN 'both_missing' WHEN ours IS NULL THEN 'only_theirs' WHEN theirs IS NULL THEN 'only_ours' WHEN ours = theirs THEN 'same' ELSE 'different' END AS state, count(*) AS n FROM f GROUP BY 1, 2""")

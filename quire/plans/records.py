@@ -51,7 +51,7 @@ def path_conversion(spark, sf):
     """Windows paths as Unix ones, and whether they lie under a folder."""
     p = c("attachment")
     df = table(spark, sf, "scan_log").select(c("final_filename").alias("attachment")).where(p.rlike("^[A-Za-z]:")).distinct()
-    unix = F.concat(F.lit("/mnt/"), F.lower(F.substring(p, 1, 1)), F.translate(F.substring(p, 3, 10_000), "\\", "/"))
+    unix = F.concat(F.lit("/mnt/"), F.lower(F.substring(p, 1, 1)), F.translate(F.regexp_replace(p, "^..", ""), "\\", "/"))
     return df.select("attachment", unix.alias("unix_path"), F.translate(F.lower(p), "\\", "/").startswith("p:/papers/").alias("under_base"), F.lower(p).rlike(r"_double\.pdf$").alias("two_up"))
 
 
@@ -101,29 +101,32 @@ def priority_order(spark, sf):
     return table(spark, sf, "source_trust").select("kind", "source", rank.cast("long").alias("rank"))
 
 
-@book.add(f"SELECT kind, count(*) AS answers, round(avg(CASE WHEN confidence > 1 THEN confidence WHEN confidence >= 0 THEN confidence * 100 END), 6) AS mean_confidence FROM metadata_results m JOIN source_trust t ON {_SRC.replace('source', 'm.source')} = t.source GROUP BY 1")
+@book.add(f"SELECT coalesce(kind, 'unknown') AS kind, count(*) AS answers, round(avg(CASE WHEN confidence > 1 THEN confidence WHEN confidence >= 0 THEN confidence * 100 END), 6) AS mean_confidence FROM metadata_results m LEFT JOIN source_trust t ON {_SRC.replace('source', 'm.source')} = t.source GROUP BY 1")
 def answers_per_kind(spark, sf):
     """Answers and their mean confidence by the kind of their source, whatever the spelling of its name."""
     m = table(spark, sf, "metadata_results").select(F.regexp_replace(F.lower(F.trim("source")), r"[\s_-]*api$", "").alias("source"), "confidence")
     scale = F.when(c("confidence") > 1, c("confidence")).when(c("confidence") >= 0, c("confidence") * 100)
-    return m.join(table(spark, sf, "source_trust"), "source").groupBy("kind").agg(F.count("*").alias("answers"), F.round(F.avg(scale), 6).alias("mean_confidence"))
+    return m.join(table(spark, sf, "source_trust"), "source", "left").groupBy(F.coalesce("kind", F.lit("unknown")).alias("kind")).agg(F.count("*").alias("answers"), F.round(F.avg(scale), 6).alias("mean_confidence"))
 
 
-@book.add(f"SELECT request_id, result_id, k FROM (SELECT request_id, result_id, row_number() OVER (PARTITION BY request_id ORDER BY trust_rank, result_id) AS k FROM metadata_results m JOIN source_trust t ON {_SRC.replace('source', 'm.source')} = t.source) WHERE k <= 5")
+@book.add(f"SELECT request_id, result_id, k FROM (SELECT request_id, result_id, row_number() OVER (PARTITION BY request_id ORDER BY trust_rank NULLS LAST, result_id) AS k FROM metadata_results m LEFT JOIN source_trust t ON {_SRC.replace('source', 'm.source')} = t.source) WHERE k <= 5")
 def union_candidates(spark, sf):
     """The first five candidates of each request over all sources, in the order of the sources; the sort stops at five per task."""
     m = table(spark, sf, "metadata_results").select("request_id", "result_id", F.regexp_replace(F.lower(F.trim("source")), r"[\s_-]*api$", "").alias("source"))
-    k = F.row_number().over(W.partitionBy("request_id").orderBy("trust_rank", "result_id"))
-    return m.join(table(spark, sf, "source_trust"), "source").withColumn("k", k.cast("long")).where("k <= 5").select("request_id", "result_id", "k")
+    k = F.row_number().over(W.partitionBy("request_id").orderBy(F.asc_nulls_last("trust_rank"), "result_id"))
+    return m.join(table(spark, sf, "source_trust"), "source", "left").withColumn("k", k.cast("long")).where("k <= 5").select("request_id", "result_id", "k")
 
 
 @book.add("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY confidence DESC NULLS LAST, result_id) AS k FROM metadata_results) SELECT a.request_id, a.result_id, coalesce(nullif(a.title, ''), b.title) AS title, coalesce(nullif(a.abstract, ''), b.abstract) AS abstract, coalesce(nullif(a.publication_date, ''), b.publication_date) AS published FROM (SELECT * FROM r WHERE k = 1) a LEFT JOIN (SELECT * FROM r WHERE k = 2) b ON a.request_id = b.request_id""")
 def merge_two_best(spark, sf):
-    """The best answer with its gaps filled from the second; both are taken in one aggregation."""
-    fields = ["result_id", "title", "abstract", "publication_date"]
+    """The best answer with its gaps filled from the second."""
+    m = table(spark, sf, "metadata_results").where("request_id IS NOT NULL")
     key = F.struct(F.coalesce(-c("confidence"), F.lit(1e300)).alias("conf"), c("result_id").alias("id"))
-    m = table(spark, sf, "metadata_results").withColumn("key", key).withColumn("k", F.row_number().over(W.partitionBy("request_id").orderBy("key"))).where("k <= 2")
-    two = m.groupBy("request_id").agg(*(F.max(F.when(c("k") == k, F.struct(*fields))).alias(f"r{k}") for k in (1, 2)))
+    # only keys are sorted, the texts come to the two that are taken
+    k = F.row_number().over(W.partitionBy("request_id").orderBy("key"))
+    two = m.select("request_id", key.alias("key")).withColumn("k", k).where("k <= 2").select(c("key.id").alias("result_id"), "k")
+    rows = m.select("request_id", "result_id", "title", "abstract", "publication_date").join(two, "result_id")
+    two = rows.groupBy("request_id").agg(*(F.max(F.when(c("k") == i, F.struct("result_id", "title", "abstract", "publication_date"))).alias(f"r{i}") for i in (1, 2)))
     fill = lambda n: F.coalesce(F.nullif(c(f"r1.{n}"), F.lit("")), c(f"r2.{n}"))
     return two.select("request_id", c("r1.result_id").alias("result_id"), fill("title").alias("title"), fill("abstract").alias("abstract"), fill("publication_date").alias("published"))
 
@@ -142,18 +145,18 @@ def method_cascade(spark, sf):
     return table(spark, sf, "paper_identifiers").select("request_id", method.alias("method"))
 
 
-@book.add(r"""SELECT request_id, concat_ws(' AND ', CASE WHEN title IS NOT NULL THEN 'title:"' || substr(title, 1, 200) || '"' END, CASE WHEN authors[1] IS NOT NULL THEN 'author:' || regexp_extract(trim(authors[1]), '(\S+)$', 1) END, CASE WHEN coalesce(year, '') <> '' THEN 'year:' || year END) AS query FROM paper_identifiers""")
+@book.add(r"""SELECT request_id, concat_ws(' AND ', CASE WHEN title IS NOT NULL THEN 'title:"' || title || '"' END, CASE WHEN authors[1] IS NOT NULL THEN 'author:' || regexp_extract(trim(authors[1]), '(\S+)$', 1) END, CASE WHEN coalesce(year, '') <> '' THEN 'year:' || year END) AS query FROM paper_identifiers""")
 def query_strings(spark, sf):
     """Search terms of each record, of the fields that it has."""
     a = F.get("authors", F.lit(0))
-    q = F.concat_ws(" AND ", F.when(c("title").isNotNull(), F.concat(F.lit('title:"'), F.substring("title", 1, 200), F.lit('"'))), F.when(a.isNotNull(), F.concat(F.lit("author:"), F.regexp_extract(F.trim(a), r"(\S+)$", 1))), F.when(F.coalesce("year", F.lit("")) != "", F.concat(F.lit("year:"), c("year"))))
+    q = F.concat_ws(" AND ", F.when(c("title").isNotNull(), F.concat(F.lit('title:"'), c("title"), F.lit('"'))), F.when(a.isNotNull(), F.concat(F.lit("author:"), F.regexp_extract(F.trim(a), r"(\S+)$", 1))), F.when(F.coalesce("year", F.lit("")) != "", F.concat(F.lit("year:"), c("year"))))
     return table(spark, sf, "paper_identifiers").select("request_id", q.alias("query"))
 
 
-@book.add("SELECT result_id, array_to_string(subjects[1:3], ',') AS top_subjects, len(subjects) AS n FROM metadata_results WHERE subjects IS NOT NULL")
+@book.add("SELECT result_id, array_to_string(subjects[1:10], ',') AS top_subjects, len(subjects) AS n FROM metadata_results WHERE subjects IS NOT NULL")
 def top_slices(spark, sf):
-    """The first three subjects of each answer."""
-    return table(spark, sf, "metadata_results").where("subjects IS NOT NULL").select("result_id", F.array_join(F.slice("subjects", 1, 3), ",").alias("top_subjects"), F.size("subjects").cast("long").alias("n"))
+    """The first ten subjects of each answer."""
+    return table(spark, sf, "metadata_results").where("subjects IS NOT NULL").select("result_id", F.array_join(F.slice("subjects", 1, 10), ",").alias("top_subjects"), F.size("subjects").cast("long").alias("n"))
 
 
 @book.add("SELECT a.doc_id AS doc_id, b.first_id AS first_id FROM documents a JOIN (SELECT md5(text) AS h, n_chars, min(doc_id) AS first_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1, 2) b ON md5(a.text) = b.h AND a.n_chars = b.n_chars WHERE b.n > 1 AND a.doc_id <> b.first_id")
@@ -167,16 +170,6 @@ def identical_files(spark, sf):
 _N = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@book.add(f"""WITH c AS (SELECT p.request_id, s.search_id, 1 AS stage FROM paper_identifiers p JOIN search_results s ON {_N.format('p.title')} = {_N.format('s.title')} AND p.year = s.year UNION ALL SELECT p.request_id, s.search_id, 2 FROM paper_identifiers p JOIN search_results s ON {_N.format('p.title')} = {_N.format('s.title')})
- SELECT request_id, min(stage) AS stage, count(DISTINCT search_id) AS hits FROM c GROUP BY 1""")
-def staged_search(spark, sf):
-    """Hits of each record's title with its year, then of the title alone; the first stage with any."""
-    p = table(spark, sf, "paper_identifiers").where("title IS NOT NULL").select("request_id", normal_title(c("title")).alias("k"), c("year").alias("y"))
-    q = table(spark, sf, "search_results").where("title IS NOT NULL").select("search_id", normal_title(c("title")).alias("k"), c("year").alias("z"))
-    both = p.join(q, "k").select("request_id", "search_id", F.when(c("y") == c("z"), 1).otherwise(2).alias("stage"))
-    return both.groupBy("request_id").agg(F.min("stage").alias("stage"), F.countDistinct("search_id").alias("hits"))
-
-
 @book.add("SELECT DISTINCT n.name, a.author_id, a.paper_count FROM (SELECT unnest(authors) AS name FROM paper_identifiers) n JOIN author_catalogue a ON lower(trim(n.name)) = lower(a.name)")
 def catalogue_lookup(spark, sf):
     """Catalogue entries of names by their lower case."""
@@ -197,16 +190,6 @@ def author_filter(spark, sf):
 _J = "SELECT lower(trim(journal)) AS j, count(*) AS n FROM paper_identifiers WHERE journal IS NOT NULL GROUP BY 1"
 
 
-@book.add(f"WITH j AS ({_J}) SELECT a.j AS journal, b.j AS like_journal, CAST(levenshtein(regexp_replace(a.j, '[^a-z ]', '', 'g'), regexp_replace(b.j, '[^a-z ]', '', 'g')) AS INT) AS distance FROM j a JOIN j b ON substr(a.j, 1, 8) = substr(b.j, 1, 8) AND a.j < b.j AND abs(length(a.j) - length(b.j)) <= 3 WHERE levenshtein(regexp_replace(a.j, '[^a-z ]', '', 'g'), regexp_replace(b.j, '[^a-z ]', '', 'g')) <= 6")
-def journal_neighbours(spark, sf):
-    """Journals whose names differ little: an equi-join on their beginning, a band of lengths, then the distance."""
-    plain = lambda x: F.regexp_replace(x, "[^a-z ]", "")
-    j = table(spark, sf, "paper_identifiers").where("journal IS NOT NULL").select(F.lower(F.trim("journal")).alias("j")).distinct()
-    a, b = j.select(c("j").alias("journal"), F.substring("j", 1, 8).alias("k")), j.select(c("j").alias("like_journal"), F.substring("j", 1, 8).alias("k"))
-    near = (c("journal") < c("like_journal")) & (F.abs(F.char_length("journal") - F.char_length("like_journal")) <= 3)
-    return a.join(b, "k").where(near).select("journal", "like_journal", F.levenshtein(plain(c("journal")), plain(c("like_journal"))).alias("distance")).where("distance <= 6")
-
-
 # --- pages and lines -------------------------------------------------------------------------------------------------
 
 
@@ -222,11 +205,13 @@ def front_matter(spark, sf):
  SELECT doc_id, count(*) AS runs, min(no) AS first_line FROM w WHERE k = 3 AND mean >= 20 AND high <= 1.15 * mean AND low >= 0.85 * mean GROUP BY 1""")
 def body_text_runs(spark, sf):
     """Places where three lines in a row are of about one length: body text."""
-    lines = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", (c("pos") + 1).cast("long").alias("no"), F.char_length(F.trim("line")).alias("n"))
-    w = W.partitionBy("doc_id").orderBy("no").rowsBetween(0, 2)
-    m = lines.withColumn("mean", F.avg("n").over(w)).withColumn("low", F.min("n").over(w)).withColumn("high", F.max("n").over(w)).withColumn("k", F.count("*").over(w))
-    return m.where("k = 3 AND mean >= 20 AND high <= 1.15 * mean AND low >= 0.85 * mean").groupBy("doc_id").agg(F.count("*").alias("runs"), F.min("no").alias("first_line"))
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.char_length(F.trim(x))).alias("n"))
+    d = d.where(F.size("n") > 2)
+    three = F.transform(F.slice("n", F.lit(1), F.size("n") - 2), lambda x, i: F.array(x, F.get("n", i + 1), F.get("n", i + 2)))
+    mean = lambda t: (t[0] + t[1] + t[2]) / 3
+    body = lambda t: (mean(t) >= 20) & (F.array_max(t) <= 1.15 * mean(t)) & (F.array_min(t) >= 0.85 * mean(t))
+    at = F.array_compact(F.transform(three, lambda t, i: F.when(body(t), i + 1)))
+    return d.select("doc_id", at.alias("at")).where(F.size("at") > 0).select("doc_id", F.size("at").cast("long").alias("runs"), F.get("at", F.lit(0)).cast("long").alias("first_line"))
 
 
 @book.add("SELECT l_orderkey, l_linenumber AS page FROM (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)) WHERE near = 1")

@@ -19,11 +19,11 @@ c = F.col
 _LOG = ["original_filename", "status", "final_filename", "split", "borders", "trim", "zotero_item_code"]
 
 
-@book.add("SELECT original_filename, count(*) AS runs, strftime(max(date_trunc('second', scanned_ts)), '%Y-%m-%d %H:%M:%S') AS last_run FROM scan_log WHERE original_filename IS NOT NULL AND scanned_ts IS NOT NULL GROUP BY 1")
+@book.add("SELECT original_filename, count(*) AS runs, strftime(max(date_trunc('second', scanned_ts)), '%Y-%m-%d %H:%M:%S') AS last_run FROM scan_log WHERE coalesce(original_filename, '') <> '' GROUP BY 1")
 def csv_log_roundtrip(spark, sf):
     """The log written with semicolons and quotes, and read again with its schema."""
     path = logs.place(spark, "scan-log")
-    rows = table(spark, sf, "scan_log").where("scanned_ts IS NOT NULL").select(F.date_format("scanned_ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), *_LOG)
+    rows = table(spark, sf, "scan_log").select(F.date_format("scanned_ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), *_LOG)
     logs.write_scan_log(rows, path)
     back = logs.read_scan_log(spark, path).where("original_filename IS NOT NULL AND original_filename <> ''")
     return back.groupBy("original_filename").agg(F.count("*").alias("runs"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_run"))
@@ -38,13 +38,13 @@ def pipe_log_scan(spark, sf):
     return logs.read_pipe_log(spark, path, "key string, name string").select(c("key").cast("long").alias("key"), "name")
 
 
-@book.add("SELECT original_filename, day, status FROM (SELECT original_filename, strftime(scanned_ts, '%Y-%m-%d %H:%M:%S.%f') || coalesce(status, '') AS o, strftime(scanned_ts, '%Y-%m-%d') AS day, status FROM scan_log WHERE original_filename IS NOT NULL AND scanned_ts IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY original_filename ORDER BY o DESC) = 1")
+@book.add("SELECT original_filename, day, status FROM (SELECT original_filename, coalesce(strftime(scanned_ts, '%Y-%m-%d %H:%M:%S.%f'), '') || coalesce(status, '') AS o, strftime(scanned_ts, '%Y-%m-%d') AS day, status FROM scan_log WHERE original_filename IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY original_filename ORDER BY o DESC) = 1")
 def keyed_upsert(spark, sf):
     """Old rows of a log, then new ones: the last per key stays."""
-    log = table(spark, sf, "scan_log").where("original_filename IS NOT NULL AND scanned_ts IS NOT NULL")
-    rows = log.select("original_filename", F.date_format("scanned_ts", "yyyy-MM-dd").alias("day"), "status", F.concat(F.date_format("scanned_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.coalesce("status", F.lit(""))).alias("o"))
+    log = table(spark, sf, "scan_log").where("original_filename IS NOT NULL")
+    rows = log.select("original_filename", F.date_format("scanned_ts", "yyyy-MM-dd").alias("day"), "status", F.concat(F.coalesce(F.date_format("scanned_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("")), F.coalesce("status", F.lit(""))).alias("o"))
     cut = "2023-01-01"
-    return logs.upsert(rows.where(c("day") < cut), rows.where(c("day") >= cut), "original_filename", "o").select("original_filename", "day", "status")
+    return logs.upsert(rows.where(F.coalesce("day", F.lit("")) < cut), rows.where(c("day") >= cut), "original_filename", "o").select("original_filename", "day", "status")
 
 
 @book.add("SELECT original_filename AS scan, final_filename AS target, count(*) AS n FROM scan_log WHERE original_filename IS NOT NULL AND final_filename IS NOT NULL GROUP BY 1, 2")
@@ -55,7 +55,7 @@ def sessionized_lines(spark, sf):
     lines = log.select("run", F.posexplode(F.array_compact(F.array(F.concat(F.lit("New scan: "), c("original_filename")), moved))).alias("no", "line"), F.pmod(F.hash("original_filename"), F.lit(8192)).alias("file"))
     scan = F.regexp_extract("line", "^New scan: (.*)$", 1)
     seen = F.last(F.when(scan != "", scan), ignorenulls=True).over(W.partitionBy("file").orderBy("run", "no").rowsBetween(W.unboundedPreceding, 0))
-    return lines.withColumn("scan", seen).where("line LIKE 'Moved to %'").groupBy("scan", F.substring("line", 10, 10_000).alias("target")).agg(F.count("*").alias("n"))
+    return lines.withColumn("scan", seen).where("line LIKE 'Moved to %'").groupBy("scan", F.regexp_replace("line", "^Moved to ", "").alias("target")).agg(F.count("*").alias("n"))
 
 
 @book.add("SELECT DISTINCT original_filename FROM scan_log")
@@ -84,19 +84,8 @@ def stream_windows(spark, sf):
     return counts.groupBy("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day")).agg(F.max("n").alias("n"))
 
 
-@book.add(r"""SELECT request_id, array_to_string(CASE WHEN len(g) > 0 THEN g ELSE names END, '; ') AS authors FROM (SELECT *, list_filter(names, lambda x: regexp_matches(x, '^(\p{Lu}[\p{Ll}''’-]+(-\p{Lu}\p{Ll}+)?|\p{Lu}{2,}|\p{Lu}\.)(\s+(\p{Lu}[\p{Ll}''’-]+(-\p{Lu}\p{Ll}+)?|\p{Lu}{2,}|\p{Lu}\.)){1,3}$')) AS g FROM (
- SELECT request_id, list_filter(list_transform(string_split_regex(array_to_string(authors, '; '), '\s*(?:;|,|\sand\s|&)\s*'), lambda x: trim(x)), lambda x: x <> '') AS names FROM paper_identifiers WHERE authors IS NOT NULL AND len(authors) = len(list_distinct(list_transform(authors, lambda x: lower(x)))) AND NOT list_bool_or(list_transform(authors, lambda x: contains(x, ',') OR contains(x, ' and ')))))""".replace("list_bool_or(list_transform(authors, lambda x: contains(x, ',') OR contains(x, ' and ')))", "contains(array_to_string(authors, '|'), ',') AND NOT contains(array_to_string(authors, '|'), ' and ')"))
-def labelled_authors(spark, sf):
-    """Names after an author label, those in the shape of a name where there are any; only rows without repeated names,
-    commas and 'and' in names, as its SQL has them. All rows: ``labelled_authors_of_all``."""
-    clean = (F.size("authors") == F.size(F.array_distinct(F.transform("authors", F.lower)))) & ~F.array_join("authors", "|").contains(",") & ~F.array_join("authors", "|").contains(" and ")
-    p = table(spark, sf, "paper_identifiers").where(c("authors").isNotNull() & clean)
-    text = F.concat(F.lit("Title\nAuthor(s): "), F.array_join("authors", "; "), F.lit("\nBody"))
-    return p.select("request_id", F.array_join(au.shaped(au.labelled_authors(text)), "; ").alias("authors"))
-
-
 @book.add()
-def labelled_authors_of_all(spark, sf):
+def labelled_authors(spark, sf):
     """Names after an author label of every row with authors, split at commas and 'and', each once."""
     text = F.concat(F.lit("Title\nAuthor(s): "), F.array_join("authors", "; "), F.lit("\nBody"))
     return table(spark, sf, "paper_identifiers").where("authors IS NOT NULL").select("request_id", F.array_join(au.shaped(au.labelled_authors(text)), "; ").alias("authors"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.plans.book import Book
+from quire.plans.enrich import opened
 from quire.sources.tables import table
 
 book = Book()
@@ -34,11 +35,11 @@ def sparse_pages(spark, sf):
 @book.add(r"""WITH l AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS no, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)), g AS (SELECT *, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS island FROM l)
  SELECT doc_id, min(no) AS first_line, count(*) AS lines FROM g WHERE trim(line) <> '' GROUP BY doc_id, island HAVING count(*) > 5""")
 def body_islands(spark, sf):
-    """Runs of more than five lines with text, by gaps and islands."""
-    lines = _documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("no", (c("pos") + 1).cast("long"))
-    blank = F.when(F.trim("line") == "", 1).otherwise(0)
-    island = F.sum(blank).over(W.partitionBy("doc_id").orderBy("no").rowsBetween(W.unboundedPreceding, 0))
-    return lines.withColumn("island", island).where(F.trim("line") != "").groupBy("doc_id", "island").agg(F.min("no").alias("first_line"), F.count("*").alias("lines")).where("lines > 5").select("doc_id", "first_line", "lines")
+    """Runs of more than five lines with text, between the blank lines of each text; nothing is shuffled."""
+    gap = F.array_compact(F.transform("l", lambda x, i: F.when(F.trim(x) == "", i)))
+    d = _documents(spark, sf).select("doc_id", F.split("text", "\n").alias("l")).select("doc_id", F.concat(F.array(F.lit(-1)), gap, F.array(F.size("l"))).alias("g"))
+    runs = F.transform(F.slice("g", F.lit(2), F.size("g") - 1), lambda x, i: F.struct((F.get("g", i) + 2).cast("long").alias("first_line"), (x - F.get("g", i) - 1).cast("long").alias("lines")))
+    return d.select("doc_id", F.inline(F.filter(runs, lambda r: r.lines > 5)))
 
 
 @book.add("SELECT l_orderkey, min(l_linenumber) AS first_page, max(l_linenumber) AS last_page, count(*) AS pages FROM (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS seg FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'R')) GROUP BY l_orderkey, seg")
@@ -108,12 +109,12 @@ def tag_differences(spark, sf):
 
 
 @book.add("""WITH u AS (SELECT r.request_id, 0 AS origin, o AS pos, name FROM (SELECT request_id, unnest(range(len(authors))) AS o, unnest(authors) AS name FROM paper_identifiers) r UNION ALL SELECT request_id, 1, o, name FROM (SELECT request_id, result_id, unnest(range(len(authors))) AS o, unnest(authors) AS name FROM metadata_results) WHERE name IS NOT NULL),
- d AS (SELECT request_id, lower(name) AS low, min(origin * 1000 + pos) AS place FROM u WHERE name IS NOT NULL GROUP BY 1, 2) SELECT request_id, string_agg(low, '; ' ORDER BY place, low) AS authors FROM d GROUP BY 1""")
+ d AS (SELECT request_id, lower(name) AS low, min((origin, pos)) AS place FROM u WHERE name IS NOT NULL GROUP BY 1, 2) SELECT request_id, string_agg(low, '; ' ORDER BY place, low) AS authors FROM d GROUP BY 1""")
 def author_merge(spark, sf):
     """Own authors first, then those of all answers, distinct without regard to case; the order is by the first place."""
     p = table(spark, sf, "paper_identifiers").select("request_id", F.lit(0).alias("origin"), F.posexplode("authors").alias("pos", "name"))
     m = table(spark, sf, "metadata_results").select("request_id", F.lit(1), F.posexplode("authors").alias("pos", "name"))
-    d = p.unionAll(m).where("name IS NOT NULL").groupBy("request_id", F.lower("name").alias("low")).agg(F.min(c("origin") * 1000 + c("pos")).alias("at"))
+    d = p.unionAll(m).where("name IS NOT NULL").groupBy("request_id", F.lower("name").alias("low")).agg(F.min(F.struct("origin", "pos")).alias("at"))
     return d.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("x")).select("request_id", F.array_join("x.low", "; ").alias("authors"))
 
 
@@ -123,13 +124,14 @@ def json_path(spark, sf):
     return table(spark, sf, "events").groupBy("event_type", F.get_json_object("props", "$.k").try_cast("bigint").alias("k")).agg(F.count("*").alias("n"))
 
 
-_VALID = "SELECT result_id, CAST(raw_data AS JSON) AS j FROM metadata_results WHERE json_valid(raw_data) AND json_type(raw_data) = 'OBJECT'"
+_OPENED = "SELECT result_id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN CAST(j ->> '$' AS JSON) END ELSE j END AS j FROM (SELECT result_id, CASE WHEN json_valid(raw_data) THEN CAST(raw_data AS JSON) END AS j FROM metadata_results)"
+_VALID = f"SELECT result_id, j FROM ({_OPENED}) WHERE json_type(j) = 'OBJECT'"
 
 
 @book.add(f"""SELECT result_id, json_extract_string(j, '$.message.title[0]') AS title, CAST(json_extract_string(j, '$.message.published.date-parts[0][0]') AS BIGINT) AS year, json_extract_string(j, '$.message.language') AS language, CAST(json_array_length(j, '$.message.author') AS BIGINT) AS authors FROM ({_VALID}) WHERE json_extract(j, '$.message') IS NOT NULL AND json_type(j, '$.message') = 'OBJECT'""")
 def parse_message_records(spark, sf):
     """Answers in the shape of a message: title, first date part, language, number of authors; unreadable ones have no row."""
-    v = F.try_parse_json("raw_data")
+    v = opened(c("raw_data"))
     df = table(spark, sf, "metadata_results").select("result_id", v.alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%' AND schema_of_variant(variant_get(v, '$.message')) LIKE 'OBJECT%'")
     get = lambda p, t="string": F.try_variant_get("v", p, t)
     authors = F.try_variant_get("v", "$.message.author", "array<variant>")
@@ -139,7 +141,7 @@ def parse_message_records(spark, sf):
 @book.add(f"""SELECT result_id, json_extract_string(j, '$.display_name') AS title, CAST(json_extract_string(j, '$.publication_year') AS BIGINT) AS year, json_extract_string(j, '$.authorships[0].author.display_name') AS first_author FROM ({_VALID}) WHERE json_extract_string(j, '$.display_name') IS NOT NULL""")
 def parse_work_records(spark, sf):
     """Answers in the shape of a work: title, year, first author."""
-    v = F.try_parse_json("raw_data")
+    v = opened(c("raw_data"))
     df = table(spark, sf, "metadata_results").select("result_id", v.alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
     get = lambda p, t="string": F.try_variant_get("v", p, t)
     return df.select("result_id", get("$.display_name").alias("title"), get("$.publication_year", "bigint").alias("year"), get("$.authorships[0].author.display_name").alias("first_author")).where("title IS NOT NULL")

@@ -22,9 +22,10 @@ def write_scan_log(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).csv(path, sep=";", quoteAll=True, escape='"', header=True, emptyValue="")
 
 
-def read_scan_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log with its schema given, never inferred; timestamps that can't be read are null."""
-    raw = spark.read.csv(path, sep=";", quote='"', escape='"', header=True, schema=SCAN_LOG, multiLine=True)
+def read_scan_log(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The log with its schema given, never inferred; timestamps that can't be read are null. Files split unless fields
+    may hold line breaks (``multi_line``)."""
+    raw = spark.read.csv(path, sep=";", quote='"', escape='"', header=True, schema=SCAN_LOG, multiLine=multi_line)
     return raw.withColumn("ts", F.try_to_timestamp("timestamp"))
 
 

@@ -6,12 +6,8 @@ stops; run again with the same checkpoint it goes on where it was.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.sources.logs import place
 
@@ -45,17 +41,9 @@ def windowed(stream: DataFrame, time: str, width: str, late: str, *keys: str) ->
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"))
 
 
-def _count_failures(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    failures, done = state.get if state.exists else (0, False)
-    for pdf in batches:
-        failures += int((pdf["failed"]).sum())
-        done = done or bool(pdf["done"].any())
-    state.update((failures, done))
-    yield pd.DataFrame({"key": [key[0]], "failures": [failures], "state": ["done" if done else "permanently_failed" if failures >= 3 else "retry"]})
-
-
 def retry_states(stream: DataFrame, key: str, status: str) -> DataFrame:
     """(key, failures, state) of every file that had a run in a batch, with the attempts of all batches before."""
     s = F.lower(F.trim(status))
-    rows = stream.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), (s == "failed").alias("failed"), (s == "success").alias("done")).na.fill(False)
-    return rows.groupBy("key").applyInPandasWithState(_count_failures, "key string, failures bigint, state string", "failures bigint, done boolean", "update", GroupStateTimeout.NoTimeout)
+    counts = stream.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count_if(s == "failed").alias("failures"), F.count_if(s == "success").alias("done"))
+    state = F.when(F.col("done") > 0, "done").when(F.col("failures") >= 3, "permanently_failed").otherwise("retry")
+    return counts.select("key", "failures", state.alias("state"))

@@ -76,13 +76,13 @@ def test_all_years_of_a_text_compete(spark):
     assert best_year_of(f"Journal (1971)\n{body}\n" + "end\n" * 40)[0] == "1971"
     df = spark.createDataFrame([(1, "Old (1950), new (1999)"), (2, None), (3, "none")], "doc_id long, text string")
     df.write.mode("overwrite").parquet("/tmp/quire-years/documents.parquet")
-    assert [(r.doc_id, r.best_year) for r in registry.QUERIES["best_year_in_text"](spark, "/tmp/quire-years").collect()] == [(1, "1999")]
+    assert [(r.doc_id, r.best_year) for r in registry.QUERIES["best_year"](spark, "/tmp/quire-years").collect()] == [(1, "1999")]
 
 
-def test_labelled_authors_of_all_rows(spark):
+def test_labelled_authors_rows(spark):
     from quire.plans import registry
 
     rows = [(1, ["Jane Doe and John Roe"]), (2, ["Jane Doe, John Roe"]), (3, ["Jane Doe", "Jane Doe"]), (4, ["Ann Poe"]), (5, None)]
     spark.createDataFrame(rows, "request_id long, authors array<string>").write.mode("overwrite").parquet("/tmp/quire-authors/paper_identifiers.parquet")
-    got = {r.request_id: r.authors for r in registry.QUERIES["labelled_authors_of_all"](spark, "/tmp/quire-authors").collect()}
+    got = {r.request_id: r.authors for r in registry.QUERIES["labelled_authors"](spark, "/tmp/quire-authors").collect()}
     assert got == {1: "Jane Doe; John Roe", 2: "Jane Doe; John Roe", 3: "Jane Doe", 4: "Ann Poe"}

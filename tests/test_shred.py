@@ -99,3 +99,10 @@ def test_empty_table_and_fields(spark):
     df = spark.createDataFrame([(1, CASES[9])], "id long, raw string")
     got = {r.entity: r.fields for r in nested_entities(df, "id", "raw", values=True).collect()}
     assert got["contributor"] == {"family": "A"} and got["affiliation_id"] == {"value": "1"}
+
+
+def test_a_record_beside_a_value_that_is_too_deep_is_read():
+    deep = '{"message": {"author": [{"family": "Doe"}], "other": ' + "[" * 20000 + "1" + "]" * 20000 + ', "n": "]}"}}'
+    value = read_json(deep)
+    assert value["message"]["author"] == [{"family": "Doe"}] and value["message"]["n"] == "]}"
+    assert read_json('{"a": ' + "[" * 20000 + "}" * 20000 + "}") is None
