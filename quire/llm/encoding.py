@@ -51,7 +51,14 @@ _SPAN = re.compile(
     "(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
     "|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+"
 )
-_LEADS = {c: re.compile("[" + "".join(re.escape(chr(k)) for k, b in t.items() if 0xC2 <= b <= 0xF4) + "]") for c, t in _TABLES.items()}
+
+
+def _class(table: dict[int, int], low: int, high: int) -> str:
+    return "[" + "".join(re.escape(chr(k)) for k, b in table.items() if low <= b <= high) + "]"
+
+
+#: A byte that begins a span and one that goes on with it; without these a text holds no span.
+_BEGINS = {c: re.compile(_class(t, 0xC2, 0xF4) + _class(t, 0x80, 0xBF)) for c, t in _TABLES.items()}
 
 
 def _plausible(text: str) -> bool:
@@ -67,18 +74,22 @@ def _plausible(text: str) -> bool:
     return True
 
 
-def _mapped(text: str, codec: str) -> str:
-    """One character below 0x100 for each character of ``text``: its byte; 0 for what the encoding does not have."""
-    table = _TABLES[codec]
-    return "".join(c if c < "\x80" else chr(b) if (b := table.get(ord(c), 0x100)) < 0x100 else "\0" for c in text)
+class _Bytes(dict):
+    """For str.translate: one character below 0x100 for each, its byte; 0 for what the encoding does not have."""
+
+    def __missing__(self, n: int) -> int:
+        return n if n < 0x80 else 0
+
+
+_MAPPED = {c: _Bytes({k: b if b < 0x100 else 0 for k, b in t.items() if k >= 0x80}) for c, t in _TABLES.items()}
 
 
 def spans(text: str, codec: str) -> list[tuple[int, int, str]]:
     """(start, end, decoded) of the maximal well-formed multibyte spans under ``codec``."""
-    if not _LEADS[codec].search(text):
+    if not _BEGINS[codec].search(text):
         return []
     found = []
-    for m in _SPAN.finditer(_mapped(text, codec)):
+    for m in _SPAN.finditer(text.translate(_MAPPED[codec])):
         decoded = m.group().encode("latin-1").decode("utf-8")
         if len(decoded) == 1 and 0x400 <= ord(decoded) < 0x530:
             continue  # look-alike letters or a dash before an accent, not one garbled letter

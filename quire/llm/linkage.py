@@ -79,7 +79,11 @@ def read_title(title: str | None) -> tuple[list[str], list[int], str]:
         return [], [], ""
     if not title.isascii():
         title = _UNSEEN.sub("", unicodedata.normalize("NFKC", repair(title)[1]))
-    title = _NOTE.sub(" ", _TAG.sub("", title)).strip(" /.")
+    if "<" in title:
+        title = _TAG.sub("", title)
+    if "[" in title:
+        title = _NOTE.sub(" ", title)
+    title = title.strip(" /.")
     part = _PART.search(title)
     if part:
         title = title[: part.start()] + " " + title[part.end() :] if title[part.end() : part.end() + 1] == " " else title[: part.start()] + title[part.end() :]
@@ -192,7 +196,7 @@ def ranked(reps: DataFrame) -> DataFrame:
 
 
 def keyed(titles: DataFrame, side: str) -> DataFrame:
-    """(side, side_year, side_bits, side_size, way, key): the hashes by which the representatives of one side, 'a' or 'b',
+    """(side, side_year, side_bits, side_size, most, key): the hashes by which the representatives of one side, 'a' or 'b',
     meet those of the other.
 
     Where one lacks authors, the other side's representatives meet it by the sign for that: both sides have the sign for
@@ -209,8 +213,9 @@ def keyed(titles: DataFrame, side: str) -> DataFrame:
     )
     # way 0: the rarest token of a's among b's telling ones; 1: of b's among a's, without those of way 0; 2: most tokens
     tokens = {0: F.col("first"), 1: F.array_except("telling", "first"), 2: F.col("rarer")} if side == "a" else {0: F.col("telling"), 1: F.col("first"), 2: F.col("rarer")}
-    keys = lambda way: F.flatten(F.transform(tokens[way], lambda t: F.transform("words" if way == 2 else "who", lambda w: F.struct(F.lit(way).cast("byte").alias("way"), F.xxhash64(t, w).alias("key")))))
-    return of.select(side, f"{side}_year", f"{side}_bits", f"{side}_size", F.inline(F.array_distinct(F.concat(keys(0), keys(1), keys(2)))))
+    hashed = lambda way: F.array_distinct(F.flatten(F.transform(tokens[way], lambda t: F.transform("words" if way == 2 else "who", lambda w: F.xxhash64(t, w, F.lit(way))))))
+    keys = F.concat(*(F.transform(hashed(way), lambda k, way=way: F.struct(F.lit(way == 2).alias("most"), k.alias("key"))) for way in tokens))
+    return of.select(side, f"{side}_year", f"{side}_bits", f"{side}_size", F.inline(keys))
 
 
 def candidates(titles: DataFrame) -> DataFrame:
@@ -220,7 +225,7 @@ def candidates(titles: DataFrame) -> DataFrame:
     close = F.coalesce(F.abs(F.col("a_year") - F.col("b_year")) <= YEARS, F.lit(True))
     missing = lambda p, q: F.bit_count(F.col(f"{p}_bits").bitwiseAND(F.bitwise_not(F.col(f"{q}_bits")))) * 2 < F.col(f"{p}_size")
     most = F.when(F.col("a_size") <= F.col("b_size"), missing("a", "b")).otherwise(missing("b", "a"))
-    met = keyed(titles, "a").join(keyed(titles, "b"), ["way", "key"]).where(close & ((F.col("way") < 2) | most))
+    met = keyed(titles, "a").join(keyed(titles, "b").drop("most"), "key").where(close & (~F.col("most") | most))
     return met.select("a", "b").distinct()
 
 
