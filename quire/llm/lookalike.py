@@ -120,7 +120,8 @@ class Rewriter:
         self.plain = all(not k.isascii() for k in self.forms)  # no ASCII letter is rewritten, as is usual
         self.automaton = ahocorasick.Automaton()
         for k, v in self.forms.items():
-            cross = len(k) == 1 and len(v) == 1 and script(k) != script(v) and unicodedata.normalize("NFKC", k) != v
+            p, q = (unicodedata.normalize("NFKC", x) for x in (k, v))
+            cross = len(p) == 1 and len(q) == 1 and script(p) != script(q)
             self.automaton.add_word(k, (len(k), v, script(v) if cross else ""))
         if self.forms:
             self.automaton.make_automaton()
