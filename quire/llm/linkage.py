@@ -276,7 +276,9 @@ def votes(a: dict, b: dict, rare: int) -> list[int]:
     cut_a, cut_b = (least, least) if bare else ((a["ends"] or [len(x)])[0], (b["ends"] or [len(y)])[0])
     mx, my = x[:cut_a], y[:cut_b]
     out = []
-    if len(set(x) & set(y)) * 3 < min(len(set(x)), len(set(y))):
+    if mx == my and (bare or x == y):
+        out += [1, 1, 1]
+    elif len(set(x) & set(y)) * 3 < min(len(set(x)), len(set(y))):
         out += [-1, -1, -1]  # far off; nothing below could change that
     else:
         n = _matched(mx, my)
@@ -372,16 +374,21 @@ def matched(a: DataFrame, b: DataFrame) -> DataFrame:
     content = ["tokens", "ends", "part", "year", "names"]
     one = [df.groupBy("rep").agg(*(F.any_value(c).alias(c) for c in content)).withColumn("side", F.lit(s)) for s, df in rows.items()]
     titles = settle(ranked(settle(one[0].unionByName(one[1]))))
-    side = {s: titles.where(F.col("side") == s).select(F.col("no").alias(s), F.struct("tokens", "ends", "part", "year", "n").alias(f"x_{s}"), F.col("t").alias(f"t_{s}")) for s in "ab"}
+    flat = F.concat_ws("\x1f", F.array_join("tokens", " "), F.array_join(F.col("ends").cast("array<string>"), " "), "part", F.coalesce(F.col("year").cast("string"), F.lit("")), F.array_join(F.transform("n", lambda w: F.array_join(F.slice(w, 1, 2), " ")), ","))
+    side = {s: titles.where(F.col("side") == s).select(F.col("no").alias(s), flat.alias(f"x_{s}"), F.col("year").alias(f"year_{s}"), F.col("part").alias(f"part_{s}"), F.col("t").alias(f"t_{s}")) for s in "ab"}
     pairs = candidates(titles).join(side["a"], "a").join(side["b"], "b")
     most = F.size(F.array_intersect("t_a", "t_b")) * 2 > F.least(F.size("t_a"), F.size("t_b"))
     pairs = pairs.withColumn("rare", rarity(F.col("t_a"), F.col("t_b"))).where((F.col("rare") > 0) | most & (F.col("rare") == 0))
-    far = F.abs(F.col("x_a.year") - F.col("x_b.year")) > YEARS
-    other = F.coalesce(far, F.lit(False)) | (F.col("x_a.part") != F.col("x_b.part"))
+    far = F.abs(F.col("year_a") - F.col("year_b")) > YEARS
+    other = F.coalesce(far, F.lit(False)) | (F.col("part_a") != F.col("part_b"))
+
+    def read(flat: str) -> dict:
+        tokens, ends, part, year, names = flat.split("\x1f")
+        return {"tokens": tokens.split(" "), "ends": [int(e) for e in ends.split()], "part": part, "year": int(year) if year else None, "n": [n.split(" ") for n in names.split(",") if n]}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [votes(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("x_a", "x_b", "rare")))]
+            found = [votes(read(x), read(y), r) for x, y, r in zip(*(batch.column(c).to_pylist() for c in ("x_a", "x_b", "rare")))]
             code = [sum((v + 1) * 3**j for j, v in enumerate(x)) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("other"), pa.array(code, pa.int32())], names=["a", "b", "other", "pattern"])
 
