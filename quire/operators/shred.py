@@ -283,21 +283,30 @@ def library_tree(values: bool = False) -> Node:
 KINDS = ["contributor", "affiliation", "affiliation_id", "identifier"]
 
 
-def nested_entities(df: DataFrame, id_col: str, json_col: str, values: bool = False) -> DataFrame:
-    """(id, entity, parent_no, entity_no[, fields map]) for every nested entity of every readable record."""
+def kinds(tree: Node) -> list[str]:
+    """The entities of a tree, parents before their children."""
+    found = [tree.entity] if tree.entity else []
+    return list(dict.fromkeys([*found, *(k for child in tree.children for k in kinds(child))]))
+
+
+def nested_entities(df: DataFrame, id_col: str, json_col: str, values: bool = False, tree: Node | None = None) -> DataFrame:
+    """(id, entity, parent_no, entity_no[, fields map]) for every nested entity of every readable record.
+
+    ``tree`` says where the entities stand, that of the sources' answers unless another is given."""
+    tree = tree or library_tree(values)
     source = df.select(F.col(id_col).alias("id"), F.col(json_col).alias("raw"))
     id_type = source.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, entity string, parent_no int, entity_no int" + (", fields map<string,string>" if values else "")
 
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        striper = Striper(library_tree(values))
+        striper = Striper(tree)
         for batch in batches:
             striper.clear()
             for n, text in enumerate(batch.column(1).to_pylist()):
                 value = read_json(text)
                 if isinstance(value, dict):
                     striper.stripe(value, n)
-            for kind, t in assemble(striper, KINDS).items():
+            for kind, t in assemble(striper, kinds(tree)).items():
                 if not len(t["record"]):
                     continue
                 columns = [batch.column(0).take(pa.array(t["record"])), pa.array([kind] * len(t["record"]), pa.string()), pa.array(t["parent"], pa.int32()), pa.array(t["no"], pa.int32())]

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quire.operators.shred import KINDS, Striper, assemble, leaf_levels, library_tree, nested_entities, read_json
+from quire.operators.shred import KINDS, Node, Striper, assemble, leaf_levels, library_tree, nested_entities, read_json
 from quire.sources.tables import table
 
 
@@ -106,3 +106,10 @@ def test_a_record_beside_a_value_that_is_too_deep_is_read():
     value = read_json(deep)
     assert value["message"]["author"] == [{"family": "Doe"}] and value["message"]["n"] == "]}"
     assert read_json('{"a": ' + "[" * 20000 + "}" * 20000 + "}") is None
+
+
+def test_entities_of_another_tree(spark):
+    tree = Node("", [Node("orders", [Node("lines", [Node("sku")], True, "line")], True, "order")])
+    df = spark.createDataFrame([(1, '{"orders": [{"lines": [{"sku": "a"}, {"sku": "b"}]}, {"lines": {"sku": "c"}}]}'), (2, "{}"), (3, None)], "id long, raw string")
+    got = {tuple(r) for r in nested_entities(df, "id", "raw", tree=tree).collect()}
+    assert got == {(1, "order", 0, 1), (1, "order", 0, 2), (1, "line", 1, 1), (1, "line", 1, 2), (1, "line", 2, 3)}
