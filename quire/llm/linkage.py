@@ -214,7 +214,8 @@ def keyed(titles: DataFrame, side: str) -> DataFrame:
     # way 0: the rarest token of a's among b's telling ones; 1: of b's among a's, without those of way 0; 2: most tokens
     tokens = {0: F.col("first"), 1: F.array_except("telling", "first"), 2: F.col("rarer")} if side == "a" else {0: F.col("telling"), 1: F.col("first"), 2: F.col("rarer")}
     hashed = lambda way: F.array_distinct(F.flatten(F.transform(tokens[way], lambda t: F.transform("words" if way == 2 else "who", lambda w: F.xxhash64(t, w, F.lit(way))))))
-    keys = F.concat(*(F.transform(hashed(way), lambda k, way=way: F.struct(F.lit(way == 2).alias("most"), k.alias("key"))) for way in tokens))
+    marked = lambda way: F.transform(hashed(way), lambda k: F.struct(F.lit(way == 2).alias("most"), k.alias("key")))
+    keys = F.concat(*map(marked, tokens))
     return of.select(side, f"{side}_year", f"{side}_bits", f"{side}_size", F.inline(keys))
 
 
