@@ -177,19 +177,20 @@ def ranked(reps: DataFrame) -> DataFrame:
         looked = F.broadcast(looked)
     found = words.join(looked, ["kind", "token"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "canonical", "weight", "kind", "at"))).alias("w"))
     out = reps.join(found, "rep")
-    pair = lambda c: F.array_distinct(F.transform(c, lambda x: F.struct(x.canonical.alias("c"), x.weight.alias("weight"))))
-    only = lambda c: F.transform(c, lambda x: x.c)
+    once = lambda r: F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1).canonical != x.canonical))  # equals stand together
+    only = lambda c: F.transform(c, lambda x: x.canonical)
     ends = F.array_distinct(F.concat(F.array(F.size("tokens")), F.filter("ends", lambda e: e > 0)))
     out = out.withColumn("w0", F.filter("w", lambda x: x.kind == 0)).withColumn("w1", F.filter("w", lambda x: x.kind == 1))
-    out = out.withColumn("cuts", F.transform(ends, lambda e: pair(F.filter("w0", lambda x: x["at"] < e))))
+    out = out.withColumn("cuts", F.transform(F.transform(ends, lambda e: F.filter("w0", lambda x: x["at"] < e)), once))
     out = out.withColumn("halves", F.transform("cuts", lambda r: F.aggregate(r, F.lit(0.0), lambda t, x: t + x.weight) / 2))
     nothing = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<string>").alias("out"))
-    step = lambda half: lambda t, x: F.struct((t["sum"] + x.weight).alias("sum"), F.when(t["sum"] <= half, F.concat(t["out"], F.array(x.c))).otherwise(t["out"]).alias("out"))
+    step = lambda half: lambda t, x: F.struct((t["sum"] + x.weight).alias("sum"), F.when(t["sum"] <= half, F.concat(t["out"], F.array(x.canonical))).otherwise(t["out"]).alias("out"))
     telling = F.flatten(F.transform("cuts", lambda r, i: F.aggregate(r, nothing, step(F.get("halves", i)), lambda t: t["out"])))
-    first = F.transform("cuts", lambda r: F.get(r, F.lit(0)).c)
+    first = F.transform("cuts", lambda r: F.get(r, F.lit(0)).canonical)
     half = F.flatten(F.transform("cuts", lambda r: only(F.slice(r, F.lit(1), F.ceil(F.size(r) / 2).cast("int")))))
     out = out.withColumn("t", only(F.get("cuts", F.lit(0)))).withColumn("telling", F.array_distinct(telling)).withColumn("first", F.array_distinct(first)).withColumn("rarer", F.array_distinct(half))
-    n = F.transform(F.array_distinct(F.transform("w1", lambda x: x["at"])), lambda i: only(pair(F.filter("w1", lambda x: x["at"] == i))))
+    named = F.transform(F.array_distinct(F.transform("w1", lambda x: x["at"])), lambda i: F.filter("w1", lambda x: x["at"] == i))
+    n = F.transform(named, lambda r: only(once(r)))
     known = F.array_distinct(F.transform(F.filter("w1", lambda x: x.n <= COMMON * total), lambda x: x.canonical))
     bits = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
     return out.select(*reps.columns, "t", "first", "telling", "rarer", n.alias("n"), known.alias("known"), bits.alias("bits"), F.monotonically_increasing_id().alias("no"))
