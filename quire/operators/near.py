@@ -3,8 +3,9 @@
 ``within_edits`` finds every pair within k edits: a string cut into k + 1 even segments has one that stands untouched in
 any string within k edits, at most k places off. Segments are the keys of an equi-join, so no beginning, bucket or length
 is preferred and nothing is cut. ``alike_titles`` finds pairs of titles by the matching-blocks ratio among those that share
-two of their rarer words (the one, in titles of up to two); a bound on the edit distance, which no pair of the ratio
-exceeds, comes before the ratio.
+two of their rarer words (the one, in titles of up to two). A block's titles are met in tiles, so that pairs are never
+rows before they are found, and a block of common words is spread over many tasks; bounds that no ratio exceeds come
+before the ratio.
 
 Both take distinct strings, so copies cost nothing; the rows are joined back by the caller. Defined results: null and
 empty strings are like nothing.
@@ -12,14 +13,22 @@ empty strings are like nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.ratio import matching_ratio
+from quire.functions.blocks import Strings, ratios
 from quire.session import settle
 
 c = F.col
 
+#: Titles on a side of a tile, about; pairs, and titles, that a task meets, about; pairs met at once, and cells of words.
+TILE, PAIRS, TITLES, AT_ONCE, CELLS = 1024, 1 << 22, 1 << 17, 1 << 19, 1 << 22
+
 
 def _segments(side: str, k: int) -> str:
     """Hashes of the segments that a string is cut into ('index'), or of the places where another's could stand ('probe')."""
@@ -42,27 +51,72 @@ def within_edits(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return met.select("a", "b", "distance").distinct()
 
 
-def _blocked(df: DataFrame, counts: DataFrame, name: str) -> DataFrame:
-    """(name, key): each title with its blocks, pairs of the rarer words of which two titles that share half have one."""
+def _blocked(df: DataFrame, counts: DataFrame) -> DataFrame:
+    """(s, key, before): each title with its blocks, pairs of the rarer words of which two titles that share half have one;
+    ``before`` are the other words up to the pair's, rarest first."""
     words = F.array_distinct(F.filter(F.split("s", " "), lambda w: w != ""))
     each = df.select("s", F.explode(words).alias("w")).join(counts, "w").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("r"))
     n = F.size("r")
     rarer = F.transform(F.slice("r", F.lit(1), F.least(n, n - F.ceil(n / 2).cast("int") + 2)), lambda x: x.w)
-    pairs = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.xxhash64(x, y))))
-    single = F.transform("p", lambda x: F.xxhash64(x))
-    return each.select("s", n.alias("n"), rarer.alias("p")).select(c("s").alias(name), F.explode(F.when(c("n") > 3, pairs).otherwise(F.concat(pairs, single))).alias("key"))
+    pairs = "flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), (y, k) -> struct(xxhash64(x, y) AS key, concat(slice(h, 1, i), slice(h, i + 2, k)) AS before))))"
+    single = "transform(p, x -> struct(xxhash64(x) AS key, cast(array() AS array<bigint>) AS before))"
+    of = each.select("s", n.alias("n"), rarer.alias("p")).withColumn("h", F.transform("p", lambda x: F.xxhash64(x)))
+    return of.select("s", F.explode(F.expr(f"if(n > 3, {pairs}, concat({pairs}, {single}))")).alias("x")).select("s", "x.*")
+
+
+def _met(batch: pa.RecordBatch, least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of ``least`` ratio and more of a batch of tiles. A pair in several blocks is taken in the one of its rarest
+    shared words: where no word before the block's is shared."""
+    sides = [batch.column(k).flatten().flatten() for k in (0, 1)]
+    each = pa.chunked_array([sides[0][0], sides[1][0]]).combine_chunks().dictionary_encode()
+    ids, strings = each.indices.to_numpy(zero_copy_only=False).astype(np.int64), Strings(each.dictionary.to_pylist())
+    n, m = (pc.list_value_length(batch.column(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    x, y = ids[: n.sum()], ids[n.sum() :]
+    (words_x, bits_x), (words_y, bits_y) = (_padded(side[1], pad) for pad, side in enumerate(sides))
+    partners, first = np.repeat(m, n), np.repeat(np.cumsum(m) - m, n)
+    ends = np.cumsum(partners)
+    lo = 0
+    while lo < len(x):
+        done = ends[lo] - partners[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+        i = np.repeat(np.arange(lo, hi), partners[lo:hi])
+        j = np.arange(ends[hi - 1] - done) + np.repeat(first[lo:hi] - (ends[lo:hi] - partners[lo:hi] - done), partners[lo:hi])
+        both = np.flatnonzero(bits_x[i] & bits_y[j])
+        new = np.ones(len(i), bool)
+        for at in np.array_split(both, len(both) * words_x.shape[1] * words_y.shape[1] // CELLS + 1):
+            new[at] = ~(words_x[i[at], :, None] == words_y[j[at], None, :]).any(axis=(1, 2))
+        i, j = i[new], j[new]
+        at, value = ratios(strings, x[i], y[j], least)
+        yield pa.record_batch([each.dictionary.take(pa.array(x[i[at]])), each.dictionary.take(pa.array(y[j[at]])), pa.array(value)], ["a", "b", "ratio"])
+        lo = hi
+
+
+def _padded(lists: pa.ListArray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each title in a row, and as bits of which two titles that share a word share one."""
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    words, owner = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(size)), size)
+    rows, bits = np.full((len(size), max(1, int(size.max(initial=0)))), pad, np.int64), np.zeros(len(size), np.uint64)
+    rows[owner, np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)] = words
+    np.bitwise_or.at(bits, owner, np.uint64(1) << (words & 63).astype(np.uint64))
+    return rows, bits
 
 
 def alike_titles(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """(a, b, ratio): pairs of a title of ``a`` and one of ``b``, both one column of normal titles, of ``least`` ratio of
     matching blocks and more, that share half of their words."""
+    spark = a.sparkSession
     a, b = (settle(df.select(c(df.columns[0]).alias("s")).where("s <> ''").distinct()) for df in (a, b))
     words = a.unionAll(b).select(F.explode(F.array_distinct(F.split("s", " "))).alias("w")).where("w <> ''")
     counts = settle(words.groupBy("w").agg(F.count("*").alias("n")))
-    met = _blocked(a, counts, "a").join(_blocked(b, counts, "b"), "key")
-    total = F.length("a") + F.length("b")
-    band = 2 * F.least(F.length("a"), F.length("b")) >= F.lit(least) * total
-    met = met.where(band).select("a", "b").distinct()
-    # M matching letters leave at most the others to delete and insert
-    met = met.where(F.levenshtein("a", "b") <= F.lit(1 - least) * total + F.lit(1e-9))
-    return met.withColumn("ratio", matching_ratio("a", "b")).where(c("ratio") >= least)
+    x, y = (settle(_blocked(df, counts)) for df in (a, b))
+    sizes = settle(x.groupBy("key").agg(F.count("*").alias("n")).join(y.groupBy("key").agg(F.count("*").alias("m")), "key"))
+    pairs, titles = sizes.agg(F.sum(c("n") * c("m")), F.sum(c("n") + c("m"))).first()
+    tasks = max(2 * spark.sparkContext.defaultParallelism, (pairs or 0) // PAIRS, (titles or 0) // TITLES)
+
+    def tiled(df: DataFrame, n: str, place: str, side: str) -> DataFrame:
+        at = F.pmod(F.xxhash64("s"), F.ceil(c(n) / TILE)).alias(place)
+        return df.join(sizes.select("key", n), "key").select("key", at, F.struct("s", "before").alias("t")).groupBy("key", place).agg(F.collect_list("t").alias(side))
+
+    tiles = tiled(x, "n", "i", "xs").join(tiled(y, "m", "j", "ys"), "key").repartition(tasks, "key", "i", "j").select("xs", "ys")
+    compare = lambda batches: (found for batch in batches if batch.num_rows for found in _met(batch, least))
+    return tiles.mapInArrow(compare, "a string, b string, ratio double").distinct()

@@ -1,9 +1,14 @@
 import random
+import time
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from quire.functions import blocks
 from quire.functions import scoring as sc
+from quire.operators import near
 from quire.operators.near import alike_titles, within_edits
 from quire.sources.tables import table
 
@@ -55,3 +60,41 @@ def test_alike_titles_against_brute_force(spark, sf):
 def test_titles_of_few_words_and_none(spark):
     got = alike_titles(strings(spark, ["introduction", "", None, "two words"]), strings(spark, ["introductions", "introduction", "two words", "words two"]), 0.8)
     assert ("introduction", "introduction") in {(r.a, r.b) for r in got.collect()}
+
+
+def test_tiles_of_common_words_find_what_the_definition_says(spark, monkeypatch):
+    """Every pair that shares two of its rarer words, once, however a block is cut into tiles and whichever blocks it is in."""
+    monkeypatch.setattr(near, "TILE", 3)
+    random.seed(5)
+    make = lambda: " ".join(["notes", "harbour", "law", *("".join(random.choice("abcd") for _ in range(random.randint(1, 6))) for _ in range(random.randint(1, 5)))])
+    a, b = sorted({make() for _ in range(40)}), sorted({make() for _ in range(40)}) + ["notes harbour law " + "word " * 45 + "end"]
+    rows = [(r.a, r.b, r.ratio) for r in alike_titles(strings(spark, a), strings(spark, b), 0.5).collect()]
+    n = Counter(w for t in {*a} for w in {*t.split()}) + Counter(w for t in {*b} for w in {*t.split()})
+    rarer = lambda t: set((r := sorted({*t.split()}, key=lambda w: (n[w], w)))[: len(r) - -(-len(r) // 2) + 2])
+    want = {(x, y) for x in a for y in b if len(rarer(x) & rarer(y)) >= 2 and SequenceMatcher(None, x, y).ratio() >= 0.5}
+    assert len(rows) == len({r[:2] for r in rows}) and {r[:2] for r in rows} == want and want
+    assert all(r == SequenceMatcher(None, x, y).ratio() for x, y, r in rows)
+
+
+def test_a_block_of_thousands_is_met_without_rows_of_pairs(spark):
+    """Nine million pairs share two common words and no more; as rows with an edit distance each they took minutes."""
+    random.seed(7)
+    make = lambda: "harbour law " + " ".join("".join(random.choice("abcdefghiklmnoprstu") for _ in range(9)) for _ in range(2)) + " x"
+    a, b = ([make() for _ in range(3000)] for _ in range(2))
+    began = time.monotonic()
+    got = {tuple(r) for r in alike_titles(strings(spark, [*a, b[0]]), strings(spark, b), 0.9).collect()}
+    assert (b[0], b[0], 1.0) in got and time.monotonic() - began < 90
+
+
+def test_ratios_equal_difflib():
+    random.seed(9)
+    for letters in ("ab ", "abcdefgh ", "aé漢\U0001f600 "):
+        some = sorted({"".join(random.choice(letters) for _ in range(random.choice((1, 7, 30, 63, 64, 65, 90, 126, 127, 128, 129, 199, 200, 260)))) for _ in range(90)})
+        s, a, b = blocks.Strings(some), *(np.array(x) for x in zip(*((random.randrange(len(some)), random.randrange(len(some))) for _ in range(1500))))
+        for least in (0.3, 0.6, 0.8):
+            at, value = blocks.ratios(s, a, b, least)
+            want = {k: r for k, (x, y) in enumerate(zip(a, b)) if (r := SequenceMatcher(None, some[x], some[y]).ratio()) >= least}
+            assert dict(zip(at.tolist(), value.tolist())) == want
+    s = blocks.Strings(["".join(map(chr, range(500, 900))), "".join(map(chr, range(500, 560)))])
+    assert blocks.ratios(s, np.array([0, 1]), np.array([0, 1]), 0.8)[0].tolist() == [0, 1]
+    assert [len(x) for x in blocks.ratios(s, np.array([], int), np.array([], int), 0.8)] == [0, 0]
