@@ -14,7 +14,7 @@ import numpy as np
 
 #: Longest string for the arrays of bytes; pairs compared at once, by subsequences and by blocks; classes that letters are
 #: counted in, and the count of one up to which each has its bit.
-LONGEST, AT_ONCE, COLUMNS, CLASSES, MOST = 126, 1 << 17, 1 << 12, 64, 32
+LONGEST, AT_ONCE, COLUMNS, CLASSES, MOST = 126, 1 << 14, 1 << 12, 64, 32
 
 
 class Strings:
