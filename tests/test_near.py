@@ -10,6 +10,7 @@ from quire.functions import blocks
 from quire.functions import scoring as sc
 from quire.operators import near
 from quire.operators.near import alike_titles, within_edits
+from quire.plans.fuzzy import staged_search
 from quire.sources.tables import table
 
 
@@ -98,3 +99,12 @@ def test_ratios_equal_difflib():
     s = blocks.Strings(["".join(map(chr, range(500, 900))), "".join(map(chr, range(500, 560)))])
     assert blocks.ratios(s, np.array([0, 1]), np.array([0, 1]), 0.8)[0].tolist() == [0, 1]
     assert [len(x) for x in blocks.ratios(s, np.array([], int), np.array([], int), 0.8)] == [0, 0]
+
+
+def test_staged_search_counts_every_hit_of_a_common_block(spark, tmp_path):
+    """Titles that differ in one word are all hits of the search by title alone, however many; the old join made a row of each pair."""
+    name = lambda k: "".join("bdfgklmnpr"[int(d)] for d in f"{k:03d}")
+    spark.createDataFrame([(k, f"Parish economies after {name(k)}: notes from the harbour", None, None) for k in range(60)], "request_id long, title string, authors array<string>, year string").write.parquet(f"{tmp_path}/paper_identifiers.parquet")
+    spark.createDataFrame([(k, f"Parish economies after {name(999 - k)}: notes from the harbour", None, None) for k in range(70)], "search_id long, title string, authors array<string>, year string").write.parquet(f"{tmp_path}/search_results.parquet")
+    got = staged_search(spark, str(tmp_path)).collect()
+    assert len(got) == 60 and {(r.stage, r.hits) for r in got} == {(3, 70)}
