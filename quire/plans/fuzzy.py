@@ -51,6 +51,7 @@ def duplicate_probe(spark, sf):
     known = answers(spark, sf, ["request_id", "result_id"]).select(c("request_id").alias("other"), "result_id", F.lower(doi_of(c("v"))).alias("doi"))
     known = known.groupBy("doi").agg(F.min_by(F.struct("result_id", "other"), "result_id").alias("x"), F.min("other").alias("low"), F.max("other").alias("high"))
     by_doi = p.join(known.where("low <> high OR low IS NOT NULL"), "doi").where("low <> request_id OR high <> request_id").select("request_id", F.lit("doi").alias("stage"), c("x.result_id").alias("hit"), F.lit(1.0).alias("ratio"))
+    by_doi = settle(by_doi)  # read twice below
     titles = _hits(spark, sf, DUPLICATE).groupBy("request_id").agg(F.max_by("search_id", F.struct("ratio", -c("search_id"))).alias("hit"), F.max("ratio").alias("ratio"))
     rest = titles.join(by_doi.select("request_id"), "request_id", "left_anti").select("request_id", F.lit("title").alias("stage"), "hit", F.round("ratio", 6).alias("ratio"))
     return by_doi.unionByName(rest)
