@@ -50,6 +50,14 @@ class Strings:
         return np.ascontiguousarray(np.ascontiguousarray(packed).view(np.uint64).T)
 
 
+def enough_letters(s: Strings, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of a string of ``a`` and one of ``b`` may share the letters that a ratio of ``least`` needs, as a matrix:
+    the letters that two share are the product of their bits, exact in single precision."""
+    half = least / 2 * s.length - s.over
+    spread = lambda at: np.unpackbits(np.ascontiguousarray(s.bits[:, at].T).view(np.uint8), axis=1).astype(np.float32)
+    return spread(a) @ spread(b).T >= np.float32(half[a])[:, None] + (np.float32(least / 2 * s.length[b]) - np.float32(0.01))
+
+
 def shared_letters(s: Strings, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """No fewer than the letters that the pairs share, wherever they stand."""
     n = np.minimum(s.over[a], s.over[b])
@@ -66,18 +74,22 @@ def common_subsequence(s: Strings, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     for words in (1, 2):
         for at in np.array_split(own := np.flatnonzero((s.length[x] > 64) == (words == 2)), len(own) // AT_ONCE + 1):
             if len(at):
-                at = at[np.argsort(-s.length[y[at]], kind="stable")]
+                at = at[np.argsort((LONGEST - s.length[y[at]]).astype(np.uint8), kind="stable")]
                 out[at] = _subsequence(s, x[at], y[at], words)
     return out
 
 
 def _subsequence(s: Strings, x: np.ndarray, y: np.ndarray, words: int) -> np.ndarray:
-    own, x = np.unique(x, return_inverse=True)
-    masks = np.zeros((words, len(own) * 256), np.uint64)
+    place = np.zeros(len(s.length), np.int64)
+    place[x] = 1
+    own = np.flatnonzero(place)
+    place[own] = np.arange(len(own))
+    x = place[x]
+    masks = np.zeros((words, len(own) * s.letters), np.uint64)
     for t in range(min(64 * words, s.table.shape[1])):
         has = np.flatnonzero(s.length[own] > t)
-        masks[t // 64, has * 256 + s.table[own[has], t]] |= np.uint64(1 << t % 64)
-    base, v = x * 256, [np.full(len(x), ~np.uint64(0)) for _ in range(words)]
+        masks[t // 64, has * s.letters + s.table[own[has], t]] |= np.uint64(1 << t % 64)
+    base, v = x * s.letters, [np.full(len(x), ~np.uint64(0)) for _ in range(words)]
     letters = np.ascontiguousarray(s.table[y].T)
     left = np.searchsorted(-s.length[y], -np.arange(s.table.shape[1]), "left")  # y falls in length: how many are longer than t
     for t in range(s.table.shape[1]):

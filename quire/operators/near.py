@@ -21,13 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.blocks import Strings, ratios
+from quire.functions.blocks import Strings, enough_letters, ratios
 from quire.session import settle
 
 c = F.col
 
-#: Titles on a side of a tile, about; pairs, and titles, that a task meets, about; pairs met at once, and cells of words.
-TILE, PAIRS, TITLES, AT_ONCE, CELLS = 1024, 1 << 22, 1 << 17, 1 << 19, 1 << 22
+#: Titles on a side of a tile, about; pairs, and titles, that a task meets, about; pairs of small tiles met at once, and cells
+#: of their words; pairs from which on a tile is met as a matrix, and pairs left of such tiles that are compared at once.
+TILE, PAIRS, TITLES, AT_ONCE, CELLS, MATRIX, LEFT = 1024, 1 << 22, 1 << 17, 1 << 17, 1 << 20, 1 << 12, 1 << 17
 
 
 def _segments(side: str, k: int) -> str:
@@ -72,11 +73,32 @@ def _met(batch: pa.RecordBatch, least: float) -> Iterator[pa.RecordBatch]:
     ids, strings = each.indices.to_numpy(zero_copy_only=False).astype(np.int64), Strings(each.dictionary.to_pylist())
     n, m = (pc.list_value_length(batch.column(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
     x, y = ids[: n.sum()], ids[n.sum() :]
+    for i, j in _new_pairs(sides, n, m, lambda i, j: enough_letters(strings, x[i], y[j], least)):
+        at, value = ratios(strings, x[i], y[j], least)
+        yield pa.record_batch([each.dictionary.take(pa.array(x[i[at]])), each.dictionary.take(pa.array(y[j[at]])), pa.array(value)], ["a", "b", "ratio"])
+
+
+def _new_pairs(sides, n: np.ndarray, m: np.ndarray, enough) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of the tiles, of ``n`` and ``m`` titles, that share no word before the block's; of large tiles only those
+    that ``enough`` leaves."""
+    large = n * m >= MATRIX
+    words = [(_starts(side[1]), side[1].flatten().to_numpy(zero_copy_only=False).astype(np.int64)) for side in sides]
+    left, size = [], 0
+    for k in np.flatnonzero(large):
+        x, y = (slice(int(e[k] - c[k]), int(e[k])) for c, e in ((n, np.cumsum(n)), (m, np.cumsum(m))))
+        i, j = np.nonzero(enough(x, y) & ~_sharing(*(_words_of(*w, at) for w, at in zip(words, (x, y)))))
+        left.append((i + x.start, j + y.start))
+        size += len(i)
+        if size >= LEFT:
+            yield tuple(map(np.concatenate, zip(*left)))
+            left, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*left)))
     (words_x, bits_x), (words_y, bits_y) = (_padded(side[1], pad) for pad, side in enumerate(sides))
-    partners, first = np.repeat(m, n), np.repeat(np.cumsum(m) - m, n)
+    partners, first = np.repeat(np.where(large, 0, m), n), np.repeat(np.cumsum(m) - m, n)
     ends = np.cumsum(partners)
     lo = 0
-    while lo < len(x):
+    while lo < len(partners):
         done = ends[lo] - partners[lo]
         hi = max(lo + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
         i = np.repeat(np.arange(lo, hi), partners[lo:hi])
@@ -85,12 +107,38 @@ def _met(batch: pa.RecordBatch, least: float) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(i), bool)
         for at in np.array_split(both, len(both) * words_x.shape[1] * words_y.shape[1] // CELLS + 1):
             new[at] = ~(words_x[i[at], :, None] == words_y[j[at], None, :]).any(axis=(1, 2))
-        i, j = i[new], j[new]
-        at, value = ratios(strings, x[i], y[j], least)
-        yield pa.record_batch([each.dictionary.take(pa.array(x[i[at]])), each.dictionary.take(pa.array(y[j[at]])), pa.array(value)], ["a", "b", "ratio"])
+        if new.any():
+            yield i[new], j[new]
         lo = hi
 
 
+def _starts(lists: pa.ListArray) -> np.ndarray:
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.concatenate([[0], np.cumsum(size)])
+
+
+def _words_of(starts: np.ndarray, words: np.ndarray, at: slice) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many titles stand at ``at``, their words, and the title that each is of."""
+    size = np.diff(starts[at.start : at.stop + 1])
+    return len(size), words[starts[at.start] : starts[at.stop]], np.repeat(np.arange(len(size)), size)
+
+
+def _sharing(x: tuple[int, np.ndarray, np.ndarray], y: tuple[int, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which titles of ``x`` and ``y`` share a word, as a matrix: word by word, those that hold it on either side."""
+    out = np.zeros((x[0], y[0]), bool)
+    both = np.intersect1d(x[1], y[1])
+    held = []
+    for _, words, owner in (x, y):
+        at = np.searchsorted(both, words)
+        at[at == len(both)] = 0
+        kept = np.flatnonzero(both[at] == words) if len(both) else at[:0]
+        kept = kept[np.argsort(at[kept], kind="stable")]
+        held.append(np.split(owner[kept], np.searchsorted(at[kept], np.arange(1, len(both)))))
+    for i, j in zip(*held) if len(both) else ():
+        out[i[:, None], j] = True
+    return out
+
+
 def _padded(lists: pa.ListArray, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """The words of each title in a row, and as bits of which two titles that share a word share one."""
     size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -61,17 +61,22 @@ def duplicate_probe(spark, sf):
 def staged_search(spark, sf):
     """Three searches for each request: its title with its first author, with its year, alone. Hits of a ratio over 0.8;
     a search with three hits, or one of over 0.9, is the last. ``stage`` is that search, ``hits`` what all up to it found."""
-    first = F.lower(sc.last_name(F.get("p_authors", F.lit(0))))
-    author = (F.coalesce(first, F.lit("")) != "") & F.contains(F.lower(F.array_join("s_authors", " ")), first)
-    hits = _hits(spark, sf, STAGED).where(c("ratio") > STAGED).select("request_id", "search_id", "ratio", F.coalesce(author, F.lit(False)).alias("s1"), F.coalesce(c("p_year") == c("s_year"), F.lit(False)).alias("s2"))
-    n, best = lambda ok: F.count_if(ok), lambda ok: F.max(F.when(ok, c("ratio")))
+    last = F.coalesce(F.lower(sc.last_name(F.get("authors", F.lit(0)))), F.lit(""))
+    p = table(spark, sf, "paper_identifiers").select("request_id", sc.normal_title(c("title")).alias("a"), last.alias("first"), F.coalesce(sc.year_of(c("year")), F.lit(0)).alias("p_year"))
+    s = table(spark, sf, "search_results").select(sc.normal_title(c("title")).alias("b"), F.lower(F.array_join("authors", " ")).alias("theirs"), sc.year_of(c("year")).alias("s_year"))
+    # requests that ask the same have one answer, items that say the same are one with their number
+    asked, held = p.select("a", "first", "p_year").where("a <> ''").distinct(), s.where("b <> ''").groupBy("b", "theirs", "s_year").agg(F.count("*").alias("n"))
+    alike = settle(alike_titles(p.select("a"), s.select("b"), STAGED))
+    hits = asked.join(alike.where(c("ratio") > STAGED), "a").join(held, "b").withColumn("s1", F.coalesce((c("first") != "") & F.contains("theirs", "first"), F.lit(False))).withColumn("s2", F.coalesce(c("p_year") == c("s_year"), F.lit(False)))
+    n, best = lambda ok: F.sum(F.when(ok, c("n")).otherwise(0)), lambda ok: F.max(F.when(ok, c("ratio")))
     each = [c("s1"), c("s2"), F.lit(True)]
-    g = hits.groupBy("request_id").agg(
+    g = hits.groupBy("a", "first", "p_year").agg(
         *(n(ok).alias(f"n{i}") for i, ok in enumerate(each)), *(best(ok).alias(f"m{i}") for i, ok in enumerate(each)), n(c("s1") | c("s2")).alias("n01"), F.round(F.max("ratio"), 6).alias("best")
     )
     stop = lambda i: (c(f"n{i}") >= ENOUGH) | (F.coalesce(f"m{i}", F.lit(0.0)) > SURE)
     stage = F.when(stop(0), 1).when(stop(1), 2).otherwise(3)
-    return g.withColumn("stage", stage).select("request_id", "stage", F.when(c("stage") == 1, c("n0")).when(c("stage") == 2, c("n01")).otherwise(c("n2")).alias("hits"), "best")
+    found = g.select("a", "first", "p_year", stage.alias("stage"), F.when(stage == 1, c("n0")).when(stage == 2, c("n01")).otherwise(c("n2")).alias("hits"), "best")
+    return p.join(found, ["a", "first", "p_year"]).select("request_id", "stage", "hits", "best")
 
 
 _FOLDNAME = "regexp_replace(lower({0}), '[^a-z]', '', 'g')"

@@ -4,6 +4,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.functions import blocks
@@ -108,3 +109,26 @@ def test_staged_search_counts_every_hit_of_a_common_block(spark, tmp_path):
     spark.createDataFrame([(k, f"Parish economies after {name(999 - k)}: notes from the harbour", None, None) for k in range(70)], "search_id long, title string, authors array<string>, year string").write.parquet(f"{tmp_path}/search_results.parquet")
     got = staged_search(spark, str(tmp_path)).collect()
     assert len(got) == 60 and {(r.stage, r.hits) for r in got} == {(3, 70)}
+
+
+def test_matrices_find_what_pairs_find(monkeypatch):
+    """A tile met as a matrix and one met pair by pair give the pairs that share no word before the block's, long titles too."""
+    random.seed(13)
+    make = lambda: {"s": "".join(random.choice("abc ") for _ in range(random.choice((3, 9, 40, 70, 130, 260)))), "before": random.sample(range(9), random.randint(0, 3))}
+    tiles = [([make() for _ in range(random.randint(1, 30))], [make() for _ in range(random.randint(1, 30))]) for _ in range(5)]
+    side = pa.list_(pa.struct([("s", pa.string()), ("before", pa.list_(pa.int64()))]))
+    batch = pa.record_batch([pa.array([t[k] for t in tiles], side) for k in (0, 1)], ["xs", "ys"])
+    want = sorted((x["s"], y["s"], r) for xs, ys in tiles for x in xs for y in ys if not {*x["before"]} & {*y["before"]} and (r := SequenceMatcher(None, x["s"], y["s"]).ratio()) >= 0.6)
+    for matrix in (1, 200, 1 << 40):
+        monkeypatch.setattr(near, "MATRIX", matrix)
+        assert sorted(tuple(r.values()) for b in near._met(batch, 0.6) for r in b.to_pylist()) == want and want
+
+
+def test_staged_search_does_not_multiply_copies(spark, tmp_path):
+    """40,000 requests for a title that 40,000 items have; as rows these are 1,600,000,000 hits."""
+    title = "Parish economies after Kirfol: notes from the harbour"
+    spark.range(40_000).selectExpr("id AS request_id", f"'{title}' AS title", "array('Ann Lee') AS authors", "'1999' AS year").write.parquet(f"{tmp_path}/paper_identifiers.parquet")
+    spark.range(40_000).selectExpr("id AS search_id", f"'{title}' AS title", "if(id % 4 = 0, array('Lee, Ann'), null) AS authors", "if(id % 2 = 0, '1999', null) AS year").write.parquet(f"{tmp_path}/search_results.parquet")
+    began = time.monotonic()
+    got = staged_search(spark, str(tmp_path)).groupBy("stage", "hits", "best").count().collect()
+    assert [tuple(r) for r in got] == [(1, 10_000, 1.0, 40_000)] and time.monotonic() - began < 60
