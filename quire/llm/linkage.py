@@ -142,8 +142,8 @@ def canonical_tokens(counts: DataFrame) -> DataFrame:
     met = keyed.join(best, "cut").where(F.col("best") > F.col("code")).select("code", "best").distinct()
     other = known.select(F.col("code").alias("best"), F.col("kind").alias("k"), F.col("token").alias("t"), F.col("n").alias("m"))
     both = met.join(known, "code").join(other, "best").where(F.col("kind") == F.col("k"))
-    swapped = (F.length("token") == F.length("t")) & (F.array_sort(F.split("token", "")) == F.array_sort(F.split("t", "")))
-    near = ((F.levenshtein("token", "t") <= 1) | swapped) & ((F.col("kind") == 1) | (F.length("token") >= LONG) | (F.col("m") >= OFTEN * F.col("n")))
+    swapped = (F.length("token") == F.length("t")) & (F.sort_array(F.split("token", "")) == F.sort_array(F.split("t", "")))
+    near = ((F.levenshtein("token", "t", 1) >= 0) | swapped) & ((F.col("kind") == 1) | (F.length("token") >= LONG) | (F.col("m") >= OFTEN * F.col("n")))
     up = settle(both.where(near).groupBy("kind", "token").agg(F.max(F.struct("m", "t")).alias("best")).select("kind", "token", F.col("best.t").alias("canonical")))
     for _ in range(2):  # a neighbour's neighbour, up to four steps
         step = up.select("kind", F.col("token").alias("canonical"), F.col("canonical").alias("next"))
@@ -175,12 +175,13 @@ def ranked(reps: DataFrame) -> DataFrame:
     looked = settle(looked)
     if looked.count() <= BROADCAST:
         looked = F.broadcast(looked)
-    found = words.join(looked, ["kind", "token"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "canonical", "weight", "kind", "at"))).alias("w"))
+    # sort_array compares without a function of two arguments, which array_sort calls for each two words
+    of = lambda kind, *what: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct(*what))))
+    found = words.join(looked, ["kind", "token"]).groupBy("rep").agg(of(0, "n", "canonical", "weight", "at").alias("w0"), of(1, "n", "canonical", "at").alias("w1"))
     out = reps.join(found, "rep")
     once = lambda r: F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1).canonical != x.canonical))  # equals stand together
     only = lambda c: F.transform(c, lambda x: x.canonical)
     ends = F.array_distinct(F.concat(F.array(F.size("tokens")), F.filter("ends", lambda e: e > 0)))
-    out = out.withColumn("w0", F.filter("w", lambda x: x.kind == 0)).withColumn("w1", F.filter("w", lambda x: x.kind == 1))
     out = out.withColumn("cuts", F.transform(F.transform(ends, lambda e: F.filter("w0", lambda x: x["at"] < e)), once))
     out = out.withColumn("halves", F.transform("cuts", lambda r: F.aggregate(r, F.lit(0.0), lambda t, x: t + x.weight) / 2))
     nothing = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<string>").alias("out"))

@@ -272,3 +272,15 @@ def test_one_title_of_many_authors_and_years_stays_linear(spark):
 def test_every_query_runs(spark, sf):
     for name, query in llm.QUERIES.items():
         assert query(spark, sf).count() > (-1 if name == "p10_limits" else 0), name  # limits need many texts
+
+
+def test_words_of_a_title_are_ordered_by_the_native_sort(spark):
+    """The rarest first, equal counts by the word; array_sort would call a function in the plan for each two words."""
+    rows = [("a", b"1", ["parish", "zebra", "harbour"], [2], "", 1999, ["lee ann"]), ("b", b"2", ["parish", "harbour", "quarry"], [], "", None, []), ("b", b"3", ["parish"], [], "", 1990, ["lee ann", "roe"])]
+    got = linkage.ranked(spark.createDataFrame(rows, "side string, rep binary, tokens array<string>, ends array<int>, part string, year int, names array<string>"))
+    assert {bytes(r.rep): (r.t, r.first, r.n) for r in got.collect()} == {
+        b"1": (["zebra", "harbour", "parish"], ["zebra"], [["ann", "lee"]]),
+        b"2": (["quarry", "harbour", "parish"], ["quarry"], []),
+        b"3": (["parish"], ["parish"], [["roe"], ["ann", "lee"]]),
+    }
+    assert "array_sort(" not in got._jdf.queryExecution().analyzed().toString()
