@@ -32,13 +32,15 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from quire.llm.encoding import repair
 from quire.llm.leakage import reduce_text
@@ -52,6 +54,8 @@ from quire.session import settle
 KEYS, LONG, OFTEN, YEARS, COMMON, ROUNDS = 3, 9, 3, 2, 0.01, 60
 #: Words of the vocabulary up to which it is sent to all executors, some 20 MB; a larger one is joined by shuffling.
 BROADCAST = 200_000
+#: Numbers that a worker holds at once; of no effect on the result.
+AT_ONCE = 500_000
 
 _UNSEEN = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufff9-\ufffb]+")
 _TAG, _NOTE = re.compile(r"<[^<>]*>"), re.compile(r"\[[^\]]*\]")
@@ -130,16 +134,34 @@ def prepared(df: DataFrame) -> DataFrame:
     return source.mapInArrow(read, "id bigint, rep binary, tokens array<string>, ends array<int>, part string, year int, names array<string>")
 
 
+def _deletions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, cut): hashes of each word (code, kind, token) and of what is left of it without any one of its letters."""
+    codes, cuts = [], []
+    for batch in batches:
+        for code, kind, token in zip(*(batch.column(c).to_pylist() for c in ("code", "kind", "token"))):
+            own = {xxh3_64_intdigest(token, kind), *(xxh3_64_intdigest(token[:i] + token[i + 1 :], kind) for i in range(len(token)))}
+            codes.append(np.full(len(own), code))
+            cuts.extend(own)
+            if len(cuts) >= AT_ONCE:
+                yield _numbers(codes, cuts)
+                codes, cuts = [], []
+    if cuts:
+        yield _numbers(codes, cuts)
+
+
+def _numbers(codes: list[np.ndarray], cuts: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), pa.array(np.array(cuts, np.uint64).view(np.int64))], names=["code", "cut"])
+
+
 def canonical_tokens(counts: DataFrame) -> DataFrame:
     """(kind, token, canonical): the most frequent token of the kind within one edit, followed to its end; ``counts`` is
     (kind, token, n). Words meet by hashed deletions and numbers that order them, so only numbers are sorted; the words
     themselves are then compared."""
     code = F.call_function("shiftleft", F.col("n"), F.lit(32)).bitwiseOR(F.xxhash64("kind", "token").bitwiseAND(F.lit(2**32 - 1)))
     known = settle(counts.where(F.length("token") >= 5).withColumn("code", code))
-    cuts = F.concat(F.array("token"), F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.length("token")))))
-    keyed = known.select("code", F.explode(F.array_distinct(F.transform(cuts, lambda x: F.xxhash64("kind", x)))).alias("cut"))
-    best = keyed.groupBy("cut").agg(F.max("code").alias("best"), F.count("*").alias("rows")).where(F.col("rows") > 1).select("cut", "best")
-    met = keyed.join(best, "cut").where(F.col("best") > F.col("code")).select("code", "best").distinct()
+    keyed = known.select("code", "kind", "token").mapInArrow(_deletions, "code bigint, cut bigint")
+    best = keyed.withColumn("best", F.max("code").over(Window.partitionBy("cut")))  # one shuffle; a block is the words that share a deletion
+    met = best.where(F.col("best") > F.col("code")).select("code", "best").distinct()
     other = known.select(F.col("code").alias("best"), F.col("kind").alias("k"), F.col("token").alias("t"), F.col("n").alias("m"))
     both = met.join(known, "code").join(other, "best").where(F.col("kind") == F.col("k"))
     swapped = (F.length("token") == F.length("t")) & (F.sort_array(F.split("token", "")) == F.sort_array(F.split("t", "")))
@@ -160,7 +182,8 @@ def ranked(reps: DataFrame) -> DataFrame:
     - ``n``, the canonical words of each author, and ``known``, those of all authors that are not common;
     - ``bits``, a set of 64 that holds each token's hash; and a number, ``no``, that holds once the result is written.
 
-    Frequencies are summed over the vocabulary, so the words are joined once, by the word that they have."""
+    Frequencies are summed over the vocabulary, so the words are joined once, by the word that they have: in the worker,
+    without a shuffle, where the vocabulary is small enough to be sent there."""
     each = F.concat(
         F.transform("tokens", lambda x, i: F.struct(F.lit(0).alias("kind"), i.alias("at"), x.alias("token"))),
         F.flatten(F.transform("names", lambda x, i: F.transform(F.split(x, " "), lambda w: F.struct(F.lit(1).alias("kind"), i.alias("at"), w.alias("token"))))),
@@ -170,31 +193,155 @@ def ranked(reps: DataFrame) -> DataFrame:
     counts = settle(words.groupBy("kind", "token").agg(F.count("*").alias("n")))
     named = counts.join(canonical_tokens(counts), ["kind", "token"], "left").withColumn("canonical", F.coalesce("canonical", "token"))
     totals = named.groupBy("kind", "canonical").agg(F.sum("n").alias("n"))
-    weight = F.greatest(F.lit(0.0), F.log(F.lit(float(total)) / F.col("n")))  # the information of a word
-    looked = named.drop("n").join(totals, ["kind", "canonical"]).select("kind", "token", "n", weight.alias("weight"), "canonical")
-    looked = settle(looked)
+    looked = settle(named.drop("n").join(totals, ["kind", "canonical"]).select("kind", "token", "n", "canonical"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema.fields) + ", t array<string>, first array<string>, telling array<string>, rarer array<string>, n array<array<string>>, known array<string>, bits bigint"
     if looked.count() <= BROADCAST:
-        looked = F.broadcast(looked)
-    # sort_array compares without a function of two arguments, which array_sort calls for each two words
-    of = lambda kind, *what: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct(*what))))
-    found = words.join(looked, ["kind", "token"]).groupBy("rep").agg(of(0, "n", "canonical", "weight", "at").alias("w0"), of(1, "n", "canonical", "at").alias("w1"))
-    out = reps.join(found, "rep")
-    once = lambda r: F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1).canonical != x.canonical))  # equals stand together
-    only = lambda c: F.transform(c, lambda x: x.canonical)
-    ends = F.array_distinct(F.concat(F.array(F.size("tokens")), F.filter("ends", lambda e: e > 0)))
-    out = out.withColumn("cuts", F.transform(F.transform(ends, lambda e: F.filter("w0", lambda x: x["at"] < e)), once))
-    out = out.withColumn("halves", F.transform("cuts", lambda r: F.aggregate(r, F.lit(0.0), lambda t, x: t + x.weight) / 2))
-    nothing = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<string>").alias("out"))
-    step = lambda half: lambda t, x: F.struct((t["sum"] + x.weight).alias("sum"), F.when(t["sum"] <= half, F.concat(t["out"], F.array(x.canonical))).otherwise(t["out"]).alias("out"))
-    telling = F.flatten(F.transform("cuts", lambda r, i: F.aggregate(r, nothing, step(F.get("halves", i)), lambda t: t["out"])))
-    first = F.transform("cuts", lambda r: F.get(r, F.lit(0)).canonical)
-    half = F.flatten(F.transform("cuts", lambda r: only(F.slice(r, F.lit(1), F.ceil(F.size(r) / 2).cast("int")))))
-    out = out.withColumn("t", only(F.get("cuts", F.lit(0)))).withColumn("telling", F.array_distinct(telling)).withColumn("first", F.array_distinct(first)).withColumn("rarer", F.array_distinct(half))
-    named = F.transform(F.array_distinct(F.transform("w1", lambda x: x["at"])), lambda i: F.filter("w1", lambda x: x["at"] == i))
-    n = F.transform(named, lambda r: only(once(r)))
-    known = F.array_distinct(F.transform(F.filter("w1", lambda x: x.n <= COMMON * total), lambda x: x.canonical))
-    bits = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
-    return out.select(*reps.columns, "t", "first", "telling", "rarer", n.alias("n"), known.alias("known"), bits.alias("bits"), F.monotonically_increasing_id().alias("no"))
+        table = looked.toArrow()
+        known = reps.sparkSession.sparkContext.broadcast([_vocabulary(table.filter(pc.equal(table["kind"], k))) for k in (0, 1)])
+        out = reps.mapInArrow(lambda batches: _rank(batches, total, known.value), schema)
+    else:
+        of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "n", "canonical"))).alias(f"w{kind}")
+        found = words.join(looked, ["kind", "token"]).groupBy("rep").agg(of(0), of(1))
+        out = reps.join(found, "rep").select(*reps.columns, "w0", "w1").mapInArrow(lambda batches: _rank(batches, total), schema)
+    return out.withColumn("no", F.monotonically_increasing_id())
+
+
+class Words(NamedTuple):
+    """Canonical words in their order and a hash of each; ``token``, ``n``, ``code``: the words that lead to them, how
+    often their canonical ones occur and the numbers of these."""
+
+    words: pa.Array
+    hash: np.ndarray
+    token: pa.Array
+    n: np.ndarray
+    code: np.ndarray
+
+
+def _coded(canonical: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different words in their order, and the number there of each of ``canonical``."""
+    coded = canonical.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.array([xxh3_64_intdigest(w) for w in words.to_pylist()], np.uint64)
+
+
+def _vocabulary(table: pa.Table) -> Words:
+    """Of (token, n, canonical) of one kind."""
+    words, code = _coded(table["canonical"].combine_chunks())
+    return Words(words, _hashes(words), table["token"].combine_chunks(), table["n"].to_numpy(), code)
+
+
+def _sizes(lists: pa.ListArray) -> np.ndarray:
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _lists(row: np.ndarray, values: pa.Array, rows: int) -> pa.ListArray:
+    """The values of each row; ``row`` ascends."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)), values)
+
+
+def _first_of(row: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Where each code is for the first time in its row."""
+    _, first = np.unique(row * (code.max(initial=0) + 1) + code, return_index=True)
+    return np.sort(first)
+
+
+def _rank(batches: Iterator[pa.RecordBatch], total: int, known: list[Words] | None = None) -> Iterator[pa.RecordBatch]:
+    """What ``ranked`` adds, for many representatives at once. ``known``: the vocabulary of titles and of names; without
+    it ``w0`` and ``w1`` hold (at, n, canonical) of the words of each."""
+    for whole in batches:
+        work = np.cumsum(_sizes(whole.column("tokens")) * (_sizes(whole.column("ends")) + 1)) // AT_ONCE
+        for start, end in zip(*(lambda at: (at, [*at[1:], len(work)]))([0, *(np.flatnonzero(np.diff(work)) + 1)] if len(work) else [])):
+            batch = whole.slice(start, end - start)
+            rows, each = len(batch), []
+            names = batch.column("names")
+            for kind in (0, 1):
+                if known is None:
+                    lists = batch.column(f"w{kind}")
+                    at, n, canonical = (lists.flatten().field(c) for c in range(3))
+                    words, code = _coded(canonical)
+                    each.append((np.repeat(np.arange(rows), _sizes(lists)), at.to_numpy(), n.to_numpy(), code, words, _hashes(words)))
+                    continue
+                lists = pc.split_pattern(names.flatten(), " ") if kind else batch.column("tokens")
+                outer = np.repeat(np.arange(rows), _sizes(names)) if kind else np.arange(rows)
+                inner = np.repeat(np.arange(len(lists)), _sizes(lists))
+                found = pc.index_in(lists.flatten(), value_set=known[kind].token).to_numpy(zero_copy_only=False)
+                own = _sizes(names) if kind else _sizes(lists)  # authors or tokens of a row, numbered from 0 in each
+                at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+                each.append((outer[inner], at[inner] if kind else at, known[kind].n[found], known[kind].code[found], known[kind].words, known[kind].hash))
+            columns = {c: x for c, x in zip(batch.schema.names, batch.columns) if c not in ("w0", "w1")} | _title_ranks(rows, batch.column("ends"), total, *each[0]) | _name_ranks(rows, total, *each[1][:5])
+            order = [*columns]
+            order.append(order.pop(order.index("bits")))
+            yield pa.RecordBatch.from_arrays([columns[c] for c in order], names=order)
+
+
+def _title_ranks(rows: int, ends: pa.ListArray, total: int, row: np.ndarray, at: np.ndarray, n: np.ndarray, code: np.ndarray, words: pa.Array, hashes: np.ndarray) -> dict[str, pa.Array]:
+    order = np.lexsort((code, n, row))
+    row, at, n, code = row[order], at[order], n[order], code[order]
+    # a cut of a row is the whole title or what stands before a subtitle
+    end, of = ends.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(rows), _sizes(ends))
+    of, end = np.concatenate([np.arange(rows), of[end > 0]]), np.concatenate([np.bincount(row, minlength=rows), end[end > 0]])
+    order = np.argsort(of, kind="stable")
+    order = order[_first_of(of[order], end[order])]
+    of, end = of[order], end[order]
+    cuts = np.bincount(of, minlength=rows)
+    begin = np.cumsum(cuts) - cuts
+    # each word in all cuts that hold it; equals stand together and count once
+    k = cuts[row]
+    word = np.repeat(np.arange(len(row)), k)
+    cut = begin[row[word]] + np.arange(len(word)) - np.repeat(np.cumsum(k) - k, k)
+    inside = at[word] < end[cut]
+    word, cut = word[inside], cut[inside]
+    order = np.argsort(cut, kind="stable")
+    word, cut = word[order], cut[order]
+    once = np.ones(len(word), bool)
+    once[1:] = (cut[1:] != cut[:-1]) | (code[word[1:]] != code[word[:-1]])
+    word, cut = word[once], cut[once]
+    size = np.bincount(cut, minlength=len(of))
+    start = np.cumsum(size) - size
+    place = np.arange(len(cut)) - start[cut]
+    # the information of the words before each, summed in their order
+    weight = np.maximum(0.0, np.log(total / n[word]))
+    before, some = np.zeros(len(word)), np.flatnonzero(size > 1)
+    for i in range(1, size.max(initial=0)):
+        some = some[size[some] > i]
+        before[start[some] + i] = before[start[some] + i - 1] + weight[start[some] + i - 1]
+    half = np.zeros(len(of))
+    last = (start + size - 1)[size > 0]
+    half[size > 0] = (before[last] + weight[last]) / 2
+    code, row = code[word], of[cut]
+    out, whole = {}, cut == begin[row]
+    for name, chosen in (("t", whole), ("first", place == 0), ("telling", before <= half[cut]), ("rarer", place * 2 < size[cut])):
+        r, c = row[chosen], code[chosen]
+        once = _first_of(r, c)
+        out[name] = _lists(r[once], words.take(pa.array(c[once])), rows)
+    bits = np.zeros(rows, np.uint64)
+    np.bitwise_or.at(bits, row[whole], np.uint64(1) << (hashes[code[whole]] % np.uint64(64)))
+    return out | {"bits": pa.array(bits.view(np.int64))}
+
+
+def _name_ranks(rows: int, total: int, row: np.ndarray, at: np.ndarray, n: np.ndarray, code: np.ndarray, words: pa.Array) -> dict[str, pa.Array]:
+    order = np.lexsort((at, code, n, row))
+    row, at, n, code = row[order], at[order], n[order], code[order]
+    rare = n <= COMMON * total
+    once = np.flatnonzero(rare)[_first_of(row[rare], code[rare])]
+    known = _lists(row[once], words.take(pa.array(code[once])), rows)
+    # authors in the order of their rarest words
+    _, first, author = np.unique(row * (at.max(initial=0) + 1) + at, return_index=True, return_inverse=True)
+    place = np.empty(len(first), np.int64)
+    place[np.argsort(first)] = np.arange(len(first))
+    author = place[author]
+    order = np.argsort(author, kind="stable")
+    author, code = author[order], code[order]
+    once = np.ones(len(code), bool)
+    once[1:] = (author[1:] != author[:-1]) | (code[1:] != code[:-1])
+    each = _lists(author[once], words.take(pa.array(code[once])), len(first))
+    return {"n": _lists(row[np.sort(first)], each, rows), "known": known}
 
 
 def keyed(titles: DataFrame, side: str) -> DataFrame:

@@ -1,7 +1,10 @@
+import collections
 import datetime as dt
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,3 +287,50 @@ def test_words_of_a_title_are_ordered_by_the_native_sort(spark):
         b"3": (["parish"], ["parish"], [["roe"], ["ann", "lee"]]),
     }
     assert "array_sort(" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def _ranks(rows, total):
+    """By the definition, one representative at a time; no two words here are within one edit."""
+    n = collections.Counter((0, w) for r in rows for w in r[2]) + collections.Counter((1, w) for r in rows for a in r[6] for w in a.split(" "))
+    out = {}
+    for _, rep, tokens, ends, _, _, names in rows:
+        first, telling, rarer, whole = [], [], [], None
+        for e in [len(tokens), *(e for e in dict.fromkeys(ends) if 0 < e != len(tokens))]:
+            cut = sorted(set(tokens[:e]), key=lambda w: (n[0, w], w))
+            whole = whole or cut
+            weight = [max(0.0, math.log(total / n[0, w])) for w in cut]
+            first.append(cut[0])
+            telling += [w for i, w in enumerate(cut) if sum(weight[:i]) <= sum(weight) / 2]
+            rarer += cut[: -(-len(cut) // 2)]
+        words = sorted((n[1, w], w, i) for i, a in enumerate(names) for w in a.split(" "))
+        authors = [list(dict.fromkeys(w for _, w, i in words if i == j)) for j in dict.fromkeys(i for _, _, i in words)]
+        known = dict.fromkeys(w for k, w, _ in words if k <= linkage.COMMON * total)
+        out[rep] = (whole, *(list(dict.fromkeys(x)) for x in (first, telling, rarer)), authors, list(known))
+    return out
+
+
+@pytest.mark.parametrize("most", [linkage.BROADCAST, 0])
+def test_words_are_ranked_many_titles_at_once(spark, monkeypatch, most):
+    """With the vocabulary sent to the workers and with words joined to it; no tree of functions in the plan for each word,
+    and where the vocabulary is sent, no shuffle of words."""
+    monkeypatch.setattr(linkage, "BROADCAST", most)
+    monkeypatch.setattr(linkage, "AT_ONCE", 50)  # several parts to a batch
+    random.seed(12)
+    words = ["".join(random.choice("bcdfghklmnprst") + random.choice("aeiou") for _ in range(5)) for _ in range(60)]
+    pick = lambda k: [random.choice(words[: random.choice([3, 20, 60])]) for _ in range(k)]
+    rows = [(random.choice("ab"), f"r{i}".encode(), pick(k := random.randint(1, 9)), [random.randint(0, k) for _ in range(random.choice([0, 1, 3]))], "", None, [" ".join(pick(random.randint(1, 3))) for _ in range(random.choice([0, 1, 4]))]) for i in range(300)]
+    rows += [("a", b"long", [*words, *words], [1, 60, 61], "", 1999, [" ".join(words), "øst"]), ("b", b"odd", ["žal", "zal日本"], [0], "", None, [])]
+    got = linkage.ranked(spark.createDataFrame(rows, "side string, rep binary, tokens array<string>, ends array<int>, part string, year int, names array<string>"))
+    want = _ranks(rows, len(rows))
+    assert {bytes(r.rep): (r.t, r.first, r.n) for r in got.collect()} == {k: (w[0], w[1], w[4]) for k, w in want.items()}
+    assert {bytes(r.rep): (r.telling, r.rarer, r.known) for r in got.collect()} == {k: (w[2], w[3], w[5]) for k, w in want.items()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("lambdafunction(" in plan, "Join" in plan, "collect_list" in plan) == (most == 0,) * 3
+
+
+def test_deletions_are_those_of_each_word():
+    words = ["parish", "aabb", "æøå日本"]
+    batch = pa.RecordBatch.from_pydict({"code": [1, 2, 3], "kind": [0, 1, 0], "token": words})
+    got = [(r["code"], r["cut"]) for b in linkage._deletions(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    assert len(got) == len(set(got)) == 7 + 3 + 6
+    assert not {c for k, c in got if k == 1} & {c for k, c in got if k == 2}
