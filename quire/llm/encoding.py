@@ -142,6 +142,11 @@ def dos_evidence(text: str) -> bool:
     return bool(_CUT.search(text) or _CONTROL.search(text) or _INSIDE.search(text) or _CASE.search(text) or _unpaired(text))
 
 
+#: What a text that ``repair`` changes has: two characters side by side, of which a span could be, or one that a rule of
+#: ``dos_evidence`` needs.
+_DOUBT = re.compile(rf"[^\x00-\x7f]{{2}}|[{_ODD}“”Ã├√╨╬╧\x80-\x9fŠŽŒŸšžœµ�]|[A-ZÀ-Þ]{{2}}[à-ÿ][A-ZÀ-Þ]")
+
+
 def dos_restored(text: str) -> str:
     """``text`` with the symbols of its words decoded; quotation marks in pairs and free-standing dashes stay."""
     out = list(text)
@@ -158,7 +163,7 @@ def dos_restored(text: str) -> str:
 
 def repair(text: str) -> tuple[bool, str, str]:
     """(found, restored text, what was wrong) of one value; found with U+FFFD left means it can't be restored whole."""
-    if text.isascii():
+    if text.isascii() or not _DOUBT.search(text):
         return False, text, ""
     now, wrong = text, []
     for _ in range(ROUNDS):

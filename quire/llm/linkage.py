@@ -177,10 +177,10 @@ def ranked(reps: DataFrame) -> DataFrame:
     """``reps`` (side, rep, tokens, ends, part, year, names) with
 
     - ``t``, the canonical tokens of the title, the rarest first;
-    - ``first``, the rarest of the whole title and of what stands before a subtitle, ``telling``, those that hold half of
-      the information of either, and ``rarer``, the rarer half of either;
-    - ``n``, the canonical words of each author, and ``known``, those of all authors that are not common;
-    - ``bits``, a set of 64 that holds each token's hash; and a number, ``no``, that holds once the result is written.
+    - ``first``, the rarest of the whole title and of what stands before a subtitle;
+    - ``n``, the canonical words of each author;
+    - ``bits``, a set of 64 that holds each token's hash, and ``keys``, the hashes by which it meets the other side's (see
+      ``_keys``); and a number, ``no``, that holds once the result is written.
 
     Frequencies are summed over the vocabulary, so the words are joined once, by the word that they have: in the worker,
     without a shuffle, where the vocabulary is small enough to be sent there."""
@@ -189,26 +189,33 @@ def ranked(reps: DataFrame) -> DataFrame:
         F.flatten(F.transform("names", lambda x, i: F.transform(F.split(x, " "), lambda w: F.struct(F.lit(1).alias("kind"), i.alias("at"), w.alias("token"))))),
     )
     total = max(1, reps.count())
-    words = reps.select("rep", F.inline(each))
-    counts = settle(words.groupBy("kind", "token").agg(F.count("*").alias("n")))
+    counts = settle(reps.select("tokens", "names").mapInArrow(_counted, "kind int, token string, n bigint").groupBy("kind", "token").agg(F.sum("n").alias("n")))
     named = counts.join(canonical_tokens(counts), ["kind", "token"], "left").withColumn("canonical", F.coalesce("canonical", "token"))
     totals = named.groupBy("kind", "canonical").agg(F.sum("n").alias("n"))
     looked = settle(named.drop("n").join(totals, ["kind", "canonical"]).select("kind", "token", "n", "canonical"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema.fields) + ", t array<string>, first array<string>, telling array<string>, rarer array<string>, n array<array<string>>, known array<string>, bits bigint"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema.fields) + ", t array<string>, first array<string>, n array<array<string>>, bits bigint, keys array<bigint>"
     if looked.count() <= BROADCAST:
         table = looked.toArrow()
         known = reps.sparkSession.sparkContext.broadcast([_vocabulary(table.filter(pc.equal(table["kind"], k))) for k in (0, 1)])
         out = reps.mapInArrow(lambda batches: _rank(batches, total, known.value), schema)
     else:
         of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "n", "canonical"))).alias(f"w{kind}")
-        found = words.join(looked, ["kind", "token"]).groupBy("rep").agg(of(0), of(1))
+        found = reps.select("rep", F.inline(each)).join(looked, ["kind", "token"]).groupBy("rep").agg(of(0), of(1))
         out = reps.join(found, "rep").select(*reps.columns, "w0", "w1").mapInArrow(lambda batches: _rank(batches, total), schema)
     return out.withColumn("no", F.monotonically_increasing_id())
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, token, n): how often each batch has the words of titles, kind 0, and of names, kind 1."""
+    for batch in batches:
+        for kind, words in enumerate((batch.column("tokens").flatten(), pc.split_pattern(batch.column("names").flatten(), " ").flatten())):
+            counts = words.value_counts()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), kind, np.int32)), *counts.flatten()], names=["kind", "token", "n"])
+
+
 class Words(NamedTuple):
-    """Canonical words in their order and a hash of each; ``token``, ``n``, ``code``: the words that lead to them, how
-    often their canonical ones occur and the numbers of these."""
+    """Canonical words in their order; ``hash``: of each, of its first and of its last three letters; ``token``, ``n``,
+    ``code``: the words that lead to them, how often their canonical ones occur and the numbers of these."""
 
     words: pa.Array
     hash: np.ndarray
@@ -227,7 +234,7 @@ def _coded(canonical: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
-    return np.array([xxh3_64_intdigest(w) for w in words.to_pylist()], np.uint64)
+    return np.array([(xxh3_64_intdigest(w), xxh3_64_intdigest("<" + w[:3]), xxh3_64_intdigest(">" + w[-3:])) for w in words.to_pylist()], np.uint64).reshape(-1, 3)
 
 
 def _vocabulary(table: pa.Table) -> Words:
@@ -255,7 +262,7 @@ def _rank(batches: Iterator[pa.RecordBatch], total: int, known: list[Words] | No
     """What ``ranked`` adds, for many representatives at once. ``known``: the vocabulary of titles and of names; without
     it ``w0`` and ``w1`` hold (at, n, canonical) of the words of each."""
     for whole in batches:
-        work = np.cumsum(_sizes(whole.column("tokens")) * (_sizes(whole.column("ends")) + 1)) // AT_ONCE
+        work = np.cumsum(_sizes(whole.column("tokens")) * (_sizes(whole.column("ends")) + _sizes(whole.column("names")) + 1)) // AT_ONCE
         for start, end in zip(*(lambda at: (at, [*at[1:], len(work)]))([0, *(np.flatnonzero(np.diff(work)) + 1)] if len(work) else [])):
             batch = whole.slice(start, end - start)
             rows, each = len(batch), []
@@ -274,13 +281,21 @@ def _rank(batches: Iterator[pa.RecordBatch], total: int, known: list[Words] | No
                 own = _sizes(names) if kind else _sizes(lists)  # authors or tokens of a row, numbered from 0 in each
                 at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
                 each.append((outer[inner], at[inner] if kind else at, known[kind].n[found], known[kind].code[found], known[kind].words, known[kind].hash))
-            columns = {c: x for c, x in zip(batch.schema.names, batch.columns) if c not in ("w0", "w1")} | _title_ranks(rows, batch.column("ends"), total, *each[0]) | _name_ranks(rows, total, *each[1][:5])
-            order = [*columns]
-            order.append(order.pop(order.index("bits")))
-            yield pa.RecordBatch.from_arrays([columns[c] for c in order], names=order)
+            titles, chosen = _title_ranks(rows, batch.column("ends"), total, *each[0])
+            n, who = _name_ranks(rows, total, *each[1])
+            keys = _keys(rows, pc.equal(batch.column("side"), "a").to_numpy(zero_copy_only=False), chosen, *who)
+            columns = {c: x for c, x in zip(batch.schema.names, batch.columns) if c not in ("w0", "w1")}
+            columns |= {"t": titles["t"], "first": titles["first"], "n": n, "bits": titles["bits"], "keys": keys}
+            yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
+
 
+Chosen = tuple[np.ndarray, np.ndarray]
 
-def _title_ranks(rows: int, ends: pa.ListArray, total: int, row: np.ndarray, at: np.ndarray, n: np.ndarray, code: np.ndarray, words: pa.Array, hashes: np.ndarray) -> dict[str, pa.Array]:
+
+def _title_ranks(rows: int, ends: pa.ListArray, total: int, row: np.ndarray, at: np.ndarray, n: np.ndarray, code: np.ndarray, words: pa.Array, hashes: np.ndarray) -> tuple[dict[str, pa.Array], dict[str, Chosen]]:
+    """The columns of titles; and (row, hash) of their rarest words, ``first``, of those that hold half of the information of
+    the whole title or of what stands before a subtitle, ``telling``, ``rest`` without ``first``, and of the rarer half of
+    either, ``rarer``."""
     order = np.lexsort((code, n, row))
     row, at, n, code = row[order], at[order], n[order], code[order]
     # a cut of a row is the whole title or what stands before a subtitle
@@ -315,22 +330,33 @@ def _title_ranks(rows: int, ends: pa.ListArray, total: int, row: np.ndarray, at:
     last = (start + size - 1)[size > 0]
     half[size > 0] = (before[last] + weight[last]) / 2
     code, row = code[word], of[cut]
-    out, whole = {}, cut == begin[row]
+    out, hashed, number, whole = {}, {}, {}, cut == begin[row]
     for name, chosen in (("t", whole), ("first", place == 0), ("telling", before <= half[cut]), ("rarer", place * 2 < size[cut])):
         r, c = row[chosen], code[chosen]
         once = _first_of(r, c)
-        out[name] = _lists(r[once], words.take(pa.array(c[once])), rows)
+        r, c = r[once], c[once]
+        hashed[name], number[name] = (r, hashes[c, 0]), r * len(words) + c
+        if name in ("t", "first"):
+            out[name] = _lists(r, words.take(pa.array(c)), rows)
+    rest = ~np.isin(number["telling"], number["first"])
+    hashed["rest"] = tuple(x[rest] for x in hashed["telling"])
     bits = np.zeros(rows, np.uint64)
-    np.bitwise_or.at(bits, row[whole], np.uint64(1) << (hashes[code[whole]] % np.uint64(64)))
-    return out | {"bits": pa.array(bits.view(np.int64))}
+    np.bitwise_or.at(bits, row[whole], np.uint64(1) << (hashes[code[whole], 0] % np.uint64(64)))
+    return out | {"bits": pa.array(bits.view(np.int64))}, hashed
 
 
-def _name_ranks(rows: int, total: int, row: np.ndarray, at: np.ndarray, n: np.ndarray, code: np.ndarray, words: pa.Array) -> dict[str, pa.Array]:
+def _name_ranks(rows: int, total: int, row: np.ndarray, at: np.ndarray, n: np.ndarray, code: np.ndarray, words: pa.Array, hashes: np.ndarray) -> tuple[pa.ListArray, tuple[Chosen, Chosen]]:
+    """The words of each author; and (row, hash) of those that are not common and of their beginnings and ends."""
     order = np.lexsort((at, code, n, row))
     row, at, n, code = row[order], at[order], n[order], code[order]
     rare = n <= COMMON * total
     once = np.flatnonzero(rare)[_first_of(row[rare], code[rare])]
-    known = _lists(row[once], words.take(pa.array(code[once])), rows)
+    known = row[once], hashes[code[once], 0]
+    of, affix = np.repeat(row[once], 2), hashes[code[once], 1:].ravel()
+    order = np.lexsort((affix, of))
+    of, affix = of[order], affix[order]
+    once = np.ones(len(of), bool)
+    once[1:] = (of[1:] != of[:-1]) | (affix[1:] != affix[:-1])
     # authors in the order of their rarest words
     _, first, author = np.unique(row * (at.max(initial=0) + 1) + at, return_index=True, return_inverse=True)
     place = np.empty(len(first), np.int64)
@@ -338,34 +364,54 @@ def _name_ranks(rows: int, total: int, row: np.ndarray, at: np.ndarray, n: np.nd
     author = place[author]
     order = np.argsort(author, kind="stable")
     author, code = author[order], code[order]
-    once = np.ones(len(code), bool)
-    once[1:] = (author[1:] != author[:-1]) | (code[1:] != code[:-1])
-    each = _lists(author[once], words.take(pa.array(code[once])), len(first))
-    return {"n": _lists(row[np.sort(first)], each, rows), "known": known}
+    new = np.ones(len(code), bool)
+    new[1:] = (author[1:] != author[:-1]) | (code[1:] != code[:-1])
+    each = _lists(author[new], words.take(pa.array(code[new])), len(first))
+    return _lists(row[np.sort(first)], each, rows), (known, (of[once], affix[once]))
+
+
+def _both(rows: int, p: Chosen, q: Chosen) -> Chosen:
+    """Hashes of each of p with each of q of its row; the rows of both ascend."""
+    count = np.bincount(q[0], minlength=rows)
+    k = count[p[0]]
+    i = np.repeat(np.arange(len(k)), k)
+    j = (np.cumsum(count) - count)[p[0][i]] + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+    return p[0][i], p[1][i] * np.uint64(0x9E3779B97F4A7C15) + q[1][j] * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _joined(*parts: Chosen) -> Chosen:
+    row, value = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(row, kind="stable")
+    return row[order], value[order]
+
+
+def _keys(rows: int, a: np.ndarray, titles: dict[str, Chosen], known: Chosen, affixes: Chosen) -> pa.ListArray:
+    """The hashes by which the representatives of one side meet those of the other; ``a``: which are of side a.
+
+    Way 0: the rarest token of a's is among b's telling ones; 1: b's among a's, without those of way 0; both with how a name
+    begins or ends. 2: the rarer tokens, with a word of a name; the last bit of these is 1, of others 0. Where one lacks
+    authors, the other side's representatives meet it by the sign for that: both sides have the sign for a lack of the other
+    side, and their own where they lack them themselves."""
+    nobody = np.bincount(known[0], minlength=rows) == 0
+    sign = lambda which, text: (at := np.flatnonzero(which), np.full(len(at), xxh3_64_intdigest(text), np.uint64))
+    who = _joined(affixes, sign(nobody & a | ~nobody & ~a, "\x1fna"), sign(a | nobody, "\x1fnb"))
+    words = _joined(known, sign(nobody, "\x1fn"))
+    of = lambda x, which: (x[0][which[x[0]]], x[1][which[x[0]]])
+    way0 = _joined(of(titles["first"], a), of(titles["telling"], ~a))
+    way1 = _joined(of(titles["rest"], a), of(titles["first"], ~a))
+    one = np.uint64(1)
+    parts = []
+    for way, (tokens, people) in enumerate(((way0, who), (way1, who), (titles["rarer"], words))):
+        row, key = _both(rows, tokens, people)
+        key = (key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(way << 1)
+        parts.append((row, key | one if way == 2 else key & ~one))
+    row, key = _joined(*parts)
+    return _lists(row, pa.array(key.view(np.int64)), rows)
 
 
 def keyed(titles: DataFrame, side: str) -> DataFrame:
-    """(side, side_year, side_bits, side_size, most, key): the hashes by which the representatives of one side, 'a' or 'b',
-    meet those of the other.
-
-    Where one lacks authors, the other side's representatives meet it by the sign for that: both sides have the sign for
-    a lack of the other side, and their own where they lack them themselves."""
-    own, other = ("a", "b") if side == "a" else ("b", "a")
-    lack = lambda s, what: F.lit(f"\x1f{what}{s}")
-    nobody = F.size("known") == 0
-    affixes = F.flatten(F.transform("known", lambda w: F.array(F.concat(F.lit("<"), F.substring(w, 1, 3)), F.concat(F.lit(">"), F.substring(w, -3, 3)))))
-    lacking = F.array(lack(own, "n"), lack(other, "n")) if side == "a" else F.array(lack(own, "n"))
-    who = F.when(nobody, lacking).otherwise(F.concat(F.array_distinct(affixes), F.array(lack(other, "n"))))
-    words = F.when(nobody, F.array(F.lit("\x1fn"))).otherwise(F.col("known"))
-    of = titles.where(F.col("side") == side).select(
-        F.col("no").alias(side), F.col("year").alias(f"{side}_year"), F.col("bits").alias(f"{side}_bits"), F.size("t").alias(f"{side}_size"), "first", "telling", "rarer", who.alias("who"), words.alias("words")
-    )
-    # way 0: the rarest token of a's among b's telling ones; 1: of b's among a's, without those of way 0; 2: most tokens
-    tokens = {0: F.col("first"), 1: F.array_except("telling", "first"), 2: F.col("rarer")} if side == "a" else {0: F.col("telling"), 1: F.col("first"), 2: F.col("rarer")}
-    hashed = lambda way: F.array_distinct(F.flatten(F.transform(tokens[way], lambda t: F.transform("words" if way == 2 else "who", lambda w: F.xxhash64(t, w, F.lit(way))))))
-    marked = lambda way: F.transform(hashed(way), lambda k: F.struct(F.lit(way == 2).alias("most"), k.alias("key")))
-    keys = F.concat(*map(marked, tokens))
-    return of.select(side, f"{side}_year", f"{side}_bits", f"{side}_size", F.inline(keys))
+    """(side, side_year, side_bits, side_size, key) of the representatives of one side, 'a' or 'b'."""
+    return titles.where(F.col("side") == side).select(F.col("no").alias(side), F.col("year").alias(f"{side}_year"), F.col("bits").alias(f"{side}_bits"), F.size("t").alias(f"{side}_size"), F.explode("keys").alias("key"))
 
 
 def candidates(titles: DataFrame) -> DataFrame:
@@ -375,19 +421,23 @@ def candidates(titles: DataFrame) -> DataFrame:
     close = F.coalesce(F.abs(F.col("a_year") - F.col("b_year")) <= YEARS, F.lit(True))
     missing = lambda p, q: F.bit_count(F.col(f"{p}_bits").bitwiseAND(F.bitwise_not(F.col(f"{q}_bits")))) * 2 < F.col(f"{p}_size")
     most = F.when(F.col("a_size") <= F.col("b_size"), missing("a", "b")).otherwise(missing("b", "a"))
-    met = keyed(titles, "a").join(keyed(titles, "b").drop("most"), "key").where(close & (~F.col("most") | most))
+    by_most = F.col("key").bitwiseAND(1) == 1
+    met = keyed(titles, "a").join(keyed(titles, "b"), "key").where(close & (~by_most | most))
     return met.select("a", "b").distinct()
 
 
-def rarity(p: Column, q: Column) -> Column:
-    """1 where the rarest token of one title is among the rarest of the other, else 0 where the tokens that they do not
-    share look damaged and -1 where not."""
+def rarest(p: Column, q: Column) -> Column:
+    """Whether the rarest token of one title is among the rarest of the other."""
     first = lambda u, v: F.array_contains(F.slice(u, 1, KEYS), F.get(v, F.lit(0)))
+    return first(p, q) | first(q, p)
+
+
+def damaged(p: Column, q: Column) -> Column:
+    """Whether the tokens that two titles do not share look damaged."""
     like = lambda u, v: F.levenshtein(u, v) * 3 <= F.greatest(F.length(u), F.length(v))
-    damaged = lambda few, many: F.forall(few, lambda u: F.exists(many, lambda v: like(u, v)))
+    all_like = lambda few, many: F.forall(few, lambda u: F.exists(many, lambda v: like(u, v)))
     r, s = F.array_except(p, q), F.array_except(q, p)
-    rest = F.when(F.size(r) <= F.size(s), damaged(r, s)).otherwise(damaged(s, r))
-    return F.when(first(p, q) | first(q, p), 1).when(rest, 0).otherwise(-1)
+    return F.when(F.size(r) <= F.size(s), all_like(r, s)).otherwise(all_like(s, r))
 
 
 FUNCTIONS = ("main", "tokens", "letters", "year", "names", "part", "end", "words", "rare")
@@ -419,7 +469,8 @@ def _grams(text: str) -> set[str]:
 
 
 def votes(a: dict, b: dict, rare: int) -> list[int]:
-    """1, -1 or 0 of each of FUNCTIONS for two representatives; ``rare`` as of ``rarity``."""
+    """1, -1 or 0 of each of FUNCTIONS for two representatives; ``rare`` is 1 where the rarest token of one is among the
+    rarest of the other, else 0."""
     x, y = a["tokens"], b["tokens"]
     bare = len(x) < len(y) and len(x) in b["ends"] or len(y) < len(x) and len(y) in a["ends"]  # one has no subtitle
     least = min(len(x), len(y))
@@ -528,7 +579,9 @@ def matched(a: DataFrame, b: DataFrame) -> DataFrame:
     side = {s: titles.where(F.col("side") == s).select(F.col("no").alias(s), flat.alias(f"x_{s}"), F.col("year").alias(f"year_{s}"), F.col("part").alias(f"part_{s}"), F.col("t").alias(f"t_{s}")) for s in "ab"}
     pairs = candidates(titles).join(side["a"], "a").join(side["b"], "b")
     most = F.size(F.array_intersect("t_a", "t_b")) * 2 > F.least(F.size("t_a"), F.size("t_b"))
-    pairs = pairs.withColumn("rare", rarity(F.col("t_a"), F.col("t_b"))).where((F.col("rare") > 0) | most & (F.col("rare") == 0))
+    rare = rarest(F.col("t_a"), F.col("t_b"))
+    # in this order, so that each is asked for once, and letters are compared only where nothing else decides
+    pairs = pairs.where(rare | most & damaged(F.col("t_a"), F.col("t_b"))).withColumn("rare", rare.cast("int"))
     far = F.abs(F.col("year_a") - F.col("year_b")) > YEARS
     other = F.coalesce(far, F.lit(False)) | (F.col("part_a") != F.col("part_b"))
 
