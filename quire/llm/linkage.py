@@ -179,8 +179,8 @@ def ranked(reps: DataFrame) -> DataFrame:
     - ``t``, the canonical tokens of the title, the rarest first;
     - ``first``, the rarest of the whole title and of what stands before a subtitle;
     - ``n``, the canonical words of each author;
-    - ``bits``, a set of 64 that holds each token's hash, and ``keys``, the hashes by which it meets the other side's (see
-      ``_keys``); and a number, ``no``, that holds once the result is written.
+    - ``bits``, a set of 64 that holds each token's hash; ``telling`` and ``who``, ``rarer`` and ``words``, the hashes by which
+      it meets the other side's (see ``_keys``); and a number, ``no``, that holds once the result is written.
 
     Frequencies are summed over the vocabulary, so the words are joined once, by the word that they have: in the worker,
     without a shuffle, where the vocabulary is small enough to be sent there."""
@@ -193,7 +193,7 @@ def ranked(reps: DataFrame) -> DataFrame:
     named = counts.join(canonical_tokens(counts), ["kind", "token"], "left").withColumn("canonical", F.coalesce("canonical", "token"))
     totals = named.groupBy("kind", "canonical").agg(F.sum("n").alias("n"))
     looked = settle(named.drop("n").join(totals, ["kind", "canonical"]).select("kind", "token", "n", "canonical"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema.fields) + ", t array<string>, first array<string>, n array<array<string>>, bits bigint, keys array<bigint>"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema.fields) + ", t array<string>, first array<string>, n array<array<string>>, bits bigint, telling array<bigint>, who array<bigint>, rarer array<bigint>, words array<bigint>"
     if looked.count() <= BROADCAST:
         table = looked.toArrow()
         known = reps.sparkSession.sparkContext.broadcast([_vocabulary(table.filter(pc.equal(table["kind"], k))) for k in (0, 1)])
@@ -285,7 +285,7 @@ def _rank(batches: Iterator[pa.RecordBatch], total: int, known: list[Words] | No
             n, who = _name_ranks(rows, total, *each[1])
             keys = _keys(rows, pc.equal(batch.column("side"), "a").to_numpy(zero_copy_only=False), chosen, *who)
             columns = {c: x for c, x in zip(batch.schema.names, batch.columns) if c not in ("w0", "w1")}
-            columns |= {"t": titles["t"], "first": titles["first"], "n": n, "bits": titles["bits"], "keys": keys}
+            columns |= {"t": titles["t"], "first": titles["first"], "n": n, "bits": titles["bits"]} | keys
             yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
 
@@ -370,23 +370,15 @@ def _name_ranks(rows: int, total: int, row: np.ndarray, at: np.ndarray, n: np.nd
     return _lists(row[np.sort(first)], each, rows), (known, (of[once], affix[once]))
 
 
-def _both(rows: int, p: Chosen, q: Chosen) -> Chosen:
-    """Hashes of each of p with each of q of its row; the rows of both ascend."""
-    count = np.bincount(q[0], minlength=rows)
-    k = count[p[0]]
-    i = np.repeat(np.arange(len(k)), k)
-    j = (np.cumsum(count) - count)[p[0][i]] + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
-    return p[0][i], p[1][i] * np.uint64(0x9E3779B97F4A7C15) + q[1][j] * np.uint64(0xC2B2AE3D27D4EB4F)
-
-
 def _joined(*parts: Chosen) -> Chosen:
     row, value = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(row, kind="stable")
     return row[order], value[order]
 
 
-def _keys(rows: int, a: np.ndarray, titles: dict[str, Chosen], known: Chosen, affixes: Chosen) -> pa.ListArray:
-    """The hashes by which the representatives of one side meet those of the other; ``a``: which are of side a.
+def _keys(rows: int, a: np.ndarray, titles: dict[str, Chosen], known: Chosen, affixes: Chosen) -> dict[str, pa.ListArray]:
+    """The hashes by which the representatives of one side meet those of the other; ``a``: which are of side a. A key is one of
+    ``telling`` with one of ``who`` or one of ``rarer`` with one of ``words``.
 
     Way 0: the rarest token of a's is among b's telling ones; 1: b's among a's, without those of way 0; both with how a name
     begins or ends. 2: the rarer tokens, with a word of a name; the last bit of these is 1, of others 0. Where one lacks
@@ -394,24 +386,24 @@ def _keys(rows: int, a: np.ndarray, titles: dict[str, Chosen], known: Chosen, af
     side, and their own where they lack them themselves."""
     nobody = np.bincount(known[0], minlength=rows) == 0
     sign = lambda which, text: (at := np.flatnonzero(which), np.full(len(at), xxh3_64_intdigest(text), np.uint64))
-    who = _joined(affixes, sign(nobody & a | ~nobody & ~a, "\x1fna"), sign(a | nobody, "\x1fnb"))
-    words = _joined(known, sign(nobody, "\x1fn"))
     of = lambda x, which: (x[0][which[x[0]]], x[1][which[x[0]]])
-    way0 = _joined(of(titles["first"], a), of(titles["telling"], ~a))
-    way1 = _joined(of(titles["rest"], a), of(titles["first"], ~a))
-    one = np.uint64(1)
-    parts = []
-    for way, (tokens, people) in enumerate(((way0, who), (way1, who), (titles["rarer"], words))):
-        row, key = _both(rows, tokens, people)
-        key = (key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(way << 1)
-        parts.append((row, key | one if way == 2 else key & ~one))
-    row, key = _joined(*parts)
-    return _lists(row, pa.array(key.view(np.int64)), rows)
+    mixed = lambda x, way: (x[0], (x[1] ^ x[1] >> np.uint64(31)) * np.uint64((0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)[way]) & ~np.uint64(1) | np.uint64(way == 2))
+    even = lambda x: (x[0], x[1] & ~np.uint64(1))
+    parts = {
+        "telling": _joined(*(mixed(of(titles[t], which), way) for t, which, way in (("first", a, 0), ("telling", ~a, 0), ("rest", a, 1), ("first", ~a, 1)))),
+        "who": even(_joined(affixes, sign(nobody & a | ~nobody & ~a, "\x1fna"), sign(a | nobody, "\x1fnb"))),
+        "rarer": mixed(titles["rarer"], 2),
+        "words": even(_joined(known, sign(nobody, "\x1fn"))),
+    }
+    return {c: _lists(row, pa.array(value.view(np.int64)), rows) for c, (row, value) in parts.items()}
 
 
 def keyed(titles: DataFrame, side: str) -> DataFrame:
     """(side, side_year, side_bits, side_size, key) of the representatives of one side, 'a' or 'b'."""
-    return titles.where(F.col("side") == side).select(F.col("no").alias(side), F.col("year").alias(f"{side}_year"), F.col("bits").alias(f"{side}_bits"), F.size("t").alias(f"{side}_size"), F.explode("keys").alias("key"))
+    own = [F.col("no").alias(side), F.col("year").alias(f"{side}_year"), F.col("bits").alias(f"{side}_bits"), F.size("t").alias(f"{side}_size")]
+    of = titles.where(F.col("side") == side)
+    met = lambda tokens, people: of.select(*own, F.explode(tokens).alias("token"), people).withColumn("person", F.explode(people)).drop(people)
+    return met("telling", "who").unionByName(met("rarer", "words")).withColumn("key", F.col("token").bitwiseXOR(F.col("person"))).drop("token", "person")
 
 
 def candidates(titles: DataFrame) -> DataFrame:
@@ -574,9 +566,10 @@ def matched(a: DataFrame, b: DataFrame) -> DataFrame:
     rows = {s: settle(prepared(df)) for s, df in (("a", a), ("b", b))}
     content = ["tokens", "ends", "part", "year", "names"]
     one = [df.groupBy("rep").agg(*(F.any_value(c).alias(c) for c in content)).withColumn("side", F.lit(s)) for s, df in rows.items()]
-    titles = settle(ranked(settle(one[0].unionByName(one[1]))))
     flat = F.concat_ws("\x1f", F.array_join("tokens", " "), F.array_join(F.col("ends").cast("array<string>"), " "), "part", F.coalesce(F.col("year").cast("string"), F.lit("")), F.array_join(F.transform("n", lambda w: F.array_join(F.slice(w, 1, 2), " ")), ","))
-    side = {s: titles.where(F.col("side") == s).select(F.col("no").alias(s), flat.alias(f"x_{s}"), F.col("year").alias(f"year_{s}"), F.col("part").alias(f"part_{s}"), F.col("t").alias(f"t_{s}")) for s in "ab"}
+    titles = ranked(settle(one[0].unionByName(one[1])))
+    titles = settle(titles.select("no", "side", "rep", "year", "part", "t", "bits", "telling", "who", "rarer", "words", flat.alias("flat")))
+    side = {s: titles.where(F.col("side") == s).select(F.col("no").alias(s), F.col("flat").alias(f"x_{s}"), F.col("year").alias(f"year_{s}"), F.col("part").alias(f"part_{s}"), F.col("t").alias(f"t_{s}")) for s in "ab"}
     pairs = candidates(titles).join(side["a"], "a").join(side["b"], "b")
     most = F.size(F.array_intersect("t_a", "t_b")) * 2 > F.least(F.size("t_a"), F.size("t_b"))
     rare = rarest(F.col("t_a"), F.col("t_b"))

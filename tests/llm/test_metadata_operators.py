@@ -323,8 +323,9 @@ def test_words_are_ranked_many_titles_at_once(spark, monkeypatch, most):
     got = linkage.ranked(spark.createDataFrame(rows, "side string, rep binary, tokens array<string>, ends array<int>, part string, year int, names array<string>"))
     want = _ranks(rows, len(rows))
     assert {bytes(r.rep): (r.t, r.first, r.n) for r in got.collect()} == {k: (w[0], w[1], w[4]) for k, w in want.items()}
-    keys, met = {bytes(r.rep): set(r.keys) for r in got.collect()}, lambda x, y: set(x) & set(y) != set()
-    assert all(len(r.keys) == len(set(r.keys)) for r in got.collect())
+    every = {bytes(r.rep): [t ^ w for one, all_ in ((r.telling, r.who), (r.rarer, r.words)) for t in one for w in all_] for r in got.collect()}
+    assert all(len(k) == len(set(k)) for k in every.values())
+    keys, met = {k: set(v) for k, v in every.items()}, lambda x, y: set(x) & set(y) != set()
     who = {k: {e for x in w[5] for e in ("<" + x[:3], ">" + x[-3:])} for k, w in want.items()}
     for p in (r[1] for r in rows[:80] if r[0] == "a"):
         for q in (r[1] for r in rows if r[0] == "b"):
