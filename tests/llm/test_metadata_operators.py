@@ -2,6 +2,7 @@ import collections
 import datetime as dt
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,18 @@ def test_plain_text_is_left_alone(text):
     assert encoding.repair(text) == (False, text, "")
 
 
+def test_texts_that_are_not_searched_are_plain(monkeypatch):
+    """``repair`` finds the same where every text is searched."""
+    random.seed(13)
+    letters = [*map(chr, range(32, 384)), *"├√╨╬╧“”„‚‘’–—…ˆƒ†‡‰•‹›€™\ufffdабв日本ｅ", *"abcABC  " * 20]
+    texts = ["".join(random.choices(letters, k=random.randint(1, 12))) for _ in range(5000)]
+    texts += [x for p in PLAIN for x in (p, p.encode().decode("cp1252", "ignore"), p.upper(), p.encode().decode("mac_roman"))]
+    got = [encoding.repair(x) for x in texts]
+    assert 500 < sum(not encoding._DOUBT.search(x) for x in texts if not x.isascii())
+    monkeypatch.setattr(encoding, "_DOUBT", re.compile(""))
+    assert got == [encoding.repair(x) for x in texts]
+
+
 def test_lost_and_nulls(spark):
     rows = [(1, "Sm�rg", ["Ã…se", None, "ok"], 0), (2, None, None, 0), (3, "ok", [], 0), (4, "", ["x"], 0), (1, "Sm�rg", ["a"], 0)]
     df = spark.createDataFrame(rows, "result_id long, title string, authors array<string>, original int")
