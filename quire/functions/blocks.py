@@ -1,20 +1,24 @@
 """Ratios of matching blocks of many pairs of strings at once, by numpy: upper bounds that no ratio exceeds, then the ratio itself.
 
 The ratio is difflib's, to the letter: the longest matching block, the first in ``a`` and then in ``b`` among equals, and
-the same to its left and right. Pairs are bounded first by the letters they share, then by their longest common
-subsequence (64 letters a machine word). Strings too long for bytes and words, or for which difflib leaves out popular
-letters (200 and more), are compared by difflib itself.
+the same to its left and right. Pairs are bounded first by the letters they share, then by the pairs of neighbouring
+letters, then by their longest common subsequence (64 letters a machine word). Strings for which difflib leaves out popular
+letters (200 and more) are compared by difflib itself, after the same bounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import cached_property
 
 import numpy as np
 
 #: Longest string for the arrays of bytes; pairs compared at once, by subsequences and by blocks; classes that letters are
 #: counted in, and the count of one up to which each has its bit.
-LONGEST, AT_ONCE, COLUMNS, CLASSES, MOST = 126, 1 << 14, 1 << 12, 64, 32
+LONGEST, AT_ONCE, COLUMNS, CLASSES, MOST = 199, 1 << 14, 1 << 12, 64, 32
+#: Bits of neighbouring letters; kinds of them that are ranked; strings on the sides of a matrix, and pairs given on at once.
+TWOS, KINDS, ROWS, WIDE, LEFT = 512, 1 << 20, 512, 4096, 1 << 17
 
 
 class Strings:
@@ -49,6 +53,23 @@ class Strings:
         packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))
         return np.ascontiguousarray(np.ascontiguousarray(packed).view(np.uint64).T)
 
+    @cached_property
+    def twos(self) -> tuple[np.ndarray, np.ndarray]:
+        """The neighbouring letters of each string, its ends among them, as set bits, the commonest with bits apart; and how
+        many are beyond the bits."""
+        n, size = len(self.strings), self.letters + 2
+        owner, at = np.repeat(np.arange(n), self.length), np.arange(len(self.codes))
+        first, second = np.full(len(at) + n, size - 2, np.int64), np.full(len(at) + n, size - 1, np.int64)
+        first[at + owner + 1], second[at + owner] = self.codes, self.codes
+        key = np.sort((np.repeat(np.arange(n), self.length + 1) * size + first) * size + second)
+        begins = np.flatnonzero(np.diff(key, prepend=-1))
+        again = np.minimum(np.arange(len(key)) - np.repeat(begins, np.diff(begins, append=len(key))), 63)
+        kind = (key % size**2 * 64 + again) % min(KINDS, size**2 * 64)
+        rank = np.argsort(np.argsort(-np.bincount(kind), kind="stable"))
+        has = np.zeros((n, TWOS), bool)
+        has[key // size**2, rank[kind] % TWOS] = True
+        return np.ascontiguousarray(np.packbits(has, axis=1).view(np.uint64).T), self.length + 1 - has.sum(axis=1)
+
 
 def enough_letters(s: Strings, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """Which pairs of a string of ``a`` and one of ``b`` may share the letters that a ratio of ``least`` needs, as a matrix:
@@ -58,6 +79,44 @@ def enough_letters(s: Strings, a: np.ndarray, b: np.ndarray, least: float) -> np
     return spread(a) @ spread(b).T >= np.float32(half[a])[:, None] + (np.float32(least / 2 * s.length[b]) - np.float32(0.01))
 
 
+def alike_in_letters(s: Strings, a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of all strings of ``a`` with all of ``b`` whose lengths and letters a ratio of ``least`` allows, many at a
+    time. As in ``enough_letters``, with the letters that are needed as two more columns of the product."""
+    a, b = (x[np.argsort(s.length[x], kind="stable")] for x in (a, b))
+    lengths, far = s.length[a], (2 - least) / least
+    spread = lambda at: np.unpackbits(np.ascontiguousarray(s.bits[:, at].T).view(np.uint8), axis=1).astype(np.float32)
+    column = lambda x: np.asarray(x, np.float32)[:, None]
+    slack = np.float32(-0.01 - 1e-6 * s.length.max(initial=0))
+    left, size = [], 0
+    for y in np.split(b, range(WIDE, len(b), WIDE)):
+        if not len(y):
+            continue
+        theirs = np.hstack([spread(y), column(np.ones(len(y))), column(-least / 2 * s.length[y])]).T
+        low, high = np.searchsorted(lengths, [s.length[y[0]] / far - 1e-6, s.length[y[-1]] * far + 1e-6])
+        for x in np.split(a[low:high], range(ROWS, high - low, ROWS)):
+            ours = np.hstack([spread(x), column(s.over[x] - least / 2 * s.length[x]), column(np.ones(len(x)))])
+            at = np.flatnonzero((ours @ theirs).reshape(-1) >= slack)
+            for some in np.array_split(at, len(at) // LEFT + 1):
+                left.append((x[some // len(y)], y[some % len(y)]))
+                size += len(some)
+                if size >= LEFT:
+                    yield tuple(map(np.concatenate, zip(*left)))
+                    left, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*left)))
+
+
+def enough_twos(s: Strings, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs share the neighbouring letters that a ratio of ``least`` needs. Of M letters that match in k blocks, M - k
+    neighbours do; between two blocks a letter is unmatched, so k is at most 1 more than all letters less 2 M; and the
+    ends of the strings match."""
+    bits, over = s.twos
+    n = np.minimum(over[a], over[b])
+    for word in bits:
+        n += np.bitwise_count(word[a] & word[b])
+    return n >= (1.5 * least - 1) * (s.length[a] + s.length[b]) + 1 - 1e-6
+
+
 def shared_letters(s: Strings, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """No fewer than the letters that the pairs share, wherever they stand."""
     n = np.minimum(s.over[a], s.over[b])
@@ -71,8 +130,9 @@ def common_subsequence(s: Strings, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     swap = s.length[a] > s.length[b]
     x, y = np.where(swap, b, a), np.where(swap, a, b)  # x is not longer
     out = np.zeros(len(a), np.int64)
-    for words in (1, 2):
-        for at in np.array_split(own := np.flatnonzero((s.length[x] > 64) == (words == 2)), len(own) // AT_ONCE + 1):
+    each = np.maximum(s.length[x] + 63, 64) // 64
+    for words in range(1, int(each.max(initial=0)) + 1):
+        for at in np.array_split(own := np.flatnonzero(each == words), len(own) // AT_ONCE + 1):
             if len(at):
                 at = at[np.argsort((LONGEST - s.length[y[at]]).astype(np.uint8), kind="stable")]
                 out[at] = _subsequence(s, x[at], y[at], words)
@@ -100,10 +160,12 @@ def _subsequence(s: Strings, x: np.ndarray, y: np.ndarray, words: int) -> np.nda
             w = v[k][:n]
             u = w & masks[k].take(at)
             total = w + u
-            if words == 2 and k == 0:
-                carry = total < w
-            elif carry is not None:
+            if k + 1 < words:
+                over = total < w
+            if carry is not None:
                 total += carry
+            if k + 1 < words:
+                carry = over if carry is None else over | (total < carry)
             v[k][:n] = total | (w - u)
     size = s.length[own][x]
     out = np.zeros(len(x), np.int64)
@@ -158,16 +220,31 @@ def _longest(table, a, b, a0, a1, b0, b1):
     return a0 + i + 1 - size, b0 + j - size, size
 
 
-def ratios(s: Strings, a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the pairs have ``least`` ratio of matching blocks and more, and these ratios."""
+def _long_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence of two strings of any length: a bit a letter of ``a``."""
+    places: dict[str, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    v = every = (1 << len(a)) - 1
+    for y in b:
+        u = v & places.get(y, 0)
+        v = ((v + u) | (v - u)) & every
+    return len(a) - v.bit_count()
+
+
+def ratios(s: Strings, a: np.ndarray, b: np.ndarray, least: float, bounded: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs have ``least`` ratio of matching blocks and more, and these ratios; ``bounded`` by letters already."""
     total = s.length[a] + s.length[b]
     enough = lambda n, at: 2.0 * n / total[at] >= least
     at = np.flatnonzero(2 * np.minimum(s.length[a], s.length[b]) >= least * total - 1e-9)
-    at = at[enough(shared_letters(s, a[at], b[at]), at)]
+    if not bounded:
+        at = at[enough(shared_letters(s, a[at], b[at]), at)]
+    at = at[enough_twos(s, a[at], b[at], least)]
     odd = (s.long[a[at]] | s.long[b[at]]) if s.plain else np.ones(len(at), bool)
     long, at = at[odd], at[~odd]
     at = at[enough(common_subsequence(s, a[at], b[at]), at)]
     value = 2.0 * matching_letters(s, a[at], b[at]) / total[at]
     at, value = at[value >= least], value[value >= least]
-    slow = np.array([SequenceMatcher(None, s.strings[x], s.strings[y]).ratio() for x, y in zip(a[long].tolist(), b[long].tolist())], np.float64)
+    pairs = [(s.strings[x], s.strings[y]) for x, y in zip(a[long].tolist(), b[long].tolist())]
+    slow = np.array([SequenceMatcher(None, x, y).ratio() if 2.0 * _long_subsequence(x, y) / (len(x) + len(y)) >= least else -1.0 for x, y in pairs], np.float64)
     return np.concatenate([at, long[slow >= least]]), np.concatenate([value, slow[slow >= least]])

@@ -1,13 +1,14 @@
-"""Joins of strings that are alike, without comparing all with all.
+"""Joins of strings that are alike, without rows of all pairs.
 
 ``within_edits`` finds every pair within k edits: a string cut into k + 1 even segments has one that stands untouched in
 any string within k edits, at most k places off. Segments are the keys of an equi-join, so no beginning, bucket or length
 is preferred and nothing is cut. ``alike_titles`` finds pairs of titles by the matching-blocks ratio among those that share
 two of their rarer words (the one, in titles of up to two). A block's titles are met in tiles, so that pairs are never
 rows before they are found, and a block of common words is spread over many tasks; bounds that no ratio exceeds come
-before the ratio.
+before the ratio. ``titles_of_ratio`` finds every pair by the ratio alone, whatever words are shared or damaged: all
+titles meet all in tiles, most pairs as products of matrices only.
 
-Both take distinct strings, so copies cost nothing; the rows are joined back by the caller. Defined results: null and
+All take distinct strings, so copies cost nothing; the rows are joined back by the caller. Defined results: null and
 empty strings are like nothing.
 """
 
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.blocks import Strings, enough_letters, ratios
+from quire.functions.blocks import Strings, alike_in_letters, enough_letters, ratios
 from quire.session import settle
 
 c = F.col
@@ -30,6 +31,10 @@ c = F.col
 #: of their words; pairs from which on a tile is met as a matrix, and pairs left of such tiles that are compared at once.
 TILE, PAIRS, TITLES, AT_ONCE, CELLS, MATRIX, LEFT = 1024, 1 << 22, 1 << 17, 1 << 17, 1 << 20, 1 << 12, 1 << 17
 
+#: Of ``titles_of_ratio``: titles on a side of a tile, at most; tasks a core, where tiles are enough; pairs from which on there are
+#: more of them, and tasks, at most.
+SIDE, SHARE, MANY, TASKS = 1 << 14, 8, 1 << 26, 1 << 13
+
 
 def _segments(side: str, k: int) -> str:
     """Hashes of the segments that a string is cut into ('index'), or of the places where another's could stand ('probe')."""
@@ -168,3 +173,28 @@ def alike_titles(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     tiles = tiled(x, "n", "i", "xs").join(tiled(y, "m", "j", "ys"), "key").repartition(tasks, "key", "i", "j").select("xs", "ys")
     compare = lambda batches: (found for batch in batches if batch.num_rows for found in _met(batch, least))
     return tiles.mapInArrow(compare, "a string, b string, ratio double").distinct()
+
+
+def _all_met(batch: pa.RecordBatch, least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of ``least`` ratio and more of each tile of a batch, all with all."""
+    for xs, ys in zip(batch.column(0), batch.column(1)):
+        each = pa.chunked_array([xs.values, ys.values]).combine_chunks().dictionary_encode()
+        ids, strings = each.indices.to_numpy(zero_copy_only=False).astype(np.int64), Strings(each.dictionary.to_pylist())
+        for i, j in alike_in_letters(strings, ids[: len(xs.values)], ids[len(xs.values) :], least):
+            at, value = ratios(strings, i, j, least, bounded=True)
+            yield pa.record_batch([each.dictionary.take(pa.array(i[at])), each.dictionary.take(pa.array(j[at])), pa.array(value)], ["a", "b", "ratio"])
+
+
+def titles_of_ratio(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(a, b, ratio): every pair of a title of ``a`` and one of ``b``, both one column, of ``least`` ratio of matching blocks
+    and more."""
+    a, b = (settle(df.select(c(df.columns[0]).alias("s")).where("s <> ''").distinct()) for df in (a, b))
+    n, m = a.count(), b.count()
+    least_tasks = SHARE * a.sparkSession.sparkContext.defaultParallelism
+    side = min(SIDE, 1 + int((n * m / least_tasks) ** 0.5))
+    rows, columns = n // side + 1, m // side + 1
+    tasks = min(rows * columns, max(least_tasks, n * m // MANY), TASKS)
+    tiled = lambda df, k, place, titles: df.groupBy(F.pmod(F.xxhash64("s"), F.lit(k)).alias(place)).agg(F.collect_list("s").alias(titles))
+    met = tiled(a, rows, "i", "xs").crossJoin(tiled(b, columns, "j", "ys")).repartitionById(tasks, F.pmod(c("i") * columns + c("j"), F.lit(tasks)).cast("int"))
+    compare = lambda batches: (found for batch in batches for found in _all_met(batch, least))
+    return met.select("xs", "ys").mapInArrow(compare, "a string, b string, ratio double")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from quire.functions import blocks
 from quire.functions import scoring as sc
 from quire.operators import near
-from quire.operators.near import alike_titles, within_edits
-from quire.plans.fuzzy import staged_search
+from quire.operators.near import alike_titles, titles_of_ratio, within_edits
+from quire.plans.fuzzy import duplicate_probe, staged_search
 from quire.sources.tables import table
 
 
@@ -132,3 +132,55 @@ def test_staged_search_does_not_multiply_copies(spark, tmp_path):
     began = time.monotonic()
     got = staged_search(spark, str(tmp_path)).groupBy("stage", "hits", "best").count().collect()
     assert [tuple(r) for r in got] == [(1, 10_000, 1.0, 40_000)] and time.monotonic() - began < 60
+
+
+def damaged(text: str, part: float) -> str:
+    """With letters left out, and others put in."""
+    return "".join("" if r < part / 2 else x + random.choice("abc ") if r > 1 - part / 2 else x for x in text for r in [random.random()])
+
+
+def test_titles_of_ratio_are_all_that_brute_force_finds(spark, monkeypatch):
+    """Whatever is damaged, of one letter or of hundreds, once each, however many tiles the titles are cut into."""
+    random.seed(21)
+    for letters in ("ab ", "abcdefghijklmno ", "aé漢\U0001f600 "):
+        a = ["".join(random.choice(letters) for _ in range(random.choice((1, 2, 3, 7, 30, 64, 65, 127, 128, 192, 199, 200, 260)))) for _ in range(40)]
+        b = [damaged(x, random.choice((0, 0.05, 0.15, 0.3))) for x in a for _ in range(2)]
+        for side in (30, 1 << 14):
+            monkeypatch.setattr(near, "SIDE", side)
+            rows = [tuple(r) for r in titles_of_ratio(strings(spark, [*a, *a, None, ""]), strings(spark, [*b, *b, None, ""]), 0.8).collect()]
+            want = {(x, y, r) for x in {*a} for y in {*b} - {""} if (r := SequenceMatcher(None, x, y).ratio()) >= 0.8}
+            assert len(rows) == len(want) > 40 and {*rows} == want
+    assert titles_of_ratio(strings(spark, []), strings(spark, ["x"]), 0.8).count() == 0
+
+
+def test_matrices_of_letters_leave_no_pair_out(monkeypatch):
+    """In the process itself, where the sides of a matrix can be set: all pairs of a ratio, of every length."""
+    random.seed(22)
+    whole = ["".join(random.choice("abcdefg ") for _ in range(random.choice((1, 5, 40, 90, 150, 230)))) for _ in range(18)]
+    some = sorted({damaged(x, part) for x in whole for part in (0, 0.1, 0.3)} - {""})
+    every = np.arange(len(some))
+    for rows, wide, left in ((2, 3, 5), (512, 4096, 1 << 17)):
+        for k, v in (("ROWS", rows), ("WIDE", wide), ("LEFT", left)):
+            monkeypatch.setattr(blocks, k, v)
+        for least in (0.5, 0.8, 0.85):
+            s, got = blocks.Strings(some), []
+            for i, j in blocks.alike_in_letters(s, every, every, least):
+                at, value = blocks.ratios(s, i, j, least, bounded=True)
+                got += zip(i[at].tolist(), j[at].tolist(), value.tolist())
+            assert sorted(got) == [(i, j, r) for i, x in enumerate(some) for j, y in enumerate(some) if (r := SequenceMatcher(None, x, y).ratio()) >= least]
+
+
+#: Titles of which every word is damaged, and two whose words run together: of a ratio of 0.85 and more, with no word shared.
+DAMAGED = {
+    "Letter writing in the northern valley": "Leter writng inthe norhern valey",
+    "Soil chemistry and reading habits in Lomzir: a study": "Soill chemisstry andd readding habbits inn Lomzzir: aa sttudy",
+    "Harbour notes": "Harbournotes",
+}
+
+
+def test_duplicate_probe_finds_titles_that_share_no_word(spark, tmp_path):
+    spark.createDataFrame([*enumerate([*DAMAGED, "Glacier retreat", None, ""])], "request_id long, title string").selectExpr("*", "cast(null AS string) AS doi", "cast(null AS array<string>) AS authors", "cast(null AS string) AS year").write.parquet(f"{tmp_path}/paper_identifiers.parquet")
+    spark.createDataFrame([(k + 10, t) for k, t in enumerate([*DAMAGED.values(), None, ""])], "search_id long, title string").selectExpr("*", "cast(null AS array<string>) AS authors", "cast(null AS string) AS year").write.parquet(f"{tmp_path}/search_results.parquet")
+    spark.createDataFrame([], "request_id long, result_id long, raw_data string").write.parquet(f"{tmp_path}/metadata_results.parquet")
+    got = {tuple(r) for r in duplicate_probe(spark, str(tmp_path)).collect()}
+    assert got == {(0, "title", 10, 0.927536), (1, "title", 11, 0.918919), (2, "title", 12, 0.96)}
