@@ -23,11 +23,11 @@ c = F.col
 FUZZY, DUPLICATE, STAGED, ENOUGH, SURE, LISTED, SAME_SURNAME, ANY_NAME = 0.80, 0.85, 0.80, 3, 0.9, 5, 0.7, 0.8
 
 
-def _hits(spark, sf, least: float, join):
+def _hits(spark, sf, least: float):
     """(request_id, search_id, ratio, ...): requests and library items of alike titles; distinct titles are compared once."""
     p = table(spark, sf, "paper_identifiers").select("request_id", sc.normal_title(c("title")).alias("a"), c("authors").alias("p_authors"), sc.year_of(c("year")).alias("p_year"))
     s = table(spark, sf, "search_results").select("search_id", sc.normal_title(c("title")).alias("b"), c("authors").alias("s_authors"), sc.year_of(c("year")).alias("s_year"))
-    alike = settle(join(p.select("a"), s.select("b"), least))
+    alike = settle(titles_of_ratio(p.select("a"), s.select("b"), least))
     return p.join(alike, "a").join(s, "b")
 
 
@@ -38,7 +38,7 @@ def fuzzy_title_join(spark, sf):
     theirs = F.lower(F.array_join("s_authors", " "))
     author = F.exists(F.coalesce("p_authors", F.array().cast("array<string>")), lambda x: (F.trim(x) != "") & F.contains(theirs, F.lower(F.trim(x))))
     score = F.least(F.lit(100.0), c("ratio") * 100 + F.when(author, 10).otherwise(0) + F.when(c("p_year") == c("s_year"), 5).otherwise(0))
-    hits = _hits(spark, sf, FUZZY, alike_titles).select("request_id", "search_id", F.round(score, 6).alias("score"))
+    hits = _hits(spark, sf, FUZZY).select("request_id", "search_id", F.round(score, 6).alias("score"))
     k = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc("score"), "search_id"))  # each task keeps five of a request
     return hits.withColumn("k", k).where(c("k") <= LISTED).drop("k")
 
@@ -52,7 +52,7 @@ def duplicate_probe(spark, sf):
     known = known.groupBy("doi").agg(F.min_by(F.struct("result_id", "other"), "result_id").alias("x"), F.min("other").alias("low"), F.max("other").alias("high"))
     by_doi = p.join(known.where("low <> high OR low IS NOT NULL"), "doi").where("low <> request_id OR high <> request_id").select("request_id", F.lit("doi").alias("stage"), c("x.result_id").alias("hit"), F.lit(1.0).alias("ratio"))
     by_doi = settle(by_doi)  # read twice below
-    titles = _hits(spark, sf, DUPLICATE, titles_of_ratio).groupBy("request_id").agg(F.max_by("search_id", F.struct("ratio", -c("search_id"))).alias("hit"), F.max("ratio").alias("ratio"))
+    titles = _hits(spark, sf, DUPLICATE).groupBy("request_id").agg(F.max_by("search_id", F.struct("ratio", -c("search_id"))).alias("hit"), F.max("ratio").alias("ratio"))
     rest = titles.join(by_doi.select("request_id"), "request_id", "left_anti").select("request_id", F.lit("title").alias("stage"), "hit", F.round("ratio", 6).alias("ratio"))
     return by_doi.unionByName(rest)
 

@@ -11,7 +11,7 @@ from quire.functions import blocks
 from quire.functions import scoring as sc
 from quire.operators import near
 from quire.operators.near import alike_titles, titles_of_ratio, within_edits
-from quire.plans.fuzzy import duplicate_probe, staged_search
+from quire.plans.fuzzy import duplicate_probe, fuzzy_title_join, staged_search
 from quire.sources.tables import table
 
 
@@ -178,6 +178,17 @@ DAMAGED = {
 }
 
 
+def test_fuzzy_title_join_finds_titles_that_share_no_word(spark, tmp_path):
+    """With ten for the shared author of the first, five for the year of the second; none for a title below the ratio."""
+    columns = "{} long, title string, authors array<string>, year string"
+    requests = [(k, t, ["Ann Lee"] if k == 0 else None, "1999") for k, t in enumerate([*DAMAGED, "Glacier retreat", None, ""])]
+    items = [(k + 10, t, ["Lee, Ann", "Ann Lee"], "1999" if k == 1 else None) for k, t in enumerate([*DAMAGED.values(), "Glaciology in retreat", None, ""])]
+    spark.createDataFrame(requests, columns.format("request_id")).write.parquet(f"{tmp_path}/paper_identifiers.parquet")
+    spark.createDataFrame(items, columns.format("search_id")).write.parquet(f"{tmp_path}/search_results.parquet")
+    got = {tuple(r) for r in fuzzy_title_join(spark, str(tmp_path)).select("request_id", "search_id", "score").collect()}
+    assert got == {(0, 10, 100.0), (1, 11, 96.891892), (2, 12, 96.0)}
+
+
 def test_duplicate_probe_finds_titles_that_share_no_word(spark, tmp_path):
     spark.createDataFrame([*enumerate([*DAMAGED, "Glacier retreat", None, ""])], "request_id long, title string").selectExpr("*", "cast(null AS string) AS doi", "cast(null AS array<string>) AS authors", "cast(null AS string) AS year").write.parquet(f"{tmp_path}/paper_identifiers.parquet")
     spark.createDataFrame([(k + 10, t) for k, t in enumerate([*DAMAGED.values(), None, ""])], "search_id long, title string").selectExpr("*", "cast(null AS array<string>) AS authors", "cast(null AS string) AS year").write.parquet(f"{tmp_path}/search_results.parquet")
